@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tidespan.llm.chat_format import op7_chat_formatting
 from tidespan.llm.quality_rules import op9_quality_rules
+from tidespan.llm.url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op7_chat_formatting": op7_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
