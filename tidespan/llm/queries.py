@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidespan.llm.chat_format import op7_chat_formatting
+from tidespan.llm.pii_surrogates import op2_pii_surrogates
 from tidespan.llm.quality_rules import op9_quality_rules
 from tidespan.llm.url_filter import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
 }
