@@ -55,24 +55,50 @@ ANY = "|".join(PATTERNS.values())
 HINT = "[0-9@]|" + PATTERNS["name"] + "|(?i:token|secret|pass|key)"
 
 
-def entity(found: Column) -> Column:
-    """Struct of a match: type (names with gender and script), key (what coreferring matches share), head (kept as it is) and body."""
-    kind = F.lit("ip")
-    for k in ("card", "ssn", "phone", "iban", "name", "secret", "email"):
-        kind = F.when(found.rlike("^(?:" + PATTERNS[k].replace("(?<![\\p{L}0-9.-])", "").replace("(?<![0-9-])", "") + ")$"), F.lit(k)).otherwise(kind)
-    script = F.when(found.rlike(" \\p{IsCyrillic}"), "cyrillic").when(found.rlike(" \\p{IsGreek}"), "greek").otherwise("latin")
-    gender = F.when(found.rlike("^(?:" + "|".join(TITLES["f"]) + ")\\.? "), "f").otherwise("m")
-    head = (
-        F.when(kind == "name", F.regexp_extract(found, "^\\S+ ", 0))
-        .when(kind == "secret", F.regexp_extract(found, "^(?:.*[=:]\\s{0,3}[\"']?)?", 0))
-        .when(kind == "iban", F.substring(found, 1, 2))
-        .when(kind == "phone", F.regexp_extract(found, "^(?:\\+[0-9]{1,3}(?=[^0-9]))?", 0))
-        .otherwise(F.lit(""))
+def chained(items: Column, *steps) -> Column:
+    """Applies the steps to each struct of an array, one after another. Each step adds named fields, so that nothing is computed twice."""
+    def wider(names: list[str], step):
+        return lambda e: F.struct(*[e[n].alias(n) for n in names], *[c.alias(n) for n, c in step(e).items()])
+
+    for names, step in steps:
+        items = F.transform(items, wider(names, step))
+    return items
+
+
+def entities_of(hits: Column) -> Column:
+    """Structs of the matches: type (names with gender and script), key (what coreferring matches share), head (kept as it is) and body."""
+
+    def kind(e: Column) -> dict:
+        out = F.lit("ip")
+        for k in ("card", "ssn", "phone", "iban", "name", "secret", "email"):
+            whole = "^(?:" + PATTERNS[k].replace("(?<![\\p{L}0-9.-])", "").replace("(?<![0-9-])", "") + ")$"
+            out = F.when(e["found"].rlike(whole), F.lit(k)).otherwise(out)
+        return {"kind": out}
+
+    def head(e: Column) -> dict:
+        found, kind = e["found"], e["kind"]
+        out = (
+            F.when(kind == "name", F.regexp_extract(found, "^\\S+ ", 0))
+            .when(kind == "secret", F.regexp_extract(found, "^(?:.*[=:]\\s{0,3}[\"']?)?", 0))
+            .when(kind == "iban", F.substring(found, 1, 2))
+            .when(kind == "phone", F.regexp_extract(found, "^(?:\\+[0-9]{1,3}(?=[^0-9]))?", 0))
+            .otherwise(F.lit(""))
+        )
+        return {"head": out}
+
+    def rest(e: Column) -> dict:
+        found, kind = e["found"], e["kind"]
+        body = F.substring(found, F.length(e["head"]) + 1, F.length(found))
+        script = F.when(found.rlike(" \\p{IsCyrillic}"), "cyrillic").when(found.rlike(" \\p{IsGreek}"), "greek").otherwise("latin")
+        gender = F.when(found.rlike("^(?:" + "|".join(TITLES["f"]) + ")\\.? "), "f").otherwise("m")
+        key = F.when(kind.isin("card", "ssn", "phone", "iban"), F.regexp_replace(F.lower(found), "[^\\p{L}\\p{N}]", "")).otherwise(F.lower(body))
+        return {"type": F.when(kind == "name", F.concat(F.lit("name:"), gender, F.lit(":"), script)).otherwise(kind), "key": key, "body": body}
+
+    found = F.transform(hits, lambda h: F.struct(h.alias("found")))
+    return F.transform(
+        chained(found, (["found"], kind), (["found", "kind"], head), (["found", "kind", "head"], rest)),
+        lambda e: F.struct(e["type"].alias("type"), e["key"].alias("key"), e["head"].alias("head"), e["body"].alias("body")),
     )
-    body = F.substring(found, F.length(head) + 1, F.length(found))
-    key = F.when(kind.isin("card", "ssn", "phone", "iban"), F.regexp_replace(F.lower(found), "[^\\p{L}\\p{N}]", "")).otherwise(F.lower(body))
-    named = F.when(kind == "name", F.concat(F.lit("name:"), gender, F.lit(":"), script)).otherwise(kind)
-    return F.struct(named.alias("type"), key.alias("key"), head.alias("head"), body.alias("body"))
 
 
 def _byte(stream: Column, i: Column | int) -> Column:
@@ -101,72 +127,80 @@ def _luhn(digits: Column) -> Column:
     return F.concat(F.slice(digits, F.lit(1), n - 1), F.array(((10 - total % 10) % 10).cast("string")))
 
 
-def luhn_valid(digits: Column) -> Column:
-    parts = F.split(digits, "")
-    return F.array_join(_luhn(parts), "") == digits
-
-
-def surrogate(kind: Column, key: Column, attempt: Column, secret: str) -> Column:
-    """The attempt-th candidate for an entity: for names a full name, for addresses an address, else key with every letter and digit replaced."""
-    seed = F.concat_ws("\x1f", F.lit(secret), kind, key, attempt.cast("string"))
-    stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512))
-    digits = F.lit("0123456789")
-
-    def swapped(c: Column, i: Column) -> Column:
+def surrogates(items: Column, secret: str) -> Column:
+    """Adds new, the attempt-th candidate of each struct (type, key, attempt, ...): for names a full name, for addresses an address, else key with its letters and digits replaced."""
+    own = ["type", "key", "attempt"]
+
+    def stream(e: Column) -> dict:
+        seed = F.concat_ws("\x1f", F.lit(secret), e["type"], e["key"], e["attempt"].cast("string"))
+        # what stays: an email's last label, an IBAN's country (the first two of its key)
+        kept_from = F.when(e["type"] == "email", F.length(e["key"]) - F.length(F.substring_index(e["key"], ".", -1))).otherwise(F.lit(1 << 30))
+        return {
+            "stream": F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512)),
+            "chars": F.split(e["key"], ""),
+            "from": kept_from,
+            "to": F.when(e["type"] == "iban", F.lit(2)).otherwise(F.lit(0)),
+            "hex": (e["type"] == "secret") & e["key"].rlike("^[0-9a-f]+$"),
+        }
+
+    def swapped(e: Column, c: Column, i: Column) -> Column:
+        b = _byte(e["stream"], i)
         out = c
         for script, test in (("latin", "\\p{L}"), ("cyrillic", "\\p{IsCyrillic}"), ("greek", "\\p{IsGreek}")):
-            out = F.when(c.rlike(test), F.substring(F.lit(LETTERS[script]), _byte(stream, i) % len(LETTERS[script]) + 1, F.lit(1))).otherwise(out)
-        return F.when(c.rlike("[0-9]"), F.substring(digits, _byte(stream, i) % 10 + 1, F.lit(1))).otherwise(out)
-
-    def hexed(c: Column, i: Column) -> Column:
-        return F.substring(F.lit("0123456789abcdef"), _byte(stream, i) % 16 + 1, F.lit(1))
-
-    # what stays: an email's last label, an IBAN's country (the first two of its key)
-    kept_from = F.when(kind == "email", F.length(key) - F.length(F.substring_index(key, ".", -1))).otherwise(F.lit(1 << 30))
-    kept_to = F.when(kind == "iban", F.lit(2)).otherwise(F.lit(0))
-    chars = F.split(key, "")
-    plain = F.array_join(F.transform(chars, lambda c, i: F.when((i >= kept_from) | (i < kept_to), c).otherwise(swapped(c, i))), "")
-    hexes = F.array_join(F.transform(chars, lambda c, i: hexed(c, i)), "")
-    card = F.array_join(_luhn(F.transform(chars, lambda c, i: swapped(c, i))), "")
-    address = F.concat_ws(".", (_byte(stream, 0) % 222 + 1).cast("string"), *[_byte(stream, i).cast("string") for i in (1, 2, 3)])
-    out = (
-        F.when(kind == "ip", address)
-        .when((kind == "card") & luhn_valid(key), card)
-        .when((kind == "secret") & key.rlike("^[0-9a-f]+$"), hexes)
-        .otherwise(plain)
-    )
-    for (gender, script), names in GIVEN.items():
-        family = F.initcap(F.concat(*[_of(SYLLABLES[script], _byte(stream, i)) for i in (1, 2, 3, 4)]))
-        full = F.when(F.instr(key, " ") > 0, F.concat(_of(names, _byte(stream, 0)), F.lit(" "), family)).otherwise(family)
-        out = F.when(kind == f"name:{gender}:{script}", F.lower(full)).otherwise(out)
-    return out
-
-
-def rendered(e: Column, new: Column) -> Column:
-    """The surrogate in the form of this match: its head, its separators and its case."""
-    body = e["body"]
-    is_name = e["type"].startswith("name:")
-    # letters and digits of the surrogate that the body stands for: the last ones, as the head holds the first
-    solid = F.regexp_replace(new, "[^\\p{L}\\p{N}]", "")
-    n = F.length(F.regexp_replace(body, "[^\\p{L}\\p{N}]", ""))
-    tail = F.substring(solid, F.length(solid) - n + 1, n)
-    filled = F.aggregate(
-        F.split(body, ""),
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda a, c: F.when(
-            c.rlike("[\\p{L}\\p{N}]"),
-            F.struct(
-                F.concat(a["out"], F.when(c.rlike("\\p{Lu}"), F.upper(F.substring(tail, a["at"], F.lit(1)))).otherwise(F.substring(tail, a["at"], F.lit(1)))).alias("out"),
-                (a["at"] + 1).alias("at"),
-            ),
-        ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
-        lambda a: a["out"],
-    )
-    shout = body == F.upper(body)
-    return (
-        F.when(is_name, F.concat(e["head"], F.when(shout & (F.length(body) > 1), F.upper(new)).otherwise(F.initcap(new))))
-        .when(e["type"] == "ip", new)
-        .otherwise(F.concat(e["head"], filled))
+            out = F.when(c.rlike(test), F.substring(F.lit(LETTERS[script]), b % len(LETTERS[script]) + 1, F.lit(1))).otherwise(out)
+        out = F.when(c.rlike("^[0-9]$"), (b % 10).cast("string")).when(c.rlike("^[a-z]$"), F.char(b % 26 + 97)).otherwise(out)
+        return F.when((i >= e["from"]) | (i < e["to"]), c).when(e["hex"], F.substring(F.lit("0123456789abcdef"), b % 16 + 1, F.lit(1))).otherwise(out)
+
+    def plain(e: Column) -> dict:
+        letters = ~e["type"].startswith("name:") & (e["type"] != "ip")
+        return {"plain": F.when(letters, F.transform(e["chars"], lambda c, i: swapped(e, c, i)))}
+
+    def new(e: Column) -> dict:
+        address = F.concat_ws(".", (_byte(e["stream"], 0) % 222 + 1).cast("string"), *[_byte(e["stream"], i).cast("string") for i in (1, 2, 3)])
+        valid = F.array_join(_luhn(e["chars"]), "") == e["key"]
+        out = F.when(e["type"] == "ip", address).when((e["type"] == "card") & valid, F.array_join(_luhn(e["plain"]), "")).otherwise(F.array_join(e["plain"], ""))
+        for (gender, script), names in GIVEN.items():
+            family = F.concat(*[_of(SYLLABLES[script], _byte(e["stream"], i)) for i in (1, 2, 3, 4)])
+            full = F.when(F.instr(e["key"], " ") > 0, F.concat(_of(names, _byte(e["stream"], 0)), F.lit(" "), family)).otherwise(family)
+            out = F.when(e["type"] == f"name:{gender}:{script}", F.lower(full)).otherwise(out)
+        return {"new": out}
+
+    more = ["stream", "chars", "from", "to", "hex"]
+    return chained(items, (own + ["head", "body"], stream), (own + ["head", "body"] + more, plain), (own + ["head", "body"] + more + ["plain"], new))
+
+
+def rendered(items: Column) -> Column:
+    """The surrogates in the form of their matches: head, separators and case."""
+    own = ["type", "head", "body", "new"]
+
+    def sizes(e: Column) -> dict:
+        return {"solid": F.regexp_replace(e["new"], "[^\\p{L}\\p{N}]", ""), "n": F.length(F.regexp_replace(e["body"], "[^\\p{L}\\p{N}]", ""))}
+
+    def tail(e: Column) -> dict:
+        # letters and digits of the surrogate that the body stands for: the last ones, as the head holds the first
+        return {"tail": F.substring(e["solid"], F.length(e["solid"]) - e["n"] + 1, e["n"])}
+
+    def filled(e: Column) -> dict:
+        def put(a: Column, c: Column) -> Column:
+            x = F.substring(e["tail"], a["at"], F.lit(1))
+            solid = c.rlike("[\\p{L}\\p{N}]")
+            return F.struct(
+                F.concat(a["out"], F.when(~solid, c).when(c.rlike("\\p{Lu}"), F.upper(x)).otherwise(x)).alias("out"),
+                (a["at"] + solid.cast("int")).alias("at"),
+            )
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+        return {"filled": F.aggregate(F.split(e["body"], ""), start, put, lambda a: a["out"])}
+
+    done = chained(items, (own, sizes), (own + ["solid", "n"], tail), (own + ["tail"], filled))
+    return F.transform(
+        done,
+        lambda e: F.when(
+            e["type"].startswith("name:"),
+            F.concat(e["head"], F.when((e["body"] == F.upper(e["body"])) & (F.length(e["body"]) > 1), F.upper(e["new"])).otherwise(F.initcap(e["new"]))),
+        )
+        .when(e["type"] == "ip", e["new"])
+        .otherwise(F.concat(e["head"], e["filled"])),
     )
 
 
@@ -174,7 +208,13 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _found, the entities of each text in order."""
     hits = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     df = docs.withColumn("_hits", F.coalesce(hits, F.array().cast("array<string>")))
-    return df.withColumn("_found", F.transform("_hits", entity))
+    return df.withColumn("_found", entities_of(F.col("_hits")))
+
+
+def candidate(attempt: Column, secret: str) -> Column:
+    """The candidate surrogate of the row's type and key."""
+    one = F.struct(F.col("type").alias("type"), F.col("key").alias("key"), attempt.alias("attempt"), F.lit("").alias("head"), F.lit("").alias("body"))
+    return F.get(surrogates(F.array(one), secret), F.lit(0))["new"]
 
 
 def assign(entities: DataFrame, secret: str, most: int = 100) -> DataFrame:
@@ -183,7 +223,7 @@ def assign(entities: DataFrame, secret: str, most: int = 100) -> DataFrame:
     entities: distinct (type, key). Each round recomputes only what clashed. A value space too small for its entities raises.
     """
     known = entities.select("type", "key")
-    state = store(known.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("type"), F.col("key"), F.lit(0), secret)), "pii")
+    state = store(known.withColumn("attempt", F.lit(0)).withColumn("new", candidate(F.lit(0), secret)), "pii")
     for attempt in range(1, most + 1):
         rank = F.row_number().over(Window.partitionBy("type", "new").orderBy("attempt", "key"))
         real = known.select(F.col("type"), F.col("key").alias("new"), F.lit(True).alias("_real"))
@@ -192,8 +232,8 @@ def assign(entities: DataFrame, secret: str, most: int = 100) -> DataFrame:
         judged = store(judged.select("type", "key", "attempt", "new", clash.alias("_clash")), "pii")
         if judged.where("_clash").isEmpty():
             return state.select("type", "key", "attempt")
-        again = F.when(F.col("_clash"), surrogate(F.col("type"), F.col("key"), F.lit(attempt), secret)).otherwise(F.col("new"))
-        state = store(judged.select("type", "key", F.when(F.col("_clash"), F.lit(attempt)).otherwise(F.col("attempt")).alias("attempt"), again.alias("new")), "pii")
+        again = judged.where("_clash").select("type", "key").withColumn("attempt", F.lit(attempt)).withColumn("new", candidate(F.lit(attempt), secret))
+        state = store(judged.where("not _clash").select("type", "key", "attempt", "new").unionByName(again), "pii")
     raise ValueError("an entity type has more entities than surrogates")
 
 
@@ -208,12 +248,17 @@ def replace_pii(docs: DataFrame, secret: str, text: str = "text", inline_limit:
     body = own[names.index(text)]
 
     def finish(df: DataFrame, attempts: Column) -> DataFrame:
-        id_of = lambda e: F.concat(e["type"], F.lit("\x1f"), e["key"])
-        new = F.transform(
+        tried = F.transform(
             "_found",
-            lambda e: rendered(e, surrogate(e["type"], e["key"], F.coalesce(F.try_element_at(attempts, id_of(e)), F.lit(0)), secret)),
+            lambda e: F.struct(
+                e["type"].alias("type"),
+                e["key"].alias("key"),
+                F.coalesce(F.try_element_at(attempts, F.concat(e["type"], F.lit("\x1f"), e["key"])), F.lit(0)).alias("attempt"),
+                e["head"].alias("head"),
+                e["body"].alias("body"),
+            ),
         )
-        df = df.withColumn("_new", F.when(F.size("_found") > 0, new))
+        df = df.withColumn("_new", F.when(F.size("_found") > 0, rendered(surrogates(tried, secret))))
         df = df.withColumn("_between", F.when(F.size("_found") > 0, F.split(body, ANY, -1)))
         woven = F.concat_ws("", F.transform("_between", lambda s, i: F.concat(s, F.coalesce(F.get(F.col("_new"), i), F.lit("")))))
         columns = [F.when(F.size("_found") > 0, woven).otherwise(F.col(n)).alias(c) if n == body else F.col(n).alias(c) for n, c in zip(own, names, strict=True) if c not in ("n_entities", "entity_types")]
