@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidespan.llm.chat_format import op7_chat_formatting
+from tidespan.llm.decontamination import op4_decontamination
 from tidespan.llm.line_dedup import op3_line_dedup
 from tidespan.llm.ngram_join import ORACLE_OP5, op5_ngram_join
 from tidespan.llm.packing import op6_best_fit_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_ngram_join": op5_ngram_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_formatting": op7_chat_formatting,
