@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidespan.llm.chat_format import op7_chat_formatting
 from tidespan.llm.decontamination import op4_decontamination
+from tidespan.llm.katz_lm import op10_lm_scoring
 from tidespan.llm.line_dedup import op3_line_dedup
 from tidespan.llm.ngram_join import ORACLE_OP5, op5_ngram_join
 from tidespan.llm.packing import op6_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {
     "op5_ngram_join": ORACLE_OP5,
