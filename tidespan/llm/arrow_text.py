@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,15 +85,25 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizers file. Each distinct piece of a slice is encoded once.
+    """Ids of whole texts by a tokenizers file. Each distinct piece of a slice is encoded once, and kept for the slices that follow.
 
-    words: the tokenizer drops white space, so that the pieces are the words. Else pieces are words with the single space
-    before them, and line feeds; a text where a space or a line feed stands beside other white space is encoded whole.
+    words: the tokenizer lower-cases and drops white space, so that the pieces are the words. Else pieces are words with the
+    single space before them, and line feeds; a text where a space or a line feed stands beside other white space is
+    encoded whole. A piece of Latin letters, with at most one full stop or comma after them, goes straight to the
+    tokenizer's model, as its letters are one pre-token; all others take the whole tokenizer.
     """
 
     #: a space or line feed at an end, or beside white space or a control character
     UNSAFE = r"(?s)^[ \n]|[ \n]$|[\s\pZ\pC][ \n]|[ \n][\s\pZ\pC]|\x00"
+    KEPT = 250_000
 
     def __init__(self, path: str, words: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,13 +111,58 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.bpe = self.model.model
         self.words = words
-
-    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum()))
-        return flat, lengths
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bytes = byte_alphabet()
+        self.marks = {m: self._whole([m])[0] for m in ".,"}
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _letters(self, piece: str) -> bytes | None:
+        """The ids of a piece of letters below U+0250 (where case and composition have no context), or None."""
+        tail = b""
+        if piece[-1] in self.marks and len(piece) > 1:
+            tail, piece = self.marks[piece[-1]], piece[:-1]
+        space = not self.words and piece[0] == " "
+        core = piece[1:] if space else piece
+        if not core.isalpha():
+            return None
+        if core.isascii():
+            mapped = core.lower() if self.words else core
+        elif max(core) < "\u0250" and "\u0130" not in core:
+            alphabet = self.bytes
+            mapped = "".join([alphabet[b] for b in (core.lower() if self.words else core).encode()])
+        else:
+            return None
+        ids = [t.id for t in self.bpe.tokenize(self.bytes[32] + mapped if space else mapped)]
+        return array("I", ids).tobytes() + tail
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # two generations of pieces: what the newer lacks is looked up in the older, which is dropped when the newer is full
+        if len(self.known) > self.KEPT:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        out = [known.get(p) for p in pieces]
+        hard = []
+        for i, x in enumerate(out):
+            if x is None:
+                p = pieces[i]
+                x = older.get(p)
+                if x is None:
+                    x = self._letters(p) if p else b""
+                if x is None:
+                    hard.append(i)
+                else:
+                    out[i] = known[p] = x
+        for i, x in zip(hard, self._whole([pieces[i] for i in hard]), strict=True):
+            out[i] = x
+            if len(pieces[i]) < 64:
+                known[pieces[i]] = x
+        lengths = np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
+        return np.frombuffer(b"".join(out), np.uint32), lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
@@ -118,7 +174,8 @@ class Encoder:
         if unsafe.any():
             whole = np.flatnonzero(unsafe)
             rest = np.flatnonzero(~unsafe)
-            a, an = self._each(texts.take(pa.array(whole)).to_pylist())
+            raw = self._whole(texts.take(pa.array(whole)).to_pylist())
+            a, an = np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw], np.int64)
             b, bn = self._split(cut.take(pa.array(rest)))
             lengths = np.zeros(len(texts), np.int64)
             lengths[whole], lengths[rest] = an, bn
