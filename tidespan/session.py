@@ -28,7 +28,13 @@ def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # what a finished write shuffled is of no more use, and may be as large as the input
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
