@@ -28,7 +28,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 def texts_of(column: pa.Array) -> pa.Array:
     """As large strings, null as empty, in one chunk."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    # a copy of its own: kernels that rewrite letters take the offsets of a slice for those of a whole array
+    return column.take(pa.array(np.arange(len(column))))
 
 
 def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

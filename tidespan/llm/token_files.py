@@ -68,7 +68,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: str, s
         return b""
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2", block_bytes: int = 4 << 20, range_chars: int = 16 << 20, max_ranges: int = 100_000, level: int = 3) -> TokenFiles:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2", block_bytes: int = 4 << 20, range_chars: int = 2 << 20, max_ranges: int = 100_000, level: int = 3) -> TokenFiles:
     """width: "<u2" for vocabularies of up to 65,536 ids, else "<u4"."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
