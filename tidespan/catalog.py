@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidespan.plans import basics
+
+MODULES = [basics]
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
