@@ -103,24 +103,22 @@ def recurrence(calls: DataFrame, threshold: float = 0.7, width: int = 256) -> Da
     return pairs.where(ro >= threshold).groupBy("call", "other").agg(F.round(F.max(ro) * 100).cast("long").alias("pct"))
 
 
-def nearest(probes: DataFrame, events: DataFrame, on: list[str], tolerance: Column, width: int) -> DataFrame:
-    """For each probe (id, s, e) the event (event, es, ee) closest by both ends, among those within tolerance at each; the first event wins ties.
+def sv_tolerance(s: str, e: str) -> Column:
+    """5 % of an event's length, rounded, from 20 to 100."""
+    return F.greatest(F.lit(20), F.least(F.lit(100), F.floor(F.abs(F.col(e) - F.col(s)) * 0.05 + 0.5).cast("int")))
+
 
-    tolerance may depend on the probe; width is its upper bound.
-    """
-    x = probes.withColumn("_tol", tolerance).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("s") / width) - 1, F.floor(F.col("s") / width) + 1)))
+def nearest(probes: DataFrame, events: DataFrame, on: list[str], width: int = 100) -> DataFrame:
+    """For each probe (id, s, e) the event (event, es, ee) closest by both ends, among those within the smaller one's tolerance at each; the first event wins ties."""
+    x = probes.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("s") / width) - 1, F.floor(F.col("s") / width) + 1)))
     y = events.withColumn("_bin", F.floor(F.col("es") / width))
-    near = x.join(y, [*on, "_bin"]).where((F.abs(F.col("s") - F.col("es")) <= F.col("_tol")) & (F.abs(F.col("e") - F.col("ee")) <= F.col("_tol")))
-    distance = F.abs(F.col("s") - F.col("es")) + F.abs(F.col("e") - F.col("ee"))
-    best = near.groupBy("id").agg(F.min(F.struct(distance.alias("distance"), F.col("event").alias("event"))).alias("_b"))
+    off_s, off_e = F.abs(F.col("s") - F.col("es")), F.abs(F.col("e") - F.col("ee"))
+    tolerance = F.least(sv_tolerance("s", "e"), sv_tolerance("es", "ee"))
+    near = x.join(y, [*on, "_bin"]).where((off_s <= tolerance) & (off_e <= tolerance))
+    best = near.groupBy("id").agg(F.min(F.struct((off_s + off_e).alias("distance"), F.col("event").alias("event"))).alias("_b"))
     return best.select("id", "_b.event", "_b.distance")
 
 
-def sv_tolerance(s: str, e: str) -> Column:
-    """5 % of an event's length, from 20 to 100."""
-    return F.greatest(F.lit(20.0), F.least(F.lit(100.0), (F.col(e) - F.col(s)) * F.lit(0.05)))
-
-
 def lifted(points: DataFrame, segments: DataFrame, on: list[str], width: int = 256) -> DataFrame:
     """Positions through mapped segments (ss, se, to_contig, ts, reverse); null where no segment holds the position."""
     hit = point_join(points, segments, on, "pos", ("ss", "se"), width)

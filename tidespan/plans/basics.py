@@ -117,18 +117,20 @@ def d08(spark, d: str) -> DataFrame:
     return iv.recurrence(ca.calls(spark, d))
 
 
+TOLERANCE = "greatest(20, least(100, cast(floor(({1} - {0}) * 0.05 + 0.5) as integer)))"
+
+
 @query(
     "d07_nearest_event",
-    f"""with {CALLS}, ev as (select p_partkey as event, '1-URGENT' as chrom, cast(85000 + p_partkey * 17 as integer) as es, cast(85000 + p_partkey * 17 + 100 + p_size * 5 as integer) as ee from part),
-    x as (select call as id, event, abs(s - es) + abs(e - ee) as distance from calls c join ev on ev.chrom = c.chrom and abs(s - es) <= greatest(20.0, least(100.0, (e - s) * 0.05)) and abs(e - ee) <= greatest(20.0, least(100.0, (e - s) * 0.05)))
+    f"""with {CALLS}, ev as (select p_partkey as event, cast(85000 + p_partkey * 17 % 30000 as integer) as es, cast(85000 + p_partkey * 17 % 30000 + 100 + p_size * 5 as integer) as ee from part),
+    x as (select call as id, event, abs(s - es) + abs(e - ee) as distance from calls c join ev on abs(s - es) <= least({TOLERANCE.format("s", "e")}, {TOLERANCE.format("es", "ee")}) and abs(e - ee) <= least({TOLERANCE.format("s", "e")}, {TOLERANCE.format("es", "ee")}))
     select id, event, cast(distance as integer) as distance from (select *, row_number() over (partition by id order by distance, event) as k from x) where k = 1""",
 )
 def d07(spark, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    s = (F.lit(85000) + F.col("p_partkey") * 17).cast("int")
-    events = p.select(F.col("p_partkey").alias("event"), F.lit("1-URGENT").alias("chrom"), s.alias("es"), (s + 100 + F.col("p_size") * 5).alias("ee"))
-    probes = ca.calls(spark, d).select(F.col("call").alias("id"), "chrom", "s", "e")
-    return iv.nearest(probes, events, ["chrom"], iv.sv_tolerance("s", "e"), 100)
+    s = (F.lit(85000) + F.col("p_partkey") * 17 % 30000).cast("int")
+    events = p.select(F.col("p_partkey").alias("event"), s.alias("es"), (s + 100 + F.col("p_size") * 5).alias("ee"))
+    return iv.nearest(ca.calls(spark, d).select(F.col("call").alias("id"), "s", "e"), events, [])
 
 
 @query(
@@ -362,13 +364,11 @@ def x22(spark, d: str) -> DataFrame:
 
 @query(
     "x12_percent_label",
-    "select l_orderkey, l_linenumber, l_partkey, case when v >= 9.95 or v <= 0 then format('{:.0f} %', v) else format('{:.1f} %', v) end as label from (select *, l_discount * (l_linenumber + 0.25) * 40 as v from lineitem)",
+    "select l_orderkey, l_linenumber, l_partkey, case when v >= 9.95 or v <= 0 then cast(cast(floor(v + 0.5) as bigint) as varchar) || ' %' else format('{:.1f} %', floor(v * 10 + 0.5) / 10) end as label from (select *, l_discount * (l_linenumber + 0.25) * 40 as v from lineitem)",
 )
 def x12(spark, d: str) -> DataFrame:
-    p = F.col("l_discount") * (F.col("l_linenumber") + 0.25) * 40 / 100
-    v = F.col("l_discount") * (F.col("l_linenumber") + 0.25) * 40
-    label = F.concat(F.when((v >= 9.95) | (v <= 0), F.format_string("%.0f", v)).otherwise(F.format_string("%.1f", v)), F.lit(" %"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", label.alias("label"))
+    p = F.col("l_discount") * (F.col("l_linenumber") + 0.25) * 40
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", reads.percent_label(p, percent=True).alias("label"))
 
 
 @query(
