@@ -4,8 +4,8 @@ A line's tokens are its word shingles (five words), ordered by rarity. A line go
 line number, has Jaccard similarity of at least the threshold; lines of fewer than `least` words always stay, as such
 lines recur in clean text. Whether the earlier line itself goes makes no difference, so the result does not depend on any
 order of work. Equal token sets are one node, of which the first line stays. Of a shared shingle's list, each node is
-first compared with the list's earliest and shortest nodes; only nodes still without an earlier match are then compared
-with every earlier node of their lists.
+first compared with the list's earliest and most frequent nodes, then over some rounds with nodes drawn from the list;
+only nodes still without an earlier match are then compared with every earlier node of their lists.
 
 Defined results: null text stays null and empty text empty; rows that share a doc_id are one document (a line goes from
 each of them or from none); a null doc_id keeps its lines; line feeds go with the lines they end; other columns pass
@@ -14,8 +14,6 @@ through, whatever their names; an empty table gives none.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +24,7 @@ from tidespan.session import discard, store
 LINES = Sets(unit="line", words=5, num=80, den=100, least=5)
 
 
-def _pairs(rows: DataFrame, sets: Sets) -> DataFrame:
-    """(a, na, pa, b, nb, pb) with a < b, of rows (x, nx, px, y, ny, py)."""
-    first = F.col("x") < F.col("y")
-    side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
-    out = rows.select(side("x", "y").alias("a"), side("nx", "ny").alias("na"), side("px", "py").alias("pa"), side("y", "x").alias("b"), side("ny", "nx").alias("nb"), side("py", "px").alias("pb"))
-    return out.where(set_join.length_fits(sets))
+ROUNDS, LEADERS = 3, 8
 
 
 def _later(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -46,37 +39,46 @@ def later_lines(docs: DataFrame, sets: Sets = LINES) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     units, rank = set_join.signatures(docs, sets)
     place = F.struct("doc_id", "number")
-    nodes = store(units.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("check").alias("_c"), F.max("check").alias("_d")), "nodes")
+    nodes = store(units.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("_c"), F.max("check").alias("_d")), "nodes")
     if not nodes.where("_c <> _d").isEmpty():
         raise ValueError("two different sets have the same 64-bit hash")
     found = set_join.postings(docs, sets, rank)
     few = set_join.shared_postings(found)
     discard(found)
-    shared = store(few.join(nodes.select("node", "first"), "node"), "placed-postings")
+    shared = store(few.join(nodes.select("node", "first", "copies"), "node"), "placed-postings")
     discard(few)
     any_doc = nodes.select("node", F.col("first.doc_id").alias("doc_id"))
 
-    # a list's earliest node, and its earliest of the shortest
-    row = F.struct("first", "node", F.col("size").alias("n"), "pos")
-    short = F.struct(F.col("size").alias("n"), "first", "node", "pos")
-    both = shared.join(shared.groupBy("h").agg(F.min(row).alias("l0"), F.min(short).alias("l1")), "h")
-    parts = [
-        both.where(F.col(f"{k}.first") < F.col("first")).select(
-            F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col(f"{k}.node").alias("y"), F.col(f"{k}.n").alias("ny"), F.col(f"{k}.pos").alias("py")
-        )
-        for k in ("l0", "l1")
-    ]
-    tried = store(set_join.filtered(_pairs(reduce(DataFrame.union, parts), sets).distinct(), sets), "pairs")
-    gone = store(_later(set_join.verified(docs, sets, tried, any_doc), nodes), "gone")
-
-    # nodes without a match so far, against every earlier node of their lists
-    left = shared.join(gone, "node", "left_anti").select("h", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("first").alias("fx"))
-    every = shared.select("h", F.col("node").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("first").alias("fy"))
-    fits = sets.den * F.least("nx", "ny") >= sets.num * F.greatest("nx", "ny")
-    rest = _pairs(left.join(every, "h").where(F.col("fy") < F.col("fx")).where(fits), sets)
-    rest = store(set_join.filtered(rest, sets).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        gone = gone.union(_later(set_join.verified(docs, sets, rest, any_doc), nodes)).distinct()
+    gone = docs.sparkSession.createDataFrame([], "node long")
+    tried = docs.sparkSession.createDataFrame([], "a long, b long")
+    for round_no in range(ROUNDS + 1):
+        # members without an earlier match so far, in the lists that still hold them with an earlier node
+        size = shared.groupBy("h").agg(F.min("first").alias("_least"), F.count(F.lit(1)).alias("_m"))
+        left = store(shared.join(gone, "node", "left_anti").join(size, "h").where(F.col("first") > F.col("_least")), "open-postings")
+        r = left.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_m"), F.lit(0)).alias("pairs")).first()
+        if not r["n"]:
+            break
+        # the earliest and the most frequent node of a list in the first round, drawn ones later; all earlier nodes when few pairs are left
+        last = round_no == ROUNDS or (round_no > 0 and r["pairs"] <= 4 * r["n"])
+        x = left.select("h", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("first").alias("fx"))
+        if last:
+            y = shared.select("h", F.col("node").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("first").alias("fy"))
+            rows = x.join(y, "h").where("fy < fx")
+        elif round_no == 0:
+            early = F.min(F.struct("first", "node", "size", "pos"))
+            often = F.max(F.struct("copies", "size", "first", "node", "pos"))
+            tops = shared.groupBy("h").agg(early.alias("l0"), often.alias("l1"))
+            pick = F.array(*[F.struct(F.col(f"{k}.node").alias("y"), F.col(f"{k}.size").alias("ny"), F.col(f"{k}.pos").alias("py")) for k in ("l0", "l1")])
+            rows = x.join(tops.select("h", F.array_distinct(pick).alias("_tops")), "h").select("x", "nx", "px", F.inline("_tops")).where("x <> y")
+        else:
+            rows = set_join.leader_pairs(left, shared, round_no, LEADERS, sets)
+        found = store(set_join.filtered(set_join.oriented(rows, sets), sets).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = _later(set_join.verified(docs, sets, found, any_doc), nodes)
+        gone = store(gone.union(more).distinct(), "gone")
+        tried = tried.union(found)
+        discard(left)
+        if last:
+            break
 
     whole = gone.withColumn("_all", F.lit(True))
     special = nodes.join(whole, "node", "left").where("_all or first <> last").select("node", "first", F.coalesce("_all", F.lit(False)).alias("_all"))

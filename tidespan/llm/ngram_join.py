@@ -1,9 +1,10 @@
 """N-gram Jaccard join: near-duplicate documents as connected components of all links.
 
 Links between different sets are found by the prefix-filtering join of set_join. Within a shared shingle's list, each
-node is first compared with a few leaders of the list only (a number of pairs in proportion to the postings, however
-large a group of near copies is); the components so found are joined, and only then every pair of a list whose members
-still lie in different components. So no link is lost between components, and no group is expanded into all its pairs.
+node is first compared with a few leaders of the list only, over several rounds (a number of pairs in proportion to the
+postings, however large a group of near copies is); components are joined between rounds, and lists within one component
+drop out. Then every pair of a list whose members still lie in different components is compared. So no link is lost
+between components, and no group that its leaders hold together is expanded into all its pairs.
 
 Defined results: null text, empty text or text without words has an empty set, no links, and itself as component; a text
 of fewer words than a shingle is one shingle; repeated rows of one doc_id give a row each; a null doc_id is never linked;
@@ -12,8 +13,6 @@ other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,36 +22,52 @@ from tidespan.llm.set_join import Sets
 from tidespan.session import discard, store
 
 
-def leader_pairs(shared: DataFrame, sets: Sets) -> DataFrame:
-    """For each list: every node with its least, its greatest and its shortest node, where the length filter lets them."""
-    row = F.struct("node", F.col("size").alias("n"), "pos")
-    by_size = F.struct(F.col("size").alias("n"), "node", "pos")
-    leaders = shared.groupBy("h").agg(F.min(row).alias("l0"), F.max(row).alias("l1"), F.min(by_size).alias("l2"))
-    both = shared.join(leaders, "h")
-    parts = [
-        both.select(F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col(f"{k}.node").alias("y"), F.col(f"{k}.n").alias("ny"), F.col(f"{k}.pos").alias("py"))
-        for k in ("l0", "l1", "l2")
-    ]
-    return oriented(reduce(DataFrame.union, parts), sets).distinct()
-
-
-def oriented(pairs: DataFrame, sets: Sets) -> DataFrame:
-    first = F.col("x") < F.col("y")
-    side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
-    out = pairs.where("x <> y").select(
-        side("x", "y").alias("a"), side("nx", "ny").alias("na"), side("px", "py").alias("pa"), side("y", "x").alias("b"), side("ny", "nx").alias("nb"), side("py", "px").alias("pb")
-    )
-    return out.where(set_join.length_fits(sets))
+ROUNDS, LEADERS = 3, 8
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame, sets: Sets) -> DataFrame:
-    """Every pair of a list whose components differ, in lists that have two of them."""
+def marked_open(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """Postings of lists whose nodes lie in two components or more, written; how many, and how many pairs they hold across components."""
     marked = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("h").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("h")
     left = store(marked.join(mixed, "h", "left_semi"), "open-postings")
-    a = left.select("h", F.col("node").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    b = left.select("h", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    return a.join(b, "h").where("a < b and ca <> cb").where(set_join.length_fits(sets)).drop("h", "ca", "cb")
+    parts = left.groupBy("h", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    r = parts.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("m"), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("p")).first()
+    return left, int(r["m"]), int(r["p"])
+
+
+def open_pairs(left: DataFrame) -> DataFrame:
+    """Every pair of a list whose components differ."""
+    x = left.select("h", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
+    y = left.select("h", F.col("node").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"))
+    return x.join(y, "h").where("x < y and cx <> cy")
+
+
+def linked(docs: DataFrame, shared: DataFrame, first: DataFrame, sets: Sets) -> DataFrame:
+    """(node, component) over all links. Rounds of leader comparisons go on while lists hold more pairs across components than twice their postings; the pairs left are then compared one and all."""
+    links = None
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    tried = docs.sparkSession.createDataFrame([], "a long, b long")
+    for round_no in range(ROUNDS + 1):
+        left, members, pairs = marked_open(shared, labels)
+        if not pairs:
+            break
+        last = round_no == ROUNDS or (round_no > 0 and pairs <= 2 * members)
+        if last:
+            rows = open_pairs(left)
+        else:
+            component = left.select(F.col("node").alias("y"), F.col("component").alias("cy")).distinct()
+            of_x = left.select(F.col("node").alias("x"), F.col("component").alias("cx")).distinct()
+            rows = set_join.leader_pairs(left, left, round_no, LEADERS, sets)
+            rows = rows.join(of_x, "x").join(component, "y").where("cx <> cy")
+        found = store(set_join.filtered(set_join.oriented(rows, sets), sets).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+        good = set_join.verified(docs, sets, found, first)
+        links = good if links is None else links.union(good)
+        tried = tried.union(found)
+        labels = components(links)
+        discard(left)
+        if last:
+            break
+    return labels
 
 
 def similar_documents(docs: DataFrame, sets: Sets, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,14 +82,7 @@ def similar_documents(docs: DataFrame, sets: Sets, id_column: str = "doc_id", te
     found = set_join.postings(docs, sets, rank)
     shared = set_join.shared_postings(found)
     discard(found)
-    near = store(set_join.filtered(leader_pairs(shared, sets), sets), "pairs")
-    links = set_join.verified(docs, sets, near, first)
-    labels = components(links)
-    rest = store(set_join.filtered(open_pairs(shared, labels, sets), sets).join(near, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = set_join.verified(docs, sets, rest, first)
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    labels = linked(docs, shared, first, sets)
     # from nodes to documents: a component's least document
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -268,6 +268,33 @@ def filtered(pairs: DataFrame, sets: Sets) -> DataFrame:
     return grouped.where(most >= need).select("a", "b", "na", "nb", "common")
 
 
+def leader_pairs(members: DataFrame, lists: DataFrame, round_no: int, leaders: int, sets: Sets) -> DataFrame:
+    """Each member of a list (h, node, size, pos) with a few leaders drawn from the list by hash, as (x, nx, px, y, ny, py): a number of pairs in proportion to the members.
+
+    The draw is by node alone, so that the lists of one group of near copies mostly draw the same leaders; every round draws others.
+    """
+    draw = [F.min(F.struct(F.xxhash64("node", F.lit(round_no), F.lit(k)).alias("r"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"))) for k in range(leaders)]
+    drawn = lists.groupBy("h").agg(F.array_distinct(F.transform(F.array(*draw), lambda d: F.struct(d["y"].alias("y"), d["ny"].alias("ny"), d["py"].alias("py")))).alias("_drawn"))
+    x = members.select("h", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"))
+    out = x.join(drawn, "h").select("x", "nx", "px", F.inline("_drawn"))
+    return out.where("x <> y")
+
+
+def oriented(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """(a, na, pa, b, nb, pb) with a < b of rows (x, nx, px, y, ny, py) that pass the length filter and that of one position."""
+    first = F.col("x") < F.col("y")
+    side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    fits = (sets.den * F.least("nx", "ny") >= sets.num * F.greatest("nx", "ny")) & position_fits(sets, "nx", "px", "ny", "py")
+    out = pairs.where(fits).select(side("x", "y").alias("a"), side("nx", "ny").alias("na"), side("px", "py").alias("pa"), side("y", "x").alias("b"), side("ny", "nx").alias("nb"), side("py", "px").alias("pb"))
+    return out.distinct()
+
+
+def position_fits(sets: Sets, nx: str, px: str, ny: str, py: str):
+    """Of one shared shingle: what may be shared before, at and after it can still reach the overlap that is needed."""
+    need = F.ceil(F.lit(sets.num) * (F.col(nx) + F.col(ny)) / F.lit(sets.num + sets.den))
+    return F.least(px, py) + 1 + F.least(F.col(nx) - 1 - F.col(px), F.col(ny) - 1 - F.col(py)) >= need
+
+
 def length_fits(sets: Sets):
     return (sets.den * F.least("na", "nb")) >= (sets.num * F.greatest("na", "nb"))
 
