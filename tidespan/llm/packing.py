@@ -95,9 +95,10 @@ def pack(pieces: DataFrame, capacity: int, shard_rows: int = SHARD_ROWS) -> Data
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = sum_of_squares(np.asarray(rows.column("length")), capacity)
         rows = rows.append_column("sequence_id", pa.array(bins + (shard << 32), pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
