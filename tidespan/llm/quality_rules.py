@@ -186,13 +186,13 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that are kept, with their own columns only."""
-    mark = "_verdict"
-    while mark in docs.columns:
-        mark += "_"
     own = [f"_own_{i}" for i in range(len(docs.columns))]
     back = {n: c for n, c in zip(own, docs.columns, strict=True)}
     t, la = own[docs.columns.index(text)], own[docs.columns.index(lang)] if lang in docs.columns else lang
-    return judge(docs.toDF(*own), rules, t, la).where("kept").select(*[F.col(n).alias(c) for n, c in back.items()])
+    # a predicate on a verdict would be pushed down with everything it is made of written into it, over and over; past a
+    # column that differs at each run the optimizer pushes nothing
+    judged = judge(docs.toDF(*own), rules, t, la).withColumn("_wall", F.rand())
+    return judged.where("kept and _wall >= 0").select(*[F.col(n).alias(c) for n, c in back.items()])
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
