@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidespan.plans import basics, genomics
+from tidespan.plans import basics, genomics, more
 
-MODULES = [basics, genomics]
+MODULES = [basics, genomics, more]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
