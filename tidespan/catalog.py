@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidespan.plans import basics, genomics, more, phased
+from tidespan.plans import basics, effects, genomics, more, phased
 
-MODULES = [basics, genomics, more, phased]
+MODULES = [basics, effects, genomics, more, phased]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
