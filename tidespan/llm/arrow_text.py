@@ -23,6 +23,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(column: pa.Array) -> pa.Array:
@@ -62,12 +63,17 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(d.indices, dtype=np.int64), d.dictionary
 
 
+def strings_of(x: pa.Array) -> list[str]:
+    """Python strings, several times as fast as by scalars."""
+    return x.to_numpy(zero_copy_only=False).tolist()
+
+
 def hashes_of(distinct: pa.Array) -> np.ndarray:
     """64-bit hashes of distinct strings."""
     import xxhash
 
     one = xxhash.xxh3_64_intdigest
-    return np.fromiter((one(w) for w in distinct.to_pylist()), dtype=np.uint64, count=len(distinct))
+    return np.fromiter(map(one, strings_of(distinct)), dtype=np.uint64, count=len(distinct))
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -98,13 +104,15 @@ class Encoder:
 
     words: the tokenizer lower-cases and drops white space, so that the pieces are the words. Else pieces are words with the
     single space before them, and line feeds; a text where a space or a line feed stands beside other white space is
-    encoded whole. A piece of Latin letters, with at most one full stop or comma after them, goes straight to the
-    tokenizer's model, as its letters are one pre-token; all others take the whole tokenizer.
+    encoded whole. A piece of Latin letters, with ASCII marks after them or not, goes straight to the tokenizer's
+    model, as its letters are one pre-token and its marks another; all others take the whole tokenizer.
     """
 
     #: a space or line feed at an end, or beside white space or a control character
     UNSAFE = r"(?s)^[ \n]|[ \n]$|[\s\pZ\pC][ \n]|[ \n][\s\pZ\pC]|\x00"
     KEPT = 250_000
+    #: ASCII marks but the apostrophe, which starts pre-tokens of its own
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, words: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,9 +123,9 @@ class Encoder:
         self.bpe = self.model.model
         self.words = words
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.bytes = byte_alphabet()
         self.marks = {m: self._whole([m])[0] for m in ".,"}
+        self.common: dict[str, bytes] = {}
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -125,8 +133,16 @@ class Encoder:
     def _letters(self, piece: str) -> bytes | None:
         """The ids of a piece of letters below U+0250 (where case and composition have no context), or None."""
         tail = b""
-        if piece[-1] in self.marks and len(piece) > 1:
-            tail, piece = self.marks[piece[-1]], piece[:-1]
+        if piece[-1] in self.MARKS:
+            letters = piece.rstrip(self.MARKS)
+            if not letters:
+                return None
+            mark = piece[len(letters) :]
+            tail, piece = self.marks.get(mark), letters
+            if tail is None:
+                tail = self._whole([mark])[0]
+                if len(self.marks) < 10_000:
+                    self.marks[mark] = tail
         space = not self.words and piece[0] == " "
         core = piece[1:] if space else piece
         if not core.isalpha():
@@ -142,22 +158,26 @@ class Encoder:
         return array("I", ids).tobytes() + tail
 
     def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # two generations of pieces: what the newer lacks is looked up in the older, which is dropped when the newer is full
+        # pieces met again are kept for good, up to a number; new ones are kept until there are too many
         if len(self.known) > self.KEPT:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        out = [known.get(p) for p in pieces]
+            self.known = {}
+        common, known = self.common, self.known
+        out = [common.get(p) for p in pieces]
         hard = []
         for i, x in enumerate(out):
             if x is None:
                 p = pieces[i]
-                x = older.get(p)
-                if x is None:
-                    x = self._letters(p) if p else b""
-                if x is None:
-                    hard.append(i)
+                x = known.get(p)
+                if x is not None:
+                    if len(common) < self.KEPT:
+                        common[p] = x
                 else:
-                    out[i] = known[p] = x
+                    x = self._letters(p) if p else b""
+                    if x is None:
+                        hard.append(i)
+                        continue
+                    known[p] = x
+                out[i] = x
         for i, x in zip(hard, self._whole([pieces[i] for i in hard]), strict=True):
             out[i] = x
             if len(pieces[i]) < 64:
@@ -175,7 +195,7 @@ class Encoder:
         if unsafe.any():
             whole = np.flatnonzero(unsafe)
             rest = np.flatnonzero(~unsafe)
-            raw = self._whole(texts.take(pa.array(whole)).to_pylist())
+            raw = self._whole(strings_of(texts.take(pa.array(whole))))
             a, an = np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw], np.int64)
             b, bn = self._split(cut.take(pa.array(rest)))
             lengths = np.zeros(len(texts), np.int64)
@@ -195,7 +215,7 @@ class Encoder:
         if not len(pieces):
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
         codes, distinct = coded(pieces)
-        flat, lengths = self._each(distinct.to_pylist())
+        flat, lengths = self._each(strings_of(distinct))
         starts = starts_of(lengths)[:-1]
         each = lengths[codes]
         ids = flat[gathered(starts[codes], each)]

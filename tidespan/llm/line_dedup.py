@@ -60,16 +60,16 @@ def later_lines(docs: DataFrame, sets: Sets = LINES) -> DataFrame:
             break
         # the earliest and the most frequent node of a list in the first round, drawn ones later; all earlier nodes when few pairs are left
         last = round_no == ROUNDS or (round_no > 0 and r["pairs"] <= 4 * r["n"])
-        x = left.select("h", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("first").alias("fx"))
+        x = set_join.side(left, "x", F.col("first").alias("fx"))
         if last:
-            y = shared.select("h", F.col("node").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("first").alias("fy"))
+            y = set_join.side(shared, "y", F.col("first").alias("fy"))
             rows = x.join(y, "h").where("fy < fx")
         elif round_no == 0:
-            early = F.min(F.struct("first", "node", "size", "pos"))
-            often = F.max(F.struct("copies", "size", "first", "node", "pos"))
+            early = F.min(F.struct("first", "node", "size", "pos", "rank"))
+            often = F.max(F.struct("copies", "size", "first", "node", "pos", "rank"))
             tops = shared.groupBy("h").agg(early.alias("l0"), often.alias("l1"))
-            pick = F.array(*[F.struct(F.col(f"{k}.node").alias("y"), F.col(f"{k}.size").alias("ny"), F.col(f"{k}.pos").alias("py")) for k in ("l0", "l1")])
-            rows = x.join(tops.select("h", F.array_distinct(pick).alias("_tops")), "h").select("x", "nx", "px", F.inline("_tops")).where("x <> y")
+            pick = F.array(*[F.struct(*[F.col(f"{k}.{c}").alias(n) for c, n in (("node", "y"), ("size", "ny"), ("pos", "py"), ("rank", "ly"))]) for k in ("l0", "l1")])
+            rows = x.join(tops.select("h", F.array_distinct(pick).alias("_tops")), "h").select("x", "nx", "px", "lx", F.inline("_tops")).where("x <> y")
         else:
             rows = set_join.leader_pairs(left, shared, round_no, LEADERS, sets)
         found = store(set_join.filtered(set_join.oriented(rows, sets), sets).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -37,8 +37,8 @@ def marked_open(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, i
 
 def open_pairs(left: DataFrame) -> DataFrame:
     """Every pair of a list whose components differ."""
-    x = left.select("h", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
-    y = left.select("h", F.col("node").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"))
+    x = set_join.side(left, "x", F.col("component").alias("cx"))
+    y = set_join.side(left, "y", F.col("component").alias("cy"))
     return x.join(y, "h").where("x < y and cx <> cy")
 
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.llm.arrow_text import flat_words, gathered, mixed, slices, starts_of, texts_of, word_hashes
@@ -34,6 +34,7 @@ COUNTERS = 1 << 20
 CHUNKS = 256
 BITMAP_BITS = 27
 SUFFIX_RANGES = 64
+SLICE = 3 << 20
 
 
 @dataclass(frozen=True)
@@ -131,7 +132,7 @@ def signatures(docs: DataFrame, sets: Sets) -> tuple[DataFrame, np.ndarray]:
         names = ["doc_id", "number", "size", "node", "check", "chunk", "counts"]
         types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 u = units_of(texts_of(part.column("text")), sets)
                 counts += np.bincount(counter_of(u.shingles), minlength=COUNTERS)
                 keep = np.flatnonzero((u.size > 0) | (sets.unit == "document"))
@@ -166,7 +167,7 @@ def postings(docs: DataFrame, sets: Sets, rank: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = held.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 u = units_of(texts_of(part.column("text")), sets)
                 node = u.node(1)
                 owner = u.owner()
@@ -242,7 +243,7 @@ def live_bitmap(found: DataFrame) -> np.ndarray:
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
-    """Distinct postings of shingles that two nodes or more share, written."""
+    """Distinct postings (h, node, size, pos, rank) of shingles that two nodes or more share, written."""
     held = found.sparkSession.sparkContext.broadcast(live_bitmap(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,9 @@ def shared_postings(found: DataFrame) -> DataFrame:
     few = found.mapInArrow(run, found.schema).distinct()
     few = store(few, "few-postings")
     live = few.groupBy("h").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("h")
-    out = store(few.join(live, "h", "left_semi"), "shared-postings")
+    both = few.join(live, "h", "left_semi")
+    # how many shared shingles a node has before this one: what lies between is in no other prefix
+    out = store(both.withColumn("rank", (F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)), "shared-postings")
     discard(few)
     return out
 
@@ -268,35 +271,39 @@ def filtered(pairs: DataFrame, sets: Sets) -> DataFrame:
     return grouped.where(most >= need).select("a", "b", "na", "nb", "common")
 
 
+def side(postings: DataFrame, x: str, *more: str) -> DataFrame:
+    """Postings with their columns named for one side of a pair: h, x, nx, px, lx, and more."""
+    return postings.select("h", F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("rank").alias(f"l{x}"), *more)
+
+
 def leader_pairs(members: DataFrame, lists: DataFrame, round_no: int, leaders: int, sets: Sets) -> DataFrame:
-    """Each member of a list (h, node, size, pos) with a few leaders drawn from the list by hash, as (x, nx, px, y, ny, py): a number of pairs in proportion to the members.
+    """Each member of a list with a few leaders drawn from the list by hash, as (x, nx, px, lx, y, ny, py, ly): a number of pairs in proportion to the members.
 
     The draw is by node alone, so that the lists of one group of near copies mostly draw the same leaders; every round draws others.
     """
-    draw = [F.min(F.struct(F.xxhash64("node", F.lit(round_no), F.lit(k)).alias("r"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"))) for k in range(leaders)]
-    drawn = lists.groupBy("h").agg(F.array_distinct(F.transform(F.array(*draw), lambda d: F.struct(d["y"].alias("y"), d["ny"].alias("ny"), d["py"].alias("py")))).alias("_drawn"))
-    x = members.select("h", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"))
-    out = x.join(drawn, "h").select("x", "nx", "px", F.inline("_drawn"))
+    draw = [F.min(F.struct(F.xxhash64("node", F.lit(round_no), F.lit(k)).alias("r"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("rank").alias("ly"))) for k in range(leaders)]
+    drawn = lists.groupBy("h").agg(F.array_distinct(F.transform(F.array(*draw), lambda d: F.struct(*[d[c].alias(c) for c in ("y", "ny", "py", "ly")]))).alias("_drawn"))
+    out = side(members, "x").join(drawn, "h").select("x", "nx", "px", "lx", F.inline("_drawn"))
     return out.where("x <> y")
 
 
 def oriented(pairs: DataFrame, sets: Sets) -> DataFrame:
-    """(a, na, pa, b, nb, pb) with a < b of rows (x, nx, px, y, ny, py) that pass the length filter and that of one position."""
+    """(a, na, pa, b, nb, pb) with a < b of rows (x, nx, px, lx, y, ny, py, ly) that pass the length filter and that of one position."""
     first = F.col("x") < F.col("y")
-    side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
-    fits = (sets.den * F.least("nx", "ny") >= sets.num * F.greatest("nx", "ny")) & position_fits(sets, "nx", "px", "ny", "py")
-    out = pairs.where(fits).select(side("x", "y").alias("a"), side("nx", "ny").alias("na"), side("px", "py").alias("pa"), side("y", "x").alias("b"), side("ny", "nx").alias("nb"), side("py", "px").alias("pb"))
+    pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    fits = (sets.den * F.least("nx", "ny") >= sets.num * F.greatest("nx", "ny")) & position_fits(sets)
+    out = pairs.where(fits).select(pick("x", "y").alias("a"), pick("nx", "ny").alias("na"), pick("px", "py").alias("pa"), pick("y", "x").alias("b"), pick("ny", "nx").alias("nb"), pick("py", "px").alias("pb"))
     return out.distinct()
 
 
-def position_fits(sets: Sets, nx: str, px: str, ny: str, py: str):
-    """Of one shared shingle: what may be shared before, at and after it can still reach the overlap that is needed."""
-    need = F.ceil(F.lit(sets.num) * (F.col(nx) + F.col(ny)) / F.lit(sets.num + sets.den))
-    return F.least(px, py) + 1 + F.least(F.col(nx) - 1 - F.col(px), F.col(ny) - 1 - F.col(py)) >= need
+def position_fits(sets: Sets):
+    """Of one shared shingle: what may be shared before, at and after it can still reach the overlap that is needed.
 
-
-def length_fits(sets: Sets):
-    return (sets.den * F.least("na", "nb")) >= (sets.num * F.greatest("na", "nb"))
+    A shingle of one prefix that comes before a shared one is in the other prefix or not in the other set at all (the order
+    is the same for all), so at most the lesser rank among shared shingles is shared before it.
+    """
+    need = F.ceil(F.lit(sets.num) * (F.col("nx") + F.col("ny")) / F.lit(sets.num + sets.den))
+    return F.least("lx", "ly") + 1 + F.least(F.col("nx") - 1 - F.col("px"), F.col("ny") - 1 - F.col("py")) >= need
 
 
 def verified(docs: DataFrame, sets: Sets, pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -318,7 +325,7 @@ def verified(docs: DataFrame, sets: Sets, pairs: DataFrame, units: DataFrame) ->
         for batch in batches:
             s = np.asarray(batch.column("slot"))
             batch = batch.filter(pa.array((bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)))
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 u = units_of(texts_of(part.column("text")), sets)
                 ends = starts_of(u.size)
                 keep = np.flatnonzero(u.size > 0)
