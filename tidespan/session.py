@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return ctx._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def settings(spark: SparkSession):
+    """Settings of a write that ends a lineage: what it shuffled is of no more use, and may be as large as the input; and Arrow batches of 1,000 rows at most, as texts may be long."""
+    wanted = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and returns a reader of it: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -28,13 +46,8 @@ def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")  # what a finished write shuffled is of no more use, and may be as large as the input
-    try:
+    with settings(spark):
         writer.parquet(path)
-    finally:
-        spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
