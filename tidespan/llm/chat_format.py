@@ -141,3 +141,23 @@ def op7_chat_formatting(spark, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
     return digest(format_conversations(rows.unionByName(more)))
+
+
+ORACLE_OP7 = """
+with t as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), u as (
+  select *, row_number() over w - 1 as i, lag(role) over w as before from t window w as (partition by conv_id order by turn, role, text)
+), f as (
+  select *, case role when 'system' then before is null when 'user' then before is null or before in ('system', 'assistant') when 'assistant' then coalesce(before = 'user', false) else false end as fits,
+    case role when 'system' then 12 when 'user' then 10 when 'assistant' then 15 end + length(text) + 9
+      + length(text) - length(replace(replace(replace(text, '\\', ''), '#', ''), '<', '')) as chars
+  from u
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars, bool_and(fits) as valid, min(i) filter (where not fits) as first_bad_turn
+from f group by conv_id
+"""

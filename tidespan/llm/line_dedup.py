@@ -110,3 +110,20 @@ def without_later_lines(docs: DataFrame, sets: Sets = LINES) -> DataFrame:
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_later_lines(docs)
+
+
+ORACLE_OP3 = """
+with l as (
+  select doc_id, unnest(range(len(x))) as number, unnest(x) as line from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null)
+), w as (
+  select doc_id, number, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from l
+), s as (
+  select doc_id, number, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) as g from w where len(ws) >= 5
+), c as (select doc_id, number, count(*) as n from s group by doc_id, number), n as (select *, row_number() over (order by doc_id, number) as k from c),
+h as (select n.k, hash(g) as g from s join n using (doc_id, number) where g in (select g from s group by g having count(*) > 1)),
+p as (select a.k as x, b.k as y, count(*) as c from h a join h b on a.g = b.g and a.k > b.k group by all),
+gone as (select distinct x as k from p join n a on a.k = x join n b on b.k = y where 100 * c >= 80 * (a.n + b.n - c)),
+marked as (select l.doc_id, l.number, l.line, gone.k is not null as goes from l left join n on n.doc_id = l.doc_id and n.number = l.number left join gone on gone.k = n.k),
+kept as (select doc_id, coalesce(string_agg(line, chr(10) order by number) filter (where not goes), '') as text, count(*) filter (where goes) as n_removed from marked group by doc_id)
+select d.doc_id, k.text, coalesce(k.n_removed, 0) as n_removed from documents d left join kept k on k.doc_id = d.doc_id
+"""

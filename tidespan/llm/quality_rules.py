@@ -198,4 +198,42 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text: str =
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
-    return judge(docs).select(*columns)
+    return judge(docs).select(*[F.round(c, 6).alias(c) if c.endswith("_distance") else F.col(c) for c in columns])
+
+
+def oracle_op9(rules: QualityRules = QualityRules()) -> str:
+    """The query in DuckDB SQL."""
+    known = sorted(rules.common_words)
+    width = max(len(ws) for ws in rules.common_words.values())
+    words = "[" + ", ".join("[" + ", ".join(f"'{w}'" for w in rules.common_words[k]) + "]" for k in known) + "]"
+    langs = "[" + ", ".join(f"'{k}'" for k in known) + "]"
+    wsums = "[" + ", ".join(f"sum(c[{i}])" for i in range(1, width + 2)) + "]"
+    csums = "[" + ", ".join(f"sum(h[{i}])" for i in range(1, len(CHAR_CLASSES) + 1)) + "]"
+
+    def distance(p: str, q: str) -> str:
+        sp, sq = f"list_sum({p})", f"list_sum({q})"
+        m = f"(({p})[i] / {sp} + ({q})[i] / {sq}) / 2"
+        part = lambda x, s: f"case when ({x})[i] > 0 then ({x})[i] / {s} * log2(({x})[i] / {s} / ({m})) else 0.0 end"
+        return f"case when {sp} > 0 and {sq} > 0 then sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(p, sp)} + {part(q, sq)})) / 2)) else 0.0 end"
+
+    return f"""
+with a as (select doc_id, coalesce(text, '') as t, case when list_contains({langs}, lang) then lang else '' end as lang from documents),
+b as (select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws, regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g') as solid,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from a),
+c0 as (select *, len(ws) as n_words, length(solid) as word_chars, length(regexp_replace(solid, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+  length(regexp_replace(solid, '[^\\p{{Ll}}]', '', 'g')) as n_lower, length(regexp_replace(solid, '[^\\p{{Lu}}]', '', 'g')) as n_upper, length(regexp_replace(solid, '[^\\p{{Nd}}]', '', 'g')) as n_digit,
+  ({words})[list_position({langs}, lang)] as wanted from b),
+w as (select doc_id, unnest(range(len(ws) - 2)) as i, unnest(list_transform(range(1, len(ws) - 1), lambda j: array_to_string(ws[j:j + 2], ' '))) as g from c0 where len(ws) >= 3),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as k from w) where k > 1),
+r as (select doc_id, count(distinct i + j) as n_repeat_words from twice, range(3) q(j) group by doc_id),
+d as (select c0.*, coalesce(n_repeat_words, 0) as n_repeat_words, [n_lower, n_upper, n_digit, n_symbols, word_chars - n_lower - n_upper - n_digit - n_symbols]::double[] as h,
+  list_transform(coalesce(wanted, []), lambda x: len(list_filter(ws, lambda y: y = x)))::double[] as found from c0 left join r using (doc_id)),
+e as (select *, list_append(case when len(found) > 0 then found else list_transform(range({width}), lambda i: 0.0) end, len(ws) - coalesce(list_sum(found), 0.0))::double[] as c from d),
+own as (select lang, {csums} as rh, {wsums} as rc from e where n_words >= {rules.min_words} group by lang), pooled as (select {csums} as rh from e where n_words >= {rules.min_words}),
+f as (select e.*, case when e.lang = '' then pooled.rh else own.rh end as rh, own.rc from e left join own on own.lang = e.lang cross join pooled),
+g as (select *, case when rh is null then 0.0 else {distance("h", "rh")} end as char_distance, case when lang = '' or rc is null then 0.0 else {distance("c", "rc")} end as word_distance,
+  n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words as base_failed from f)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  round(char_distance, 6) as char_distance, round(word_distance, 6) as word_distance,
+  not base_failed and not (word_chars >= {rules.min_chars} and char_distance > {rules.max_char_distance}) and not (n_words >= {rules.min_judged_words} and word_distance > {rules.max_word_distance}) as kept from g
+"""

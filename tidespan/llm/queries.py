@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tidespan.llm.chat_format import op7_chat_formatting
+from tidespan.llm.chat_format import ORACLE_OP7, op7_chat_formatting
 from tidespan.llm.decontamination import op4_decontamination
 from tidespan.llm.katz_lm import op10_lm_scoring
-from tidespan.llm.line_dedup import op3_line_dedup
+from tidespan.llm.line_dedup import ORACLE_OP3, op3_line_dedup
 from tidespan.llm.ngram_join import ORACLE_OP5, op5_ngram_join
 from tidespan.llm.packing import op6_best_fit_packing
 from tidespan.llm.pii_surrogates import op2_pii_surrogates
-from tidespan.llm.quality_rules import op9_quality_rules
+from tidespan.llm.quality_rules import op9_quality_rules, oracle_op9
 from tidespan.llm.token_files import op8_token_files
 from tidespan.llm.url_filter import op1_url_filter
 
@@ -26,5 +26,8 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": ORACLE_OP3,
     "op5_ngram_join": ORACLE_OP5,
+    "op7_chat_formatting": ORACLE_OP7,
+    "op9_quality_rules": oracle_op9(),
 }
