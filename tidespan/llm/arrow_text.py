@@ -26,6 +26,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         pa.default_memory_pool().release_unused()
 
 
+def gathered_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together or cut so that each holds about that many bytes of text, or one row: what is distinct is met once in each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def together() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for part in slices(batch, column, most):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > most:
+                yield together()
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield together()
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """As large strings, null as empty, in one chunk."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidespan.llm.arrow_text import encoder, slices, starts_of, texts_of
+from tidespan.llm.arrow_text import encoder, gathered_slices, starts_of, texts_of
 from tidespan.session import store
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -31,21 +31,20 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, words=True)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, lengths = enc.encode(texts_of(part.column("text")))
-                bounds = starts_of(lengths)
-                rows: tuple[list, ...] = ([], [], [], [], [])
-                for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(own), capacity)):
-                        x = own[at : at + capacity]
-                        for column, value in zip(rows, (doc, k, at, len(x), zlib.crc32(x.tobytes())), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for part in gathered_slices(batches, "text"):
+            ids, lengths = enc.encode(texts_of(part.column("text")))
+            bounds = starts_of(lengths)
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4")
+                for k, at in enumerate(range(0, len(own), capacity)):
+                    x = own[at : at + capacity]
+                    for column, value in zip(rows, (doc, k, at, len(x), zlib.crc32(x.tobytes())), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return docs.selectExpr(f"`{id_column}` as doc_id", f"`{text}` as text").mapInArrow(run, PIECES)
 
