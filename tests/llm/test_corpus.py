@@ -225,7 +225,7 @@ def test_token_files(spark):
     rows = [(i * 3, " ".join(rng.choice(["river", "stone", "Over.", "x\ny"]) for _ in range(rng.randint(0, 80)))) for i in range(150)] + [(None, "null id"), (7, None), (9, ""), (9, "")]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, block string")
-    files = token_files.write(docs, BYTE, block_bytes=600, range_chars=2000)
+    files = token_files.write(docs, BYTE, block_bytes=600, range_docs=20)
     got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read(files).collect())
     t = Tokenizer.from_file(BYTE)
     enc = {k: t.encode(k or "", add_special_tokens=False).ids + [0] for k in {x for _, x in rows}}

@@ -6,7 +6,7 @@ without touching its neighbours. Blocks hold ascending doc_id (null first, then
 are cut at about block_bytes, or hold one longer document.
 
 Texts are encoded where they are; what is shuffled is compressed frames, once, by ranges of doc_id. The number of ranges
-follows the text, up to max_ranges; their token totals (one row a range) give each document its global start.
+follows the documents, up to max_ranges; their token totals (one row a range) give each document its global start.
 
 Defined results: null or empty text has the end id alone; repeated rows are kept, one after another; an empty table gives
 no blocks and a dictionary of no bytes.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.llm.arrow_text import encoder, slices, starts_of, texts_of
+from tidespan.llm.arrow_text import encoder, gathered_slices, starts_of, texts_of
 from tidespan.session import store
 
 MAGIC = b"TSID"
@@ -48,7 +48,7 @@ class TokenFiles:
 def sample_hash_limit(docs: DataFrame, most: int, max_chars: int) -> DataFrame:
     """At most about `most` short documents, the lowest hashes of doc_id; only hashes are sorted, never texts."""
     short = docs.where(F.length("text").between(1, max_chars))
-    lowest = [r[0] for r in short.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(most).collect()]
+    lowest = [r[0] for r in short.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most).collect()]
     return short.where(F.xxhash64("doc_id") <= (lowest[-1] if lowest else -(1 << 63))).limit(2 * most)
 
 
@@ -68,11 +68,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: str, s
         return b""
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2", block_bytes: int = 4 << 20, range_chars: int = 2 << 20, max_ranges: int = 100_000, level: int = 3) -> TokenFiles:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2", block_bytes: int = 4 << 20, range_docs: int = 600, max_ranges: int = 100_000, level: int = 3) -> TokenFiles:
     """width: "<u2" for vocabularies of up to 65,536 ids, else "<u4"."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_ranges = max(1, min(max_ranges, -(-chars // range_chars)))
+    n_ranges = max(1, min(max_ranges, -(-docs.count() // range_docs)))
     shares = [i / n_ranges for i in range(1, n_ranges)]
     cuts = sorted(set(docs.select(F.percentile_approx("doc_id", shares, 20 * n_ranges)).first()[0] or [])) if shares else []
     dictionary = train_dictionary(docs, tokenizer, end_id, width)
@@ -82,18 +81,20 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2",
         import zstandard
 
         enc = encoder(tokenizer, words=False)
-        one = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, lengths = enc.encode(texts_of(part.column("text")))
-                bounds = starts_of(lengths)
-                frames = [one.compress(np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype(width).tobytes()) for i in range(len(lengths))]
-                docs_in = part.column("doc_id").to_pylist()
-                ranges = [0 if d is None else bisect_right(cuts, d) for d in docs_in]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranges, pa.int32()), pa.array(docs_in, pa.int64()), pa.array(lengths + 1, pa.int64()), pa.array(frames, pa.binary())],
-                    names=["range_no", "doc_id", "n_tokens", "frame"],
-                )
+        trained = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if trained:
+            trained.precompute_compress(level=level)  # else each document would digest the dictionary anew
+        one = zstandard.ZstdCompressor(level=level, dict_data=trained)
+        for part in gathered_slices(batches, "text"):
+            ids, lengths = enc.encode(texts_of(part.column("text")))
+            bounds = starts_of(lengths)
+            frames = [one.compress(np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype(width).tobytes()) for i in range(len(lengths))]
+            docs_in = part.column("doc_id").to_pylist()
+            ranges = [0 if d is None else bisect_right(cuts, d) for d in docs_in]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ranges, pa.int32()), pa.array(docs_in, pa.int64()), pa.array(lengths + 1, pa.int64()), pa.array(frames, pa.binary())],
+                names=["range_no", "doc_id", "n_tokens", "frame"],
+            )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
