@@ -22,7 +22,7 @@ from tidespan.llm.set_join import Sets
 from tidespan.session import discard, store
 
 
-ROUNDS, LEADERS = 3, 8
+ROUNDS, LEADERS = 1, 6
 
 
 def marked_open(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
