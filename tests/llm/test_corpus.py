@@ -287,6 +287,15 @@ def test_katz(spark):
     assert katz_lm.score(docs.limit(0)).count() == 0
 
 
+def test_katz_dealt_histories(spark):
+    # one successor holds nearly all of a history, so that the other parts of it are far below the limit
+    rng = random.Random(4)
+    rows = [(i, " ".join(["the", "same"] * 40 + [w for _ in range(rng.randint(0, 2)) for w in ("the", f"rare{rng.randrange(60)}")])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, dealt = ({r["doc_id"]: r["score"] for r in katz_lm.score(docs, **k).collect()} for k in ({}, {"least_hot": 400}))
+    assert len(whole) == 60 and all(abs(whole[i] - dealt[i]) < 1e-9 for i in whole)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from tidespan.llm import quality_rules

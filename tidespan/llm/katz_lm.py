@@ -5,7 +5,8 @@ partitioned by hash; a chunk asks each partition for its distinct words, and the
 arrays, and gets counts back in the order asked. So what is shuffled is one entry for each distinct word or pair of a
 chunk, not one for each token; the tables are never broadcast, and nothing of them is collected but counts of counts.
 Pairs are partitioned by their first word, whose backoff weight needs them together; a first word with more than its
-share of all tokens is split over parts by the second word, and its partial sums (for at most SHARES such words) are added.
+share of all tokens is split over parts by the second word, and its partial sums (all of them; at most SHARES such words,
+of at most 2 * SHARES parts together) are added.
 
 P(w | h) = d(c(h, w)) * c(h, w) / c(h), where the pair was seen, else a(h) * P(w); P(w) = d(c(w)) * c(w) / N, and words
 never seen share the mass that is left as one event. a(h) makes the sum over all words exactly 1. Where discounting
@@ -34,6 +35,7 @@ from tidespan.session import discard, store
 END, START = np.uint64(0x1D), np.uint64(0x57)
 TOP = 5
 SHARES = 1024
+LEAST_HOT = 1_000_000
 CHUNK_BYTES = 8 << 20
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -224,9 +226,11 @@ def pair_table(chunks: DataFrame, words: Words, parts: int, hot: float) -> DataF
                 cut = [x.order[x.ends[k] : x.ends[k + 1]] for k in some]
                 # the count of a second word matters where its pair was seen, and then some chunk that saw it says it
                 fields = [x.id[x.h], x.id[x.w], np.where(x.train > 0, x.count[x.w], 0), x.train.astype(np.uint32)]
+                # the histories dealt by the second word too, known by their count in the whole corpus
+                dealt = [np.unique(x.id[x.h[o][x.count[x.h[o]] > hot]]) for o in cut]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([row["chunk"]] * len(some), pa.int64()), *[pa.array([packed(f[o].astype(np.uint32) if f.max(initial=0) < 1 << 32 else f[o]) for o in cut], pa.binary()) for f in fields], pa.array([len(o) for o in cut], pa.int64())],
-                    names=["part", "chunk", "h", "w", "cw", "train", "n"],
+                    [pa.array(some.astype(np.int32)), pa.array([row["chunk"]] * len(some), pa.int64()), *[pa.array([packed(f[o].astype(np.uint32) if f.max(initial=0) < 1 << 32 else f[o]) for o in cut], pa.binary()) for f in fields], pa.array([len(o) for o in cut], pa.int64()), pa.array([packed(a) if len(a) else None for a in dealt], pa.binary())],
+                    names=["part", "chunk", "h", "w", "cw", "train", "n", "dealt"],
                 )
 
     def wide(blobs: list[bytes]) -> np.ndarray:
@@ -255,6 +259,8 @@ def pair_table(chunks: DataFrame, words: Words, parts: int, hot: float) -> DataF
         table = np.stack(columns, axis=1)
         cuts = np.cumsum(sizes)[:-1]
         asked = [np.unique(x) for x in np.split(h, cuts)]
+        dealt = [unpacked(b, np.int64) for b in t.column("dealt").to_pylist() if b]
+        whole = np.column_stack([heads.astype(float), table])[np.isin(heads, np.concatenate([np.zeros(0, np.int64), *dealt]))]
         stats = np.array([(total == r).sum() for r in range(1, TOP + 2)], np.int64)
         return pa.table(
             {
@@ -264,11 +270,11 @@ def pair_table(chunks: DataFrame, words: Words, parts: int, hot: float) -> DataF
                 "heads": pa.array([packed(a) for a in asked], pa.binary()),
                 "sums": pa.array([packed(table[np.searchsorted(heads, a)]) for a in asked], pa.binary()),
                 "stats": pa.array([stats.tobytes()] + [None] * (len(sizes) - 1), pa.binary()),
-                "whole": pa.array([packed(np.column_stack([heads.astype(float), table])[table[:, 0] > hot / 64])] + [None] * (len(sizes) - 1), pa.binary()),
+                "whole": pa.array([packed(whole)] + [None] * (len(sizes) - 1), pa.binary()),
             }
         )
 
-    asked = chunks.mapInArrow(ask, "part int, chunk long, h binary, w binary, cw binary, train binary, n long")
+    asked = chunks.mapInArrow(ask, "part int, chunk long, h binary, w binary, cw binary, train binary, n long, dealt binary")
     return store(asked.groupBy("part").applyInArrow(answer, "part int, chunk long, counts binary, heads binary, sums binary, stats binary, whole binary"), "lm-pairs")
 
 
@@ -287,15 +293,15 @@ def pair_scores(seen: np.ndarray, sums: np.ndarray, p_word: np.ndarray, d: np.nd
     return np.log10(p)
 
 
-def score(docs: DataFrame, fold: int = 2, folds: int = 7, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of all documents by a model of those outside the fold (crc32 of doc_id, modulo folds, is fold)."""
+def score(docs: DataFrame, fold: int = 2, folds: int = 7, id_column: str = "doc_id", text: str = "text", least_hot: int = LEAST_HOT) -> DataFrame:
+    """Scores of all documents by a model of those outside the fold (crc32 of doc_id, modulo folds, is fold). least_hot: what a history may hold, at least, before it is dealt over partitions."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chunks = chunks_of(docs, fold, folds)
     # entries of a chunk are bounded by its slice of text, so partitions follow the number of chunks
     n = chunks.count()
     word_parts, parts = max(8, n // 2), max(8, 3 * n)
     table, words = word_table(chunks, word_parts)
-    hot = max(1_000_000, words.tokens / SHARES)
+    hot = max(least_hot, words.tokens / SHARES)
     # written, so that what it is made of can go before the pairs, the largest exchange
     ready = settled(chunks, table, word_parts)
     discard(chunks)
@@ -307,8 +313,7 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, id_column: str = "doc_
     for r in pairs.where("whole is not null").select("whole").toLocalIterator():
         for x in unpacked(r["whole"], np.float64).reshape(-1, TOP + 3):
             split[int(x[0])] = split.get(int(x[0]), 0) + x[1:]
-    # only histories over the limit were dealt to several partitions
-    split_ids = np.array(sorted(k for k, v in split.items() if v[0] > hot), np.int64)
+    split_ids = np.array(sorted(split), np.int64)
     split_sums = np.array([split[k] for k in split_ids.tolist()]).reshape(-1, TOP + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
