@@ -209,9 +209,8 @@ def h01(spark, d: str) -> DataFrame:
     p = table(spark, d, "part").where("p_size >= 5")
     a, n = F.lit(1000) + F.col("p_size") * 30, F.col("p_partkey")
     one = p.select(F.col("p_brand").alias("event"), n.cast("string").alias("id"), F.lit("1").alias("a_contig"), a.cast("int").alias("a_pos"), F.lit("tail").alias("a_side"), F.lit("1").alias("b_contig"), (a + 500).cast("int").alias("b_pos"), F.when(n % 3 == 0, "tail").otherwise("head").alias("b_side"), (n % 50).cast("int").alias("reads"))
-    few = one.withColumn("_k", F.row_number().over(Window.partitionBy("event").orderBy("id"))).where("_k <= 4").drop("_k")
-    windows = few.select("event").distinct().select("event", F.lit("1").alias("contig"), F.lit(0).alias("ws"), F.lit(10_000).alias("we"))
-    return structural.layouts(structural.rebuilt(few, windows))
+    windows = one.select("event").distinct().select("event", F.lit("1").alias("contig"), F.lit(0).alias("ws"), F.lit(10_000).alias("we"))
+    return structural.layouts(structural.rebuilt(one, windows))
 
 
 @query("a18_benign_list", "select 'chr' || (p_partkey % 22 + 1) as chrom, p_partkey * 10 + 1 as ls, p_partkey * 10 + p_size as le, case p_partkey % 3 when 0 then 'loss' when 1 then 'gain' else 'both' end as type from part")
