@@ -105,6 +105,20 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
         assert len(set(got)) == 20 and not set(got) & set(texts)
 
 
+def test_pii_long_secrets(spark):
+    import random
+
+    rng = random.Random(6)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    long, hexa = key("abcXYZ019+/_-", 700), key("0123456789abcdef", 600)
+    texts = [f"token={long}", f"token={long}x1", f"id {hexa} end"]
+    got = [r["text"] for r in pii_surrogates.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()]
+    for t, g in zip(texts, got, strict=True):
+        assert len(g) == len(t) and not any(t[i : i + 12] in g for i in range(7, len(t) - 12))
+    # secrets that share their first letters are two
+    assert got[0][6:80] != got[1][6:80]
+
+
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "http://Example.COM/en/7?x=1", "https://a.example.com/en/71#f", "http://example.com/en/8", "x://b.net/de/5", "http://example.net/de/8", "http://z.example.org/es/1", "http://org/es/", "http://myorg/es/", "http:///en/", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] * 2, "page_id long, url string, rule string")

@@ -43,7 +43,7 @@ LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежз
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
     "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]{1,64}+@(?:[\\p{L}\\p{N}-]{1,63}\\.){1,8}[A-Za-z]{2,24}",
-    "secret": "(?<![\\p{L}\\p{N}])(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\\s{0,3}[=:]\\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,256}|(?<![\\p{L}\\p{N}])[0-9a-fA-F]{32,256}(?![\\p{L}\\p{N}])",
+    "secret": "(?<![\\p{L}\\p{N}])(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\\s{0,3}[=:]\\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+|(?<![\\p{L}\\p{N}])[0-9a-fA-F]{32,}+(?![\\p{L}\\p{N}])",
     "name": "(?<![\\p{L}\\p{N}])(?:" + "|".join(t for g in TITLES.values() for t in g) + ")\\.? \\p{Lu}[\\p{L}'-]{1,40}(?: \\p{Lu}[\\p{L}'-]{1,40})?",
     "iban": "(?<![\\p{L}\\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}\\p{N}])",
     "phone": "(?<![\\p{L}\\p{N}+])\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\\p{L}\\p{N}])(?:\\([0-9]{3}\\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
