@@ -119,6 +119,20 @@ def test_pii_long_secrets(spark):
     assert got[0][6:80] != got[1][6:80]
 
 
+def test_pii_phones_of_one_code(spark):
+    # a few free digits after the code: written surrogates are distinct and no number of the corpus
+    texts = [f"+352 1 {i:02d} 1{i % 10}" for i in range(100)] + [f"+352 2 {i:02d} {i % 10}0" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii_surrogates.replace_pii(df, "k").collect()]
+    solid = lambda t: re.sub("[^0-9]", "", t)
+    assert len({solid(t) for t in got}) == 200 and not {solid(t) for t in got} & {solid(t) for t in texts}
+    assert all(re.fullmatch(r"\+352 [0-9] [0-9]{2} [0-9]{2}", t) for t in got)
+    # one number, one surrogate, whether or not its code is set off
+    one = spark.createDataFrame([(0, "+1 974 555 3436"), (1, "+19745553436")], "doc_id long, text string")
+    a, b = (solid(r["text"]) for r in pii_surrogates.replace_pii(one, "k").collect())
+    assert a == b and a[0] == "1" and a != "19745553436"
+
+
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "http://Example.COM/en/7?x=1", "https://a.example.com/en/71#f", "http://example.com/en/8", "x://b.net/de/5", "http://example.net/de/8", "http://z.example.org/es/1", "http://org/es/", "http://myorg/es/", "http:///en/", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] * 2, "page_id long, url string, rule string")

@@ -7,7 +7,8 @@ shuffled, pre-aggregated; texts never are, unless more entities than inline_limi
 only documents that hold entities. Built-in functions only.
 
 Types: email, secret, iban, card (Luhn-valid stays valid), ssn, ip, phone, and names after a title (gender by the title,
-script by the letters). A phone's leading country code, an email's top-level domain and an IBAN's country stay.
+script by the letters). A phone's leading country code (unless the numbers left under it run out), an email's top-level
+domain and an IBAN's country stay.
 
 Defined results: null text stays null with 0 entities; empty text stays empty; repeated rows are rewritten alike; other
 columns pass through, and n_entities and entity_types replace columns so named.
@@ -52,6 +53,9 @@ PATTERNS = {
     "ip": f"(?<![\\p{{L}}0-9.]){OCTET}(?:\\.{OCTET}){{3}}(?![0-9]|\\.[0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: A phone's country code, by the numbering zones; it changes too where so many candidates with it were taken.
+CODE = "^\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+CODE_ATTEMPTS = 50
 HINT = "[0-9@]|" + PATTERNS["name"] + "|(?i:token|secret|pass|key)"
 
 
@@ -81,7 +85,6 @@ def entities_of(hits: Column) -> Column:
             F.when(kind == "name", F.regexp_extract(found, "^\\S+ ", 0))
             .when(kind == "secret", F.regexp_extract(found, "^(?:.*[=:]\\s{0,3}[\"']?)?", 0))
             .when(kind == "iban", F.substring(found, 1, 2))
-            .when(kind == "phone", F.regexp_extract(found, "^(?:\\+[0-9]{1,3}(?=[^0-9]))?", 0))
             .otherwise(F.lit(""))
         )
         return {"head": out}
@@ -91,7 +94,9 @@ def entities_of(hits: Column) -> Column:
         body = F.substring(found, F.length(e["head"]) + 1, F.length(found))
         script = F.when(found.rlike(" \\p{IsCyrillic}"), "cyrillic").when(found.rlike(" \\p{IsGreek}"), "greek").otherwise("latin")
         gender = F.when(found.rlike("^(?:" + "|".join(TITLES["f"]) + ")\\.? "), "f").otherwise("m")
-        key = F.when(kind.isin("card", "ssn", "phone", "iban"), F.regexp_replace(F.lower(found), "[^\\p{L}\\p{N}]", "")).otherwise(F.lower(body))
+        solid = F.regexp_replace(F.lower(found), "[^\\p{L}\\p{N}]", "")
+        # the plus of a phone says that a country code follows, however it is set off
+        key = F.when((kind == "phone") & found.startswith("+"), F.concat(F.lit("+"), solid)).when(kind.isin("card", "ssn", "phone", "iban"), solid).otherwise(F.lower(body))
         return {"type": F.when(kind == "name", F.concat(F.lit("name:"), gender, F.lit(":"), script)).otherwise(kind), "key": key, "body": body}
 
     found = F.transform(hits, lambda h: F.struct(h.alias("found")))
@@ -133,13 +138,14 @@ def surrogates(items: Column, secret: str) -> Column:
 
     def stream(e: Column) -> dict:
         seed = F.concat_ws("\x1f", F.lit(secret), e["type"], e["key"], e["attempt"].cast("string"))
-        # what stays: an email's last label, an IBAN's country (the first two of its key)
+        # what stays: an email's last label, an IBAN's country (the first two of its key), a phone's plus and country code
+        code = F.when(e["attempt"] < CODE_ATTEMPTS, F.length(F.regexp_extract(e["key"], CODE, 0))).otherwise(F.lit(0))
         kept_from = F.when(e["type"] == "email", F.length(e["key"]) - F.length(F.substring_index(e["key"], ".", -1))).otherwise(F.lit(1 << 30))
         return {
             "stream": F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f")), 512)),
             "chars": F.split(e["key"], ""),
             "from": kept_from,
-            "to": F.when(e["type"] == "iban", F.lit(2)).otherwise(F.lit(0)),
+            "to": F.when(e["type"] == "iban", F.lit(2)).when(e["type"] == "phone", code).otherwise(F.lit(0)),
             "hex": (e["type"] == "secret") & e["key"].rlike("^[0-9a-f]+$"),
         }
 
