@@ -133,6 +133,14 @@ def test_pii_phones_of_one_code(spark):
     assert a == b and a[0] == "1" and a != "19745553436"
 
 
+def test_pii_surnames_never_run_out(spark, monkeypatch):
+    # sixteen surnames of four syllables for forty entities
+    monkeypatch.setitem(pii_surrogates.SYLLABLES, "latin", ["ba", "den"])
+    entities = spark.createDataFrame([("name:m:latin", f"surname{i}") for i in range(40)], "type string, key string")
+    got = pii_surrogates.assign(entities, "k", most=20).withColumn("new", pii_surrogates.candidate(F.col("attempt"), "k")).collect()
+    assert len(got) == 40 and len({r["new"] for r in got}) == 40
+
+
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "http://Example.COM/en/7?x=1", "https://a.example.com/en/71#f", "http://example.com/en/8", "x://b.net/de/5", "http://example.net/de/8", "http://z.example.org/es/1", "http://org/es/", "http://myorg/es/", "http:///en/", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] * 2, "page_id long, url string, rule string")

@@ -56,6 +56,8 @@ ANY = "|".join(PATTERNS.values())
 #: A phone's country code, by the numbering zones; it changes too where so many candidates with it were taken.
 CODE = "^\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 CODE_ATTEMPTS = 50
+#: Attempts after which surnames get another syllable, again and again.
+LONGER = 4
 HINT = "[0-9@]|" + PATTERNS["name"] + "|(?i:token|secret|pass|key)"
 
 
@@ -161,12 +163,17 @@ def surrogates(items: Column, secret: str) -> Column:
         letters = ~e["type"].startswith("name:") & (e["type"] != "ip")
         return {"plain": F.when(letters, F.transform(e["chars"], lambda c, i: swapped(e, c, i)))}
 
+    def longer(e: Column, syllables: list[str]) -> Column:
+        # one syllable more every LONGER attempts, so that there are always surnames left
+        more = F.transform(F.sequence(F.lit(1), F.floor(e["attempt"] / LONGER).cast("int")), lambda j: _of(syllables, _byte(e["stream"], j + 4)))
+        return F.when(e["attempt"] < LONGER, "").otherwise(F.array_join(more, ""))
+
     def new(e: Column) -> dict:
         address = F.concat_ws(".", (_byte(e["stream"], 0) % 222 + 1).cast("string"), *[_byte(e["stream"], i).cast("string") for i in (1, 2, 3)])
         valid = F.array_join(_luhn(e["chars"]), "") == e["key"]
         out = F.when(e["type"] == "ip", address).when((e["type"] == "card") & valid, F.array_join(_luhn(e["plain"]), "")).otherwise(F.array_join(e["plain"], ""))
         for (gender, script), names in GIVEN.items():
-            family = F.concat(*[_of(SYLLABLES[script], _byte(e["stream"], i)) for i in (1, 2, 3, 4)])
+            family = F.concat(*[_of(SYLLABLES[script], _byte(e["stream"], i)) for i in (1, 2, 3, 4)], longer(e, SYLLABLES[script]))
             full = F.when(F.instr(e["key"], " ") > 0, F.concat(_of(names, _byte(e["stream"], 0)), F.lit(" "), family)).otherwise(family)
             out = F.when(e["type"] == f"name:{gender}:{script}", F.lower(full)).otherwise(out)
         return {"new": out}
@@ -226,7 +233,7 @@ def candidate(attempt: Column, secret: str) -> Column:
 def assign(entities: DataFrame, secret: str, most: int = 100) -> DataFrame:
     """(type, key, attempt) over all distinct entities such that no two entities of a kind share a surrogate and none is an entity itself.
 
-    entities: distinct (type, key). Each round recomputes only what clashed. A value space too small for its entities raises.
+    entities: distinct (type, key). Each round recomputes only what clashed. Names get longer by attempts; a space of fixed digits or letters that is too small for its entities raises.
     """
     known = entities.select("type", "key")
     state = store(known.withColumn("attempt", F.lit(0)).withColumn("new", candidate(F.lit(0), secret)), "pii")
