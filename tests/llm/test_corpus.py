@@ -90,9 +90,9 @@ def brute_lines(rows):
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             w = words(line)
-            if len(w) < 5:
+            if not w:
                 continue
-            s = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+            s = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
             if any(100 * len(s & x) >= 80 * len(s | x) for x in seen):
                 gone.add((i, k))
             seen.append(s)

@@ -101,6 +101,88 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return hashes_of(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
 
 
+#: Bytes that separate words.
+BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+BLOCK_BYTES = 1 << 20
+LONG_WORD = 256
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1), modulo 2**64."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+class ByteHash:
+    """Hashes of words straight from bytes: a polynomial over a random value for each byte, mixed with the length; words beyond 256 bytes by xxh3. A-Z count as a-z."""
+
+    BASE = 0xD1342543DE82EF95
+
+    def __init__(self):
+        self.value = np.random.default_rng(0xC0FFEE).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.value[65:91] = self.value[97:123]
+        self.blank = np.zeros(256, bool)
+        self.blank[list(BLANKS)] = True
+        n = BLOCK_BYTES + LONG_WORD
+        self.up, self.down = powers(self.BASE, n), powers(pow(self.BASE, -1, 1 << 64), n)
+
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of every word in order, and the unit it lies in; unit i holds data[bounds[i] : bounds[i + 1]]."""
+        solid = ~self.blank[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[bounds] = True
+        first, last = solid.copy(), solid.copy()
+        first[1:] &= ~solid[:-1] | edge[1:-1]
+        last[:-1] &= ~solid[1:] | edge[1:-1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        size = ends - starts
+        out = np.empty(len(starts), np.uint64)
+        long = np.flatnonzero(size > LONG_WORD)
+        short = np.flatnonzero(size <= LONG_WORD) if len(long) else np.arange(len(starts))
+        s, e = starts[short], ends[short]
+        at = 0
+        while at < len(s):
+            to = int(np.searchsorted(s, s[at] + BLOCK_BYTES))
+            low, high = s[at], e[to - 1]
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(self.value[data[low:high]] * self.up[: high - low], out=sums[1:])
+            a, b = s[at:to] - low, e[at:to] - low
+            out[short[at:to]] = (sums[b] - sums[a]) * self.down[a]
+            at = to
+        if len(long):
+            import xxhash
+
+            for i in long.tolist():
+                out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds)))
+        return mixed(out ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), owner
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of large strings, one text after another, and where each begins and the last ends."""
+    _, offsets, values = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(values, np.uint8)[ends[0] : ends[-1]] if values is not None and len(texts) else np.zeros(0, np.uint8)
+    return data, ends - ends[0]
+
+
+def blobs(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary values, each of that many of the given items in a row."""
+    offsets = (starts_of(lengths) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unblobbed(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All items of a binary column without nulls, in order, and how many each row holds."""
+    _, offsets, values = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if not len(column) or ends[0] == ends[-1]:
+        return np.zeros(0, kind), np.zeros(len(column), np.int64)
+    return np.frombuffer(values, np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 

@@ -1,10 +1,11 @@
 """N-gram Jaccard join: near-duplicate documents as connected components of all links.
 
 Links between different sets are found by the prefix-filtering join of set_join. Within a shared shingle's list, each
-node is first compared with a few leaders of the list only, over several rounds (a number of pairs in proportion to the
-postings, however large a group of near copies is); components are joined between rounds, and lists within one component
-drop out. Then every pair of a list whose members still lie in different components is compared. So no link is lost
-between components, and no group that its leaders hold together is expanded into all its pairs.
+node is first compared with one leader of the list, the node nearest to what the list has in common: a number of pairs in
+proportion to the postings, however large a group of near copies is. Components are joined, and lists within one
+component drop out. Then every pair of a list whose members lie in different components and that passes the filters is
+compared. So no link is lost between components, and no group that its leaders hold together is expanded into all its
+pairs.
 
 Defined results: null text, empty text or text without words has an empty set, no links, and itself as component; a text
 of fewer words than a shingle is one shingle; repeated rows of one doc_id give a row each; a null doc_id is never linked;
@@ -22,74 +23,64 @@ from tidespan.llm.set_join import Sets
 from tidespan.session import discard, store
 
 
-ROUNDS, LEADERS = 1, 6
+def leader_rows(shared: DataFrame) -> DataFrame:
+    """Each posting with the one of its list whose prefix holds the least shingles of its own, as (x, nx, px, lx, y, ny, py, ly)."""
+    # one number to order by, so that aggregates stay of fixed size; of equals, any
+    key = (F.least(F.col("pos") - F.col("rank"), F.lit(1 << 22)).cast("long") * F.lit(1 << 40)) + F.shiftrightunsigned(F.xxhash64("node"), 24)
+    heads = shared.withColumn("_key", key).groupBy("h").agg(*[F.min_by(c, "_key").alias(n) for c, n in (("node", "y"), ("size", "ny"), ("pos", "py"), ("rank", "ly"))])
+    return set_join.side(shared, "x").join(heads, "h").where("x <> y")
 
 
-def marked_open(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """Postings of lists whose nodes lie in two components or more, written; how many, and how many pairs they hold across components."""
+def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every pair of a list whose components differ, once for lists that follow one another in both prefixes."""
     marked = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("h").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("h")
-    left = store(marked.join(mixed, "h", "left_semi"), "open-postings")
-    parts = left.groupBy("h", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    r = parts.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("m"), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("p")).first()
-    return left, int(r["m"]), int(r["p"])
-
-
-def open_pairs(left: DataFrame) -> DataFrame:
-    """Every pair of a list whose components differ."""
-    x = set_join.side(left, "x", F.col("component").alias("cx"))
-    y = set_join.side(left, "y", F.col("component").alias("cy"))
-    return x.join(y, "h").where("x < y and cx <> cy")
-
-
-def linked(docs: DataFrame, shared: DataFrame, first: DataFrame, sets: Sets) -> DataFrame:
-    """(node, component) over all links. Rounds of leader comparisons go on while lists hold more pairs across components than twice their postings; the pairs left are then compared one and all."""
-    links = None
-    labels = docs.sparkSession.createDataFrame([], "node long, component long")
-    tried = docs.sparkSession.createDataFrame([], "a long, b long")
-    for round_no in range(ROUNDS + 1):
-        left, members, pairs = marked_open(shared, labels)
-        if not pairs:
-            break
-        last = round_no == ROUNDS or (round_no > 0 and pairs <= 2 * members)
-        if last:
-            rows = open_pairs(left)
-        else:
-            component = left.select(F.col("node").alias("y"), F.col("component").alias("cy")).distinct()
-            of_x = left.select(F.col("node").alias("x"), F.col("component").alias("cx")).distinct()
-            rows = set_join.leader_pairs(left, left, round_no, LEADERS, sets)
-            rows = rows.join(of_x, "x").join(component, "y").where("cx <> cy")
-        found = store(set_join.filtered(set_join.oriented(rows, sets), sets).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        good = set_join.verified(docs, sets, found, first)
-        links = good if links is None else links.union(good)
-        tried = tried.union(found)
-        labels = components(links)
-        discard(left)
-        if last:
-            break
+    marked = store(marked.select("h", "node", "size", "pos", "rank", "prev", "component"), "marked-postings")
+    several = marked.groupBy("h").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("h")
+    left = marked.join(several, "h", "left_semi")
+    x = set_join.side(left, "x", F.col("component").alias("cx"), F.col("prev").alias("vx"))
+    y = set_join.side(left, "y", F.col("component").alias("cy"), F.col("prev").alias("vy"))
+    out = x.join(y, "h").where("x < y and cx <> cy and not (vx = vy and vx <> 0)")
+    out._stored_at = marked._stored_at
+    return out
+
+
+def linked(docs: DataFrame, units: DataFrame, sets: Sets) -> DataFrame:
+    """(node, component) over all links, written."""
+    live = set_join.live_postings(units, sets)
+    shared = store(live.groupBy("h", "node", "size", "pos", "rank", "prev").agg(F.min("place").alias("place"), F.min("check").alias("check")), "postings")
+    # every node of a list has one posting of rank 0
+    one = shared.where("rank = 0").select("node", "check", "place")
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    tried = store(leader_rows(shared).where(set_join.fits(sets)).select(*pair).distinct(), "pairs")
+    links = set_join.verified(docs, sets, tried, one)
+    labels = components(links)
+    rows = open_rows(shared, labels)
+    rest = store(rows.where(set_join.fits(sets)).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = set_join.verified(docs, sets, rest, one)
+    if not more.isEmpty():
+        discard(labels)
+        labels = components(links.union(more))
+    for df in (shared, tried, links, rows, rest, more):
+        discard(df)
     return labels
 
 
 def similar_documents(docs: DataFrame, sets: Sets, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    """(doc_id, n_shingles, component_id) of every row, written."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    units, rank = set_join.signatures(docs, sets)
-    known = units.where("size > 0 and doc_id is not null")
-    nodes = store(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("check").alias("_c"), F.max("check").alias("_d")), "nodes")
-    if not nodes.where("_c <> _d").isEmpty():
-        raise ValueError("two different sets have the same 64-bit hash")
-    first = nodes.select("node", F.col("first").alias("doc_id"))
-    found = set_join.postings(docs, sets, rank)
-    shared = set_join.shared_postings(found)
-    discard(found)
-    labels = linked(docs, shared, first, sets)
+    cut = set_join.cut_units(docs, sets)
+    units, nodes = set_join.named_nodes(cut, F.min("doc_id").alias("first"))
+    labels = linked(docs, units, sets)
     # from nodes to documents: a component's least document
-    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = store(named.join(least, "component").select("node", "component_id"), "components")
-    joined = units.join(F.broadcast(by_node) if by_node.count() < 10_000 else by_node, "node", "left")
     own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
-    return joined.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id"))
+    out = units.join(by_node, "node", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id"))
+    out = store(out, "similar")
+    for df in (cut, nodes, labels, by_node):
+        discard(df)
+    return out
 
 
 #: The pipeline's and the library's near duplicates: five words, 0.8.
@@ -98,7 +89,7 @@ NEAR = Sets(unit="document", words=5, num=80, den=100)
 
 def one_of_each(docs: DataFrame, sets: Sets = NEAR) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id."""
-    found = store(similar_documents(docs, sets), "near")
+    found = similar_documents(docs, sets)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
