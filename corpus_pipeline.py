@@ -1,12 +1,15 @@
 """The corpus pipeline: quality rules, line deduplication, near duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents; n_chars follows the text where lines go.
+one's docs. All but the last return the columns of documents; n_chars follows the text where lines go. Near copies share
+nearly all lines, so most go in the line stage, as documents of which too little is left; what is left as a near copy of
+another goes in the stage after it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidespan.llm import decontamination, line_dedup, ngram_join, packing, quality_rules
 from tidespan.session import store
@@ -18,8 +21,10 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match an earlier line; a document all of whose lines went stays, with empty text."""
-    return line_dedup.without_later_lines(docs).drop("n_removed").select(*docs.columns)
+    """Documents without lines that match an earlier line. One that lost lines and has fewer words left than the quality rules ask for goes with them: what it says is said before."""
+    done = line_dedup.without_later_lines(docs)
+    words = F.size(quality_rules.words_of(F.col("text")))
+    return done.where((F.col("n_removed") == 0) | (words >= quality_rules.QualityRules().min_words)).select(*docs.columns)
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
