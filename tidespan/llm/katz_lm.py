@@ -182,6 +182,8 @@ def settled(chunks: DataFrame, table: DataFrame, word_parts: int) -> DataFrame:
                 count, ids = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
                 count[order] = np.concatenate([unpacked(a["counts"], np.int64) for a in answers])
                 ids[order] = np.concatenate([unpacked(a["ids"], np.int64) for a in answers])
+                # the start mark stands before as many words as documents end
+                count[np.searchsorted(h, START)] = count[np.searchsorted(h, END)]
                 kept = [row[c] for c in ("docs", "nulls", "held", "lengths", "codes")]
                 values = [row["chunk"], *kept, int(np.searchsorted(h, START)), packed(count), packed(ids)]
                 types = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.binary(), pa.binary()]

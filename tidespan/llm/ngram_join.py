@@ -23,12 +23,16 @@ from tidespan.llm.set_join import Sets
 from tidespan.session import discard, store
 
 
+#: Live shingles of a node by which it meets leaders; what they miss is found by the comparison of all pairs.
+PROBES = 8
+
+
 def leader_rows(shared: DataFrame) -> DataFrame:
-    """Each posting with the one of its list whose prefix holds the least shingles of its own, as (x, nx, px, lx, y, ny, py, ly)."""
+    """Postings with the one of their list whose prefix holds the least shingles of its own, as (x, nx, px, lx, y, ny, py, ly)."""
     # one number to order by, so that aggregates stay of fixed size; of equals, any
     key = (F.least(F.col("pos") - F.col("rank"), F.lit(1 << 22)).cast("long") * F.lit(1 << 40)) + F.shiftrightunsigned(F.xxhash64("node"), 24)
     heads = shared.withColumn("_key", key).groupBy("h").agg(*[F.min_by(c, "_key").alias(n) for c, n in (("node", "y"), ("size", "ny"), ("pos", "py"), ("rank", "ly"))])
-    return set_join.side(shared, "x").join(heads, "h").where("x <> y")
+    return set_join.side(shared.where(F.col("rank") < PROBES), "x").join(heads, "h").where("x <> y")
 
 
 def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:

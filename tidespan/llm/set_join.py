@@ -338,7 +338,7 @@ def fits(sets: Sets) -> Column:
 
 def slot_flags(wanted: DataFrame) -> tuple[np.ndarray, int]:
     """A bitmap of the units (doc_id, number) of wanted by hash, of 2^16 to 2^27 bits; and that power. A bit too many only costs time."""
-    log = int(min(BITMAP_BITS, max(16, np.ceil(np.log2(max(1, wanted.count()))) + 4)))
+    log = int(min(BITMAP_BITS, max(16, np.ceil(np.log2(max(1, wanted.count()))) + 6)))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
