@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidespan.plans import annotated, basics, effects, genomics, more, phased
+from tidespan.plans import annotated, basics, effects, genomics, more, phased, rules
 
-MODULES = [annotated, basics, effects, genomics, more, phased]
+MODULES = [annotated, basics, effects, genomics, more, phased, rules]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -11,8 +11,8 @@ DGV_COVER = 0.8
 
 
 def dgv_hits(calls: DataFrame, records: DataFrame, width: int = 256) -> DataFrame:
-    """Records (record, type, inner is_, ie, outer os, oe) of a call's type or both: the extent that covers more of the call, from 80 % on; else the larger one that lies inside the call. rel says how they lie."""
-    pairs = overlap_join(calls, records, [], ("s", "e"), ("os", "oe"), width).where((F.col("type") == F.col("kind")) | (F.col("type") == "both"))
+    """Records of a call's chromosome (record, chrom, type, inner is_, ie, outer os, oe) of a call's type or both: the extent that covers more of the call, from 80 % on; else the larger one that lies inside the call. rel says how they lie."""
+    pairs = overlap_join(calls, records, ["chrom"], ("s", "e"), ("os", "oe"), width).where((F.col("type") == F.col("kind")) | (F.col("type") == "both"))
     n = F.greatest(F.lit(1), F.col("e") - F.col("s"))
     cover = lambda a, b: F.greatest(F.lit(0), F.least("e", b) - F.greatest("s", a)) / n
     inner = F.struct(cover("is_", "ie").alias("cover"), (F.col("is_") - F.col("ie")).alias("shorter"), F.col("is_").alias("a"), F.col("ie").alias("b"))

@@ -37,10 +37,10 @@ def passes(kinds: list[str] | None = None, min_size: int = 0, min_probes: int =
 
 
 def lab_matches(calls: DataFrame, entries: DataFrame, width: int = 256) -> DataFrame:
-    """For each call the compatible entry (entry, ls, le, type) that covers most of it, from 80 % on; ends inclusive, the first entry at ties."""
+    """For each call (call, chrom, kind, s, e) the compatible entry (entry, chrom, ls, le, type) of its chromosome that covers most of it, from 80 % on; ends inclusive, the first entry at ties."""
     a = calls.withColumn("_e", F.col("e") + 1)
     b = entries.withColumn("_le", F.col("le") + 1)
-    pairs = overlap_join(a, b, [], ("s", "_e"), ("ls", "_le"), width).where((F.col("type") == "both") | (F.col("type") == F.col("kind")))
+    pairs = overlap_join(a, b, ["chrom"], ("s", "_e"), ("ls", "_le"), width).where((F.col("type") == "both") | (F.col("type") == F.col("kind")))
     pct = (F.least("e", "le") - F.greatest("s", "ls") + 1) / (F.col("e") - F.col("s") + 1)
     best = pairs.withColumn("pct", pct).where(F.col("pct") >= LAB_COVER).groupBy("call").agg(F.max(F.struct("pct", (-F.col("entry")).alias("k"))).alias("_b"))
     return best.select("call", (-F.col("_b.k")).alias("entry"), F.col("_b.pct").alias("pct"))
@@ -53,8 +53,8 @@ def reciprocal(a: tuple[str, str], b: tuple[str, str]) -> Column:
 
 
 def population_matches(events: DataFrame, population: DataFrame, width: int = 256) -> DataFrame:
-    """Events (call, kind, s, e) with the population variants (sv, type, os, oe, is_, ie) whose outer extent they touch: the better reciprocal overlap of both extents, whether the inner one covers the event, and whether types agree."""
-    pairs = overlap_join(events, population, [], ("s", "e"), ("os", "oe"), width)
+    """Events (call, chrom, kind, s, e) with the population variants (sv, chrom, type, os, oe, is_, ie) of their chromosome whose outer extent they touch: the better reciprocal overlap of both extents, whether the inner one covers the event, and whether types agree."""
+    pairs = overlap_join(events, population, ["chrom"], ("s", "e"), ("os", "oe"), width)
     ro = F.greatest(reciprocal(("s", "e"), ("is_", "ie")), reciprocal(("s", "e"), ("os", "oe")))
     return pairs.select(
         "call", "sv", ro.alias("ro"), ((F.col("is_") <= F.col("s")) & (F.col("ie") >= F.col("e"))).alias("covers"), ((F.col("type") == F.col("kind")) | F.col("type").isin("both", "unknown")).alias("same_type")
@@ -62,8 +62,8 @@ def population_matches(events: DataFrame, population: DataFrame, width: int = 25
 
 
 def recurrent(calls: DataFrame, regions: DataFrame, most: int = 4, width: int = 256) -> DataFrame:
-    """The four best regions (region, rs, re) that share at least half of themselves and of the call."""
-    pairs = overlap_join(calls, regions, [], ("s", "e"), ("rs", "re"), width)
+    """The four best regions (region, chrom, rs, re) of a call's chromosome that share at least half of themselves and of the call."""
+    pairs = overlap_join(calls, regions, ["chrom"], ("s", "e"), ("rs", "re"), width)
     shared = (F.least("e", "re") - F.greatest("s", "rs")).cast("double")
     pairs = pairs.withColumns({"of_region": shared / (F.col("re") - F.col("rs")), "of_call": shared / (F.col("e") - F.col("s"))})
     good = pairs.where((F.col("of_region") >= RECURRENT_SHARE) & (F.col("of_call") >= RECURRENT_SHARE))

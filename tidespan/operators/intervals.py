@@ -79,13 +79,30 @@ def point_join(points: DataFrame, iv: DataFrame, on: list[str], pos: str, cols:
     return points.withColumn("_bin", F.floor(F.col(pos) / width)).join(y, [*on, "_bin"]).where((F.col(s) <= F.col(pos)) & (F.col(pos) < F.col(e))).drop("_bin")
 
 
+STRETCH = 4096
+
+
 def merged(iv: DataFrame, keys: list[str], gap: int = 0, s: str = "s", e: str = "e") -> DataFrame:
-    """Union of the intervals, joined where they lie within gap of each other, with the number of members."""
-    before = Window.partitionBy(*keys).orderBy(s, e)
-    reach = F.max(e).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    marked = iv.select(*keys, F.col(s).alias("s"), F.col(e).alias("e"), (reach.isNull() | (F.col(s) > reach + gap)).cast("int").alias("_new"))
-    grouped = marked.withColumn("_group", F.sum("_new").over(Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "_group").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("members")).drop("_group")
+    """Union of the intervals, joined where they lie within gap of each other, with the number of members. Merged by stretch of starts first, so that the order of a whole contig is taken of what is left alone."""
+    rows = iv.select(*keys, F.col(s).alias("s"), F.col(e).alias("e"), F.lit(1).cast("long").alias("members"), F.floor(F.col(s) / STRETCH).alias("_stretch"))
+    return _united(_united(rows, [*keys, "_stretch"], gap), keys, gap)
+
+
+def _united(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (reach.isNull() | (F.col("s") > reach + gap)).cast("int")
+    parts = rows.withColumn("_new", begins).withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy(*keys, "_part").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("members").alias("members")).drop("_part")
+
+
+def islands(rows: DataFrame, keys: list[str], pos: str, width: int) -> DataFrame:
+    """rows with _island: rows of a key whose positions lie within width of each other have the same one. It numbers runs of neighbouring bins that hold a row, so what is ordered is bins and not rows."""
+    bin_ = F.floor(F.col(pos) / width).alias("_bin")
+    order = Window.partitionBy(*keys).orderBy("_bin")
+    held = rows.select(*keys, bin_).distinct().withColumn("_new", (F.col("_bin") - F.lag("_bin", 1).over(order) > 1).cast("int"))
+    numbered = held.select(*keys, "_bin", F.sum(F.coalesce("_new", F.lit(0))).over(order).alias("_island"))
+    return rows.withColumn("_bin", bin_).join(numbered, [*keys, "_bin"]).drop("_bin")
 
 
 def reciprocal_overlap(as_: str, ae: str, bs: str, be: str) -> Column:
@@ -160,3 +177,28 @@ def runs_of_state(rows: DataFrame, keys: list[str], order: str, state: str) -> D
     changed = ~F.col(state).eqNullSafe(F.lag(state).over(w)) | (F.row_number().over(w) == 1)
     grouped = rows.withColumn("_c", changed.cast("int")).withColumn("_g", F.sum("_c").over(w))
     return grouped.where(F.col(state).isNotNull()).groupBy(*keys, "_g", state).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("_g")
+
+
+def pieces(ranges: DataFrame, size: int) -> DataFrame:
+    """ranges with piece_s and piece_e: each cut into pieces of that size, the last one shorter."""
+    starts = F.sequence(F.col("s"), F.col("e") - 1, F.lit(size).cast("long"))
+    out = ranges.where("s < e").withColumn("piece_s", F.explode(starts))
+    return out.withColumn("piece_e", F.least(F.col("piece_s") + size, F.col("e")))
+
+
+def chunk_depth(runs: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, chunk, bases, mean) of depth runs, by chunks of that size: bases counted by their depth, and the chunk's mean."""
+    cut = runs.where("depth > 0").withColumn("chunk", bins(F.col("s"), F.col("e"), size))
+    n = F.least(F.col("e"), (F.col("chunk") + 1) * size) - F.greatest(F.col("s"), F.col("chunk") * size)
+    sums = cut.groupBy(*keys, "chunk").agg(F.sum(n * F.col("depth")).alias("bases"))
+    return sums.withColumn("mean", F.col("bases") / F.lit(float(size)))
+
+
+def slice_summary(reads: DataFrame, key: str) -> DataFrame:
+    """(key, reads, spliced, share, junctions, insert_median) of reads (key, s, e, spliced, insert): the share of spliced reads, distinct junctions, and the upper median of the insert sizes that are known, by a histogram and a walk over its lengths."""
+    w = Window.partitionBy(key)
+    sizes = reads.where("insert is not null").groupBy(key, "insert").agg(F.count(F.lit(1)).alias("n"))
+    walked = sizes.withColumns({"_to": F.sum("n").over(w.orderBy("insert")), "_all": F.sum("n").over(w)})
+    median = walked.where(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(key).agg(F.min("insert").alias("insert_median"))
+    own = reads.groupBy(key).agg(F.count(F.lit(1)).alias("reads"), F.count_if("spliced").alias("spliced"), F.countDistinct(F.when(F.col("spliced"), F.struct("s", "e"))).alias("junctions"))
+    return own.join(median, key, "left").withColumn("share", F.try_divide(F.col("spliced").cast("double"), F.col("reads")))

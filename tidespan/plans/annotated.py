@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidespan.operators import annotation as an
 from tidespan.plans import carriers as ca
-from tidespan.plans.carriers import CALLS, EXONS, GENES, IV
+from tidespan.plans.carriers import CALLS, EXONS, GENES, IV, PART_CHROM
 from tidespan.session import table
 
 QUERIES: dict = {}
@@ -26,8 +26,8 @@ def query(name: str, sql: str | None = None):
 
 @query(
     "d10_dgv_hits",
-    f"""with {CALLS}, r as (select p_partkey as record, cast(85000 + p_partkey * 19 % 30000 as integer) as os, cast(85000 + p_partkey * 19 % 30000 + 40 + p_size * 12 as integer) as oe, case p_partkey % 3 when 0 then 'loss' when 1 then 'gain' else 'both' end as type from part),
-    x as (select call, record, s, e, os, oe, os + 10 as i1, oe - 10 as i2, greatest(0, least(e, oe) - greatest(s, os)) / greatest(1, e - s)::double as co, greatest(0, least(e, oe - 10) - greatest(s, os + 10)) / greatest(1, e - s)::double as ci from calls join r on s < oe and os < e and s < e and (type = kind or type = 'both')),
+    f"""with {CALLS}, r as (select p_partkey as record, {PART_CHROM}, cast(85000 + p_partkey * 19 % 30000 as integer) as os, cast(85000 + p_partkey * 19 % 30000 + 40 + p_size * 12 as integer) as oe, case p_partkey % 3 when 0 then 'loss' when 1 then 'gain' else 'both' end as type from part),
+    x as (select call, record, s, e, os, oe, os + 10 as i1, oe - 10 as i2, greatest(0, least(e, oe) - greatest(s, os)) / greatest(1, e - s)::double as co, greatest(0, least(e, oe - 10) - greatest(s, os + 10)) / greatest(1, e - s)::double as ci from calls join r on r.chrom = calls.chrom and s < oe and os < e and s < e and (type = kind or type = 'both')),
     y as (select *, ci >= co as inner_best, i1 >= s and i2 <= e and i2 > i1 as inner_in, os >= s and oe <= e and oe > os as outer_in from x),
     z as (select *, case when greatest(ci, co) >= 0.8 then case when inner_best then 'i' else 'o' end when outer_in and (not inner_in or co > ci) then 'o' when inner_in then 'i' when outer_in then 'o' end as w from y)
     select call, record, round(case w when 'i' then ci else co end, 6) as cover, case when (case w when 'i' then i1 else os end) <= s and (case w when 'i' then i2 else oe end) >= e then 'within' when s <= (case w when 'i' then i1 else os end) and e >= (case w when 'i' then i2 else oe end) then 'contains' else 'overlaps' end as rel from z where w is not null""",
@@ -36,7 +36,7 @@ def d10(spark, d: str) -> DataFrame:
     s = (F.lit(85000) + F.col("p_partkey") * 19 % 30000).cast("int")
     kind = F.when(F.col("p_partkey") % 3 == 0, "loss").when(F.col("p_partkey") % 3 == 1, "gain").otherwise("both")
     e = (s + 40 + F.col("p_size") * 12).cast("int")
-    r = table(spark, d, "part").select(F.col("p_partkey").alias("record"), s.alias("os"), e.alias("oe"), (s + 10).alias("is_"), (e - 10).alias("ie"), kind.alias("type"))
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("record"), ca.part_chrom(), s.alias("os"), e.alias("oe"), (s + 10).alias("is_"), (e - 10).alias("ie"), kind.alias("type"))
     return an.dgv_hits(ca.calls(spark, d), r).withColumn("cover", F.round("cover", 6))
 
 
@@ -49,10 +49,10 @@ def m04(spark, d: str) -> DataFrame:
 
 @query(
     "d05_reads_at_sites",
-    f"""with {IV}, {GENES}, x as (select gene, least(gs - s, e - 1 - gs) as to_end, allele from genes g join iv i on i.contig = g.contig and s <= gs and gs < e where gene % 4 = 0) select gene, count(*) as depth, count(*) filter (where allele = 'R') as alt, count(*) filter (where to_end < 10) as near_end from x group by gene""",
+    f"""with {IV}, {GENES}, x as (select gene, least(gs - s, e - 1 - gs) as to_end, allele from genes g join iv i on i.contig = g.contig and s <= gs and gs < e) select gene, count(*) as depth, count(*) filter (where allele = 'R') as alt, count(*) filter (where to_end < 10) as near_end from x group by gene""",
 )
 def d05(spark, d: str) -> DataFrame:
-    sites = ca.genes(spark, d).where("gene % 4 = 0").select("gene", "contig", F.col("gs").alias("pos"))
+    sites = ca.genes(spark, d).select("gene", "contig", F.col("gs").alias("pos"))
     x = an.reads_at_sites(ca.intervals(spark, d), sites, ["contig"])
     return x.groupBy("gene").agg(F.count(F.lit(1)).alias("depth"), F.count_if(F.col("allele") == "R").alias("alt"), F.count_if(F.col("to_end") < 10).alias("near_end"))
 

@@ -80,31 +80,31 @@ def e06(spark, d: str) -> DataFrame:
     return ca.intervals(spark, d).groupBy("contig", "mapq").agg(plus.alias("plus"), (F.count(F.lit(1)) - plus).alias("minus"), F.count(F.lit(1)).alias("n"))
 
 
-@query("d01_overlap_join", f"with {IV}, {GENES} select gene, g.contig, count(*) as n, cast(sum(least(e, ge) - greatest(s, gs)) as bigint) as bases from iv i join genes g on g.contig = i.contig and s < ge and gs < e where i.mapq <= 5 group by all")
+@query("d01_overlap_join", f"with {IV}, {GENES} select gene, g.contig, count(*) as n, cast(sum(least(e, ge) - greatest(s, gs)) as bigint) as bases from iv i join genes g on g.contig = i.contig and s < ge and gs < e group by all")
 def d01(spark, d: str) -> DataFrame:
-    a = ca.intervals(spark, d).where("mapq <= 5").select("contig", "s", "e")
+    a = ca.intervals(spark, d).select("contig", "s", "e")
     pairs = iv.overlap_join(a, ca.genes(spark, d), ["contig"], ("s", "e"), ("gs", "ge"))
     return pairs.groupBy("gene", "contig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("e", "ge") - F.greatest("s", "gs")).alias("bases"))
 
 
 @query(
     "e37_merged_blocks",
-    f"""with {IV}, x as (select contig, sample, s, e, max(e) over (partition by contig, sample order by s, e rows between unbounded preceding and 1 preceding) as reach from iv where e - s < 4),
+    f"""with {IV}, x as (select contig, sample, s, e, max(e) over (partition by contig, sample order by s, e rows between unbounded preceding and 1 preceding) as reach from iv),
     y as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by contig, sample order by s, e rows unbounded preceding) as g from x)
     select contig, sample, min(s) as s, max(e) as e, count(*) as members from y group by contig, sample, g""",
 )
 def e37(spark, d: str) -> DataFrame:
-    return iv.merged(ca.intervals(spark, d).where("e - s < 4"), ["contig", "sample"])
+    return iv.merged(ca.intervals(spark, d), ["contig", "sample"])
 
 
 @query(
     "h10_story_windows",
-    f"""with {IV}, x as (select contig, s, e, max(e) over (partition by contig order by s, e rows between unbounded preceding and 1 preceding) as reach from iv where e - s < 3 and mapq = 7),
+    f"""with {IV}, x as (select contig, s, e, max(e) over (partition by contig order by s, e rows between unbounded preceding and 1 preceding) as reach from iv),
     y as (select *, sum(case when reach is null or s > reach + 5 then 1 else 0 end) over (partition by contig order by s, e rows unbounded preceding) as g from x)
     select contig, min(s) as s, max(e) as e, count(*) as members from y group by contig, g""",
 )
 def h10(spark, d: str) -> DataFrame:
-    return iv.merged(ca.intervals(spark, d).where("e - s < 3 and mapq = 7"), ["contig"], gap=5)
+    return iv.merged(ca.intervals(spark, d), ["contig"], gap=5)
 
 
 @query(
@@ -229,12 +229,12 @@ def m03(spark, d: str) -> DataFrame:
 
 @query(
     "e18_cohort_z",
-    f"""with {IV}, u as (select site, sample, count(*)::double / 4 as usage from iv where site < 300 group by all), m as (select site, median(usage) as med, count(*) as n from u group by site),
+    f"""with {IV}, u as (select site, sample, count(*)::double / 4 as usage from iv group by all), m as (select site, median(usage) as med, count(*) as n from u group by site),
     a as (select u.site, 1.4826 * median(abs(usage - med)) as mad from u join m on m.site = u.site group by u.site)
     select u.site, u.sample, round(case when n >= 5 then (usage - med) / greatest(mad, 0.02) end, 6) as z from u join m on m.site = u.site join a on a.site = u.site""",
 )
 def e18(spark, d: str) -> DataFrame:
-    u = ca.intervals(spark, d).where("site < 300").groupBy("site", "sample").agg((F.count(F.lit(1)) / 4).alias("usage"))
+    u = ca.intervals(spark, d).groupBy("site", "sample").agg((F.count(F.lit(1)) / 4).alias("usage"))
     m = u.groupBy("site").agg(stats.averaging_median("usage").alias("med"), F.count(F.lit(1)).alias("n"))
     w = u.join(m, "site")
     a = w.groupBy("site").agg((stats.averaging_median(F.abs(F.col("usage") - F.col("med"))) * stats.MAD_SCALE).alias("mad"))
@@ -311,11 +311,11 @@ def d17(spark, d: str) -> DataFrame:
 
 @query(
     "e54_insert_median",
-    f"with {IV}, x as (select contig, e - s as v, row_number() over (partition by contig order by e - s) as k, count(*) over (partition by contig) as n from iv where mapq % 2 = 1) select contig, v as insert_median from x where k = n // 2 + 1",
+    f"with {IV}, x as (select contig, e - s as v, row_number() over (partition by contig order by e - s) as k, count(*) over (partition by contig) as n from iv) select contig, v as insert_median from x where k = n // 2 + 1",
 )
 def e54(spark, d: str) -> DataFrame:
     # by a histogram and a rank walk: the group is one row a length, never one a read
-    h = ca.intervals(spark, d).where("mapq % 2 = 1").groupBy("contig", (F.col("e") - F.col("s")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    h = ca.intervals(spark, d).groupBy("contig", (F.col("e") - F.col("s")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("contig")
     x = h.withColumn("_to", F.sum("n").over(w.orderBy("v"))).withColumn("_all", F.sum("n").over(w))
     return x.where(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy("contig").agg(F.min("v").alias("insert_median"))
@@ -382,7 +382,7 @@ def x13(spark, d: str) -> DataFrame:
 
 @query(
     "m01_fisher",
-    f"""with {IV}, t as (select site, count(*) filter (where strand = 'O' and allele = 'R') as a, count(*) filter (where strand <> 'O' and allele = 'R') as b, count(*) filter (where strand = 'O' and allele <> 'R') as c, count(*) filter (where strand <> 'O' and allele <> 'R') as d from iv where site < 400 group by site),
+    f"""with {IV}, t as (select site, count(*) filter (where strand = 'O' and allele = 'R') as a, count(*) filter (where strand <> 'O' and allele = 'R') as b, count(*) filter (where strand = 'O' and allele <> 'R') as c, count(*) filter (where strand <> 'O' and allele <> 'R') as d from iv group by site),
     p as (select *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) as k from t),
     x as (select site, a, b, c, d, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) as i, k from p),
     q as (select site, a, b, c, d, i, exp(k - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1)) as pi, exp(k - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1)) as pa from x)
@@ -391,7 +391,7 @@ def x13(spark, d: str) -> DataFrame:
 )
 def m01(spark, d: str) -> DataFrame:
     o, r = F.col("strand") == "O", F.col("allele") == "R"
-    t = ca.intervals(spark, d).where("site < 400").groupBy("site").agg(
+    t = ca.intervals(spark, d).groupBy("site").agg(
         F.count_if(o & r).cast("int").alias("a"), F.count_if(~o & r).cast("int").alias("b"), F.count_if(o & ~r).cast("int").alias("c"), F.count_if(~o & ~r).cast("int").alias("d")
     )
     most = t.select(F.coalesce(F.max(F.col("a") + F.col("b") + F.col("c") + F.col("d")), F.lit(0))).first()[0]
@@ -401,11 +401,11 @@ def m01(spark, d: str) -> DataFrame:
 
 @query(
     "m02_binomial",
-    f"""with {IV}, t as (select site, count(*) filter (where strand = 'O') as k, count(*) as n from iv where site < 400 group by site), x as (select site, k, n, unnest(range(0, least(k, n - k) + 1)) as i from t)
+    f"""with {IV}, t as (select site, count(*) filter (where strand = 'O') as k, count(*) as n from iv group by site), x as (select site, k, n, unnest(range(0, least(k, n - k) + 1)) as i from t)
     select site, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6) as p from x group by site, k, n""",
 )
 def m02(spark, d: str) -> DataFrame:
-    t = ca.intervals(spark, d).where("site < 400").groupBy("site").agg(F.count_if(F.col("strand") == "O").cast("int").alias("k"), F.count(F.lit(1)).cast("int").alias("n"))
+    t = ca.intervals(spark, d).groupBy("site").agg(F.count_if(F.col("strand") == "O").cast("int").alias("k"), F.count(F.lit(1)).cast("int").alias("n"))
     most = t.select(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     t = t.withColumn("_lf", F.array(*[F.lit(x) for x in stats.log_factorial_table(most)]))
     return t.select("site", F.round(stats.binomial_half("_lf", "k", "n"), 6).alias("p"))

@@ -104,3 +104,13 @@ CALLS = """calls as (
     case o_orderstatus when 'F' then 'loss' when 'O' then 'gain' else 'loh' end as kind,
     cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 10 as integer) as s,
     cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 10 + floor(o_totalprice / 1000) as integer) as e from orders)"""
+
+
+CHROMS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+#: The chromosome of a part as an annotation entry, in SQL and as a column.
+PART_CHROM = f"{CHROMS}[p_partkey % 5 + 1] as chrom"
+
+
+def part_chrom():
+    return F.get(F.array(*[F.lit(c) for c in CHROMS]), (F.col("p_partkey") % 5).cast("int")).alias("chrom")

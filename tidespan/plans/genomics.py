@@ -9,7 +9,7 @@ from tidespan.functions import stats
 from tidespan.operators import cgh, evidence, intervals, sites
 from tidespan.operators import junctions as jn
 from tidespan.plans import carriers as ca
-from tidespan.plans.carriers import CALLS, EXONS, GENES, IV, JUNCTIONS
+from tidespan.plans.carriers import CALLS, EXONS, GENES, IV, JUNCTIONS, PART_CHROM
 from tidespan.session import table
 
 QUERIES: dict = {}
@@ -126,7 +126,7 @@ def m07(spark, d: str) -> DataFrame:
 
 @query("w07_nesting_levels")
 def w07(spark, d: str) -> DataFrame:
-    return jn.nested(pooled(spark, d).where("n >= 8"), "contig")
+    return jn.nested(pooled(spark, d), "contig")
 
 
 ALLELES = f"""with {IV}, c as (select contig, site, allele as alt, count(*) as n, count(*) filter (where strand = 'O') as p, count(*) filter (where mapq < 20) as q from iv group by all), t as (select contig, site, sum(n) as an, sum(p) as ap, sum(q) as aq from c group by all),
@@ -278,22 +278,22 @@ def c09(spark, d: str) -> DataFrame:
 
 @query(
     "d14_lab_benign",
-    f"""with {CALLS}, lab as (select p_partkey as entry, cast(85000 + p_partkey * 29 % 30000 as integer) as ls, cast(85000 + p_partkey * 29 % 30000 + 50 + p_size * 8 as integer) as le, case p_partkey % 3 when 0 then 'loss' when 1 then 'gain' else 'both' end as type from part),
-    x as (select call, entry, (least(e, le) - greatest(s, ls) + 1) / (e - s + 1)::double as pct from calls join lab on (type = 'both' or type = kind) and s <= le and ls <= e)
+    f"""with {CALLS}, lab as (select p_partkey as entry, {PART_CHROM}, cast(85000 + p_partkey * 29 % 30000 as integer) as ls, cast(85000 + p_partkey * 29 % 30000 + 50 + p_size * 8 as integer) as le, case p_partkey % 3 when 0 then 'loss' when 1 then 'gain' else 'both' end as type from part),
+    x as (select call, entry, (least(e, le) - greatest(s, ls) + 1) / (e - s + 1)::double as pct from calls join lab on lab.chrom = calls.chrom and (type = 'both' or type = kind) and s <= le and ls <= e)
     select call, entry, round(pct, 6) as pct from (select *, row_number() over (partition by call order by pct desc, entry) as k from x where pct >= 0.8) where k = 1""",
 )
 def d14(spark, d: str) -> DataFrame:
     p = table(spark, d, "part")
     s = (F.lit(85000) + F.col("p_partkey") * 29 % 30000).cast("int")
     kind = F.when(F.col("p_partkey") % 3 == 0, "loss").when(F.col("p_partkey") % 3 == 1, "gain").otherwise("both")
-    lab = p.select(F.col("p_partkey").alias("entry"), s.alias("ls"), (s + 50 + F.col("p_size") * 8).alias("le"), kind.alias("type"))
+    lab = p.select(F.col("p_partkey").alias("entry"), ca.part_chrom(), s.alias("ls"), (s + 50 + F.col("p_size") * 8).alias("le"), kind.alias("type"))
     return cgh.lab_matches(ca.calls(spark, d), lab).withColumn("pct", F.round("pct", 6))
 
 
 @query(
     "d09_population_matches",
-    f"""with {CALLS}, pop as (select p_partkey as sv, cast(85000 + p_partkey * 31 % 30000 as integer) as os, cast(85000 + p_partkey * 31 % 30000 + 60 + p_size * 8 as integer) as oe, case p_partkey % 4 when 0 then 'loss' when 1 then 'gain' when 2 then 'both' else 'unknown' end as type from part),
-    x as (select call, sv, kind, type, greatest((least(e, oe) - greatest(s, os)) / greatest(e - s, oe - os, 1)::double, greatest(0, least(e, oe - 20) - greatest(s, os + 20)) / greatest(e - s, oe - os - 40, 1)::double) as ro, os + 20 <= s and oe - 20 >= e as covers from calls join pop on s < oe and os < e where call % 5 = 0)
+    f"""with {CALLS}, pop as (select p_partkey as sv, {PART_CHROM}, cast(85000 + p_partkey * 31 % 30000 as integer) as os, cast(85000 + p_partkey * 31 % 30000 + 60 + p_size * 8 as integer) as oe, case p_partkey % 4 when 0 then 'loss' when 1 then 'gain' when 2 then 'both' else 'unknown' end as type from part),
+    x as (select call, sv, kind, type, greatest((least(e, oe) - greatest(s, os)) / greatest(e - s, oe - os, 1)::double, greatest(0, least(e, oe - 20) - greatest(s, os + 20)) / greatest(e - s, oe - os - 40, 1)::double) as ro, os + 20 <= s and oe - 20 >= e as covers from calls join pop on pop.chrom = calls.chrom and s < oe and os < e)
     select call, sv, round(ro, 6) as ro, covers, type in (kind, 'both', 'unknown') as same_type from x where ro >= 0.5""",
 )
 def d09(spark, d: str) -> DataFrame:
@@ -301,20 +301,20 @@ def d09(spark, d: str) -> DataFrame:
     s = (F.lit(85000) + F.col("p_partkey") * 31 % 30000).cast("int")
     kind = F.get(F.array(F.lit("loss"), F.lit("gain"), F.lit("both"), F.lit("unknown")), (F.col("p_partkey") % 4).cast("int"))
     e = s + 60 + F.col("p_size") * 8
-    pop = p.select(F.col("p_partkey").alias("sv"), s.alias("os"), e.alias("oe"), (s + 20).alias("is_"), (e - 20).alias("ie"), kind.alias("type"))
-    m = cgh.population_matches(ca.calls(spark, d).where("call % 5 = 0"), pop)
+    pop = p.select(F.col("p_partkey").alias("sv"), ca.part_chrom(), s.alias("os"), e.alias("oe"), (s + 20).alias("is_"), (e - 20).alias("ie"), kind.alias("type"))
+    m = cgh.population_matches(ca.calls(spark, d), pop)
     return m.where("ro >= 0.5").select("call", "sv", F.round("ro", 6).alias("ro"), "covers", "same_type")
 
 
 @query(
     "d11_recurrent_top4",
-    f"""with {CALLS}, rec as (select p_partkey as region, cast(85000 + p_partkey * 13 % 30000 as integer) as rs, cast(85000 + p_partkey * 13 % 30000 + 60 + p_size * 8 as integer) as re from part),
-    x as (select call, region, (least(e, re) - greatest(s, rs)) / (re - rs)::double as of_region, (least(e, re) - greatest(s, rs)) / (e - s)::double as of_call from calls join rec on s < re and rs < e where e > s),
+    f"""with {CALLS}, rec as (select p_partkey as region, {PART_CHROM}, cast(85000 + p_partkey * 13 % 30000 as integer) as rs, cast(85000 + p_partkey * 13 % 30000 + 60 + p_size * 8 as integer) as re from part),
+    x as (select call, region, (least(e, re) - greatest(s, rs)) / (re - rs)::double as of_region, (least(e, re) - greatest(s, rs)) / (e - s)::double as of_call from calls join rec on rec.chrom = calls.chrom and s < re and rs < e where e > s),
     r as (select *, row_number() over (partition by call order by least(of_region, of_call) desc, region) as k from x where of_region >= 0.5 and of_call >= 0.5) select call, region, round(of_region, 6) as of_region, round(of_call, 6) as of_call from r where k <= 4""",
 )
 def d11(spark, d: str) -> DataFrame:
     s = (F.lit(85000) + F.col("p_partkey") * 13 % 30000).cast("int")
-    rec = table(spark, d, "part").select(F.col("p_partkey").alias("region"), s.alias("rs"), (s + 60 + F.col("p_size") * 8).alias("re"))
+    rec = table(spark, d, "part").select(F.col("p_partkey").alias("region"), ca.part_chrom(), s.alias("rs"), (s + 60 + F.col("p_size") * 8).alias("re"))
     return cgh.recurrent(ca.calls(spark, d), rec).select("call", "region", F.round("of_region", 6).alias("of_region"), F.round("of_call", 6).alias("of_call"))
 
 

@@ -175,13 +175,13 @@ def c12(spark, d: str) -> DataFrame:
 
 @query(
     "d19_split_chains",
-    f"""with {IV}, p as (select name, contig, strand, s, e, line * 100 as qs, line * 100 + 40 as qe, row_number() over (partition by name order by line, site, s, e) as k from iv where line <= 4),
+    f"""with {IV}, p as (select name, contig, strand, s, e, line * 100 as qs, line * 100 + 40 as qe, row_number() over (partition by name order by line, site, s, e) as k from iv),
     u as (select * from p qualify count(*) over (partition by name, qs) = 1), n as (select *, lead(contig) over w as contig2, lead(strand) over w as strand2, lead(s) over w as s2, lead(qs) over w as qs2 from u window w as (partition by name order by qs)),
     r as (select *, case when contig <> contig2 then 'elsewhere' when strand <> strand2 then 'inversion' when s2 - e >= 50 then 'deletion' when s2 - e <= -50 then 'duplication' when qs2 - qe >= 50 then 'insertion' end as kind from n where contig2 is not null)
     select name, contig, cast(floor((e + 2.5) / 5) * 5 as integer) as from_pos, contig2, cast(floor((s2 + 2.5) / 5) * 5 as integer) as to_pos, kind from r where kind is not null""",
 )
 def d19(spark, d: str) -> DataFrame:
-    p = ca.intervals(spark, d).where("line <= 4").select("name", "contig", "strand", "s", "e", (F.col("line") * 100).alias("qs"), (F.col("line") * 100 + 40).alias("qe"))
+    p = ca.intervals(spark, d).select("name", "contig", "strand", "s", "e", (F.col("line") * 100).alias("qs"), (F.col("line") * 100 + 40).alias("qe"))
     u = p.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("name", "qs"))).where("_n = 1").drop("_n")
     return structural.chained(u, ["name"])
 

@@ -82,12 +82,12 @@ def e38(spark, d: str) -> DataFrame:
 
 @query(
     "e05_exon_depth",
-    f"""with {IV}, {EXONS}, p as (select contig, rank, unnest(range(xs, xe)) as pos, xs, xe from exons where rank <= 6), q as (select p.contig, p.rank, p.pos, count(i.s) as depth from p left join iv i on i.contig = p.contig and i.s <= p.pos and p.pos < i.e group by all),
-    r as (select x.contig, x.rank, count(*) as reads from exons x join iv i on i.contig = x.contig and i.s < x.xe and i.e > x.xs where x.rank <= 6 group by all)
+    f"""with {IV}, {EXONS}, p as (select contig, rank, unnest(range(xs, xe)) as pos, xs, xe from exons), q as (select p.contig, p.rank, p.pos, count(i.s) as depth from p left join iv i on i.contig = p.contig and i.s <= p.pos and p.pos < i.e group by all),
+    r as (select x.contig, x.rank, count(*) as reads from exons x join iv i on i.contig = x.contig and i.s < x.xe and i.e > x.xs group by all)
     select q.contig, q.rank, median(depth) as median, round(avg(depth), 6) as mean, coalesce(any_value(reads), 0) as reads from q left join r on r.contig = q.contig and r.rank = q.rank group by q.contig, q.rank""",
 )
 def e05(spark, d: str) -> DataFrame:
-    rows, x = ca.intervals(spark, d), ca.exons(spark, d).where("rank <= 6")
+    rows, x = ca.intervals(spark, d), ca.exons(spark, d)
     runs = intervals.depth_runs(rows, ["contig"])
     hit = intervals.overlap_join(runs, F.broadcast(x), ["contig"], ("s", "e"), ("xs", "xe"), 64)
     # one row a run and exon: the median by weights, without a row a position; uncovered bases count as depth 0
@@ -118,12 +118,12 @@ def e17(spark, d: str) -> DataFrame:
 
 @query(
     "d13_genes_of_calls",
-    f"""with {CALLS}, {GENES}, g as (select gene % 200 as symbol, gene as tx, gs * 10 as a, ge * 10 + 300 as b, gene % 5 = 0 as listed from genes), x as (select call, s, e, symbol, tx, a, b, row_number() over (partition by call, symbol order by listed desc, b - a desc, tx) as k from calls join g on a < e and b > s where call % 3 = 0)
+    f"""with {CALLS}, {GENES}, g as (select gene % 200 as symbol, gene as tx, gs * 10 as a, ge * 10 + 300 as b, gene % 5 = 0 as listed from genes), x as (select call, s, e, symbol, tx, a, b, row_number() over (partition by call, symbol order by listed desc, b - a desc, tx) as k from calls join g on a < e and b > s)
     select call, symbol, max(case when k = 1 then tx end) as tx, bool_or(k = 1 and a >= s and b <= e) as whole from x group by all""",
 )
 def d13(spark, d: str) -> DataFrame:
     g = ca.genes(spark, d).select((F.col("gene") % 200).alias("symbol"), F.col("gene").alias("tx"), (F.col("gs") * 10).alias("a"), (F.col("ge") * 10 + 300).alias("b"), (F.col("gene") % 5 == 0).alias("listed"))
-    hit = intervals.overlap_join(ca.calls(spark, d).where("call % 3 = 0"), g, [], ("s", "e"), ("a", "b"), 512)
+    hit = intervals.overlap_join(ca.calls(spark, d), g, [], ("s", "e"), ("a", "b"), 512)
     # the principal model: listed first, then the longest
     best = F.min(F.struct((~F.col("listed")).alias("o"), (F.col("a") - F.col("b")).alias("n"), "tx", ((F.col("a") >= F.col("s")) & (F.col("b") <= F.col("e"))).alias("whole")))
     return hit.groupBy("call", "symbol").agg(best.alias("p")).select("call", "symbol", "p.tx", "p.whole")

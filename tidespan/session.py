@@ -17,17 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
         return found.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not ctx.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
     ctx.setCheckpointDir(path)
     return ctx._jsc.sc().getCheckpointDir().get()
 
 
 @contextmanager
-def settings(spark: SparkSession):
-    """Settings of a write that ends a lineage: what it shuffled is of no more use, and may be as large as the input; and Arrow batches of 1,000 rows at most, as texts may be long."""
+def settings(spark: SparkSession, records: int = 1000):
+    """Settings of a write that ends a lineage: what it shuffled is of no more use, and may be as large as the input; and Arrow batches of so many rows at most, as texts may be long."""
     wanted = {
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": str(min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(min(records, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))),
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
@@ -39,14 +41,14 @@ def settings(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def store(df: DataFrame, name: str, partition_by: list[str] | None = None, records: int = 1000) -> DataFrame:
     """Writes df as Parquet into the shared folder and returns a reader of it: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with settings(spark):
+    with settings(spark, records):
         writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

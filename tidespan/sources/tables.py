@@ -160,7 +160,7 @@ def domains(lines: DataFrame) -> DataFrame:
 def panel(lines: DataFrame) -> DataFrame:
     """Distinct gene symbols of a panel: the first cell of each line, or a list between commas, semicolons and spaces."""
     symbol = F.explode(F.split(F.when(F.contains("line", F.lit("\t")), F.get(F.split("line", "\t"), F.lit(0))).otherwise(F.col("line")), "[,;\\s]+"))
-    df = lines.where("not startswith(line, '#')").select(F.upper(F.trim(symbol)).alias("gene"))
+    df = lines.where("not startswith(line, '#')").select(symbol.alias("gene")).select(F.upper(F.trim("gene")).alias("gene"))
     return df.where("gene rlike '^[A-Z0-9][A-Z0-9@._-]{1,24}$' and gene not in ('GENE', 'SYMBOL')").distinct()
 
 
