@@ -77,3 +77,13 @@ def nmd(start_lost: Column, stop: Column, canonical_stop: Column, last_junction:
         .when(stop - coding_start < 150, "near start")
         .otherwise("degraded")
     )
+
+
+def deletion_frame(removed: Column, hits_codon: Column) -> Column:
+    """Frame effect of a junction that removes coding bases: utr where it removes none, out where it hits the start or stop codon or not whole codons, else in."""
+    return F.when(removed == 0, "utr").when(hits_codon | (removed % 3 != 0), "out").otherwise("in")
+
+
+def insertion_frame(in_coding: Column, length: Column) -> Column:
+    """Frame effect of bases that a junction adds: utr where its anchor lies outside the coding part, else by their number."""
+    return F.when(~in_coding, "utr").when(length % 3 != 0, "out").otherwise("in")

@@ -115,3 +115,46 @@ def hard_clipped(seq: Column, same_strand: Column, left: Column, right: Column,
 def in_blocks(blocks: Column, pos: Column, inner: bool = False) -> Column:
     """Whether a position lies in one of the blocks (s, e); inner: not at its first base."""
     return F.exists(blocks, lambda b: ((b["s"] < pos) if inner else (b["s"] <= pos)) & (pos < b["e"]))
+
+
+def known_chromosome(name: Column) -> Column:
+    """chr1 to chr22, chrX, chrY or chrM of a name with or without chr, MT, 23 or 24; empty for others."""
+    bare = F.regexp_replace(F.upper(F.trim(F.coalesce(name, F.lit("")))), "^CHR", "")
+    bare = F.when(bare == "MT", "M").when(bare == "23", "X").when(bare == "24", "Y").otherwise(bare)
+    return F.when(bare.rlike("^([1-9]|1[0-9]|2[0-2]|X|Y|M)$"), F.concat(F.lit("chr"), bare)).otherwise("")
+
+
+def variant_effect(consequence: Column, protein: Column) -> Column:
+    """lof, missense, inframe or other, by the consequence; without one, by the protein's notation."""
+    c = F.replace(F.lower(F.coalesce(consequence, F.lit(""))), F.lit("_"), F.lit(" "))
+    p = F.coalesce(protein, F.lit(""))
+    return (
+        F.when(c.rlike("nonsense|stop gained|frameshift|splice (donor|acceptor)|initiator codon|start lost"), "lof")
+        .when(c.rlike("missense"), "missense")
+        .when(c.rlike("inframe|in-frame|stop lost"), "inframe")
+        .when(c != "", "other")
+        .when(p.rlike("(Ter|\\*|X)\\)?$|fs"), "lof")
+        .when(p.rlike("^p\\.\\(?[A-Z][a-z]{2}[0-9]+[A-Z][a-z]{2}\\)?$"), "missense")
+        .otherwise("other")
+    )
+
+
+#: The fields of a population record that matter here.
+RECORD = "name string, chromStart double, chromEnd double, thickStart double, thickEnd double, freq string"
+
+
+def population_record(text: Column) -> Column:
+    """struct(id, os, oe, is_, ie, freq) of a record in JSON: the thick part is the inner extent where it lies within the outer one; a frequency with a percent sign or above 1 is a percentage. Null without usable coordinates."""
+    r = F.from_json(text, RECORD)
+    s, e, a, b = (r[c].cast("long") for c in ("chromStart", "chromEnd", "thickStart", "thickEnd"))
+    good = F.coalesce((b > a) & (a >= s) & (b <= e), F.lit(False))
+    share = F.nullif(F.regexp_extract(r["freq"], "([0-9]*\\.?[0-9]+)", 1), F.lit("")).cast("double")
+    freq = F.when(F.contains(r["freq"], F.lit("%")) | (share > 1), share / 100).otherwise(share)
+    out = F.struct(r["name"].alias("id"), s.alias("os"), e.alias("oe"), F.when(good, a).otherwise(s).alias("is_"), F.when(good, b).otherwise(e).alias("ie"), freq.alias("freq"))
+    return F.when(e > s, out)
+
+
+def looks_like_gene(text: Column) -> Column:
+    """Whether a text reads as a gene symbol: 2 to 30 characters, none of the forms of positions, exons and accessions."""
+    t = F.trim(text)
+    return F.length(t).between(2, 30) & ~t.rlike("(?i)^(chr|ens[a-z]*[0-9]|nm_|nr_|xm_|xr_|nc_|[cngmp]\\.|exons?\\b)") & t.rlike("^[A-Za-z][A-Za-z0-9.\\-@]*$")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidespan.functions import stats
 from tidespan.operators.intervals import overlap_join, point_join
 
 DGV_COVER = 0.8
+#: Fragments of each haplotype, Fisher's p and difference of shares from which a junction is allelic.
+LEAST_READS, ALLELIC_P, ALLELIC_DELTA = 3, 1e-3, 0.2
 
 
 def dgv_hits(calls: DataFrame, records: DataFrame, width: int = 256) -> DataFrame:
@@ -56,6 +59,26 @@ def supports(kind: Column, read_s: Column, read_e: Column, arc_s: Column, arc_e:
     return F.when(kind == "junction", exact).otherwise(near)
 
 
+def pooled_spanning(spanning: DataFrame, keys: list[str]) -> DataFrame:
+    """Reads across boundaries (sample, keys, side, pos, n), added over samples, and how many samples have some."""
+    return spanning.groupBy(*keys, "side", "pos").agg(F.sum("n").alias("n"), F.countDistinct(F.when(F.col("n") > 0, F.col("sample"))).alias("samples"))
+
+
+SUGGESTIONS = 10
+
+
+def suggested_genes(query: str, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(place, gene, local): at most ten genes whose symbols start with the letters, those of the session (gene, ord) first in their order, then those of the directory (gene, alias): the symbol itself, symbols that start with the letters, then aliases; shorter ones first. One row a symbol, whatever its case."""
+    key = query.strip().upper()
+    up = F.upper("gene")
+    own = local.where(F.startswith(up, F.lit(key))).groupBy(up.alias("_up")).agg(F.min(F.struct("ord", "gene")).alias("m")).select("_up", F.col("m.gene").alias("gene"), F.lit(0).alias("k"), F.col("m.ord").cast("long").alias("o"))
+    rank = F.when(up == key, 1).when(F.startswith(up, F.lit(key)), 2).when(F.startswith(F.upper("alias"), F.lit(key)), 3)
+    far = remote.select(up.alias("_up"), "gene", rank.alias("k"), F.length("gene").cast("long").alias("o")).where("k is not null")
+    both = own.unionByName(far).groupBy("_up").agg(F.min(F.struct("k", "o", "gene")).alias("m")).select("m.*")
+    first = both.orderBy("k", "o", "gene").limit(SUGGESTIONS)
+    return first.select(F.row_number().over(Window.orderBy("k", "o", "gene")).alias("place"), "gene", (F.col("k") == 0).alias("local"))
+
+
 def modes_of_inheritance(entries: DataFrame) -> DataFrame:
     """(gene, mode, sources): AD, AR, AD+AR, XLD, XLR or ? over a gene's entries (gene, text)."""
     t = F.lower(F.coalesce(F.col("text"), F.lit("")))
@@ -66,10 +89,16 @@ def modes_of_inheritance(entries: DataFrame) -> DataFrame:
 
 
 def allelic_junctions(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Use of each junction by haplotype against the fragments that could show it: (keys, s, e, use1, use2, delta). counts: (keys, s, e, hap, used, reads)."""
+    """Use of each junction by haplotype against the fragments that could show it: (keys, s, e, use1, use2, delta, p, allelic). counts: (keys, s, e, hap, used, reads). Allelic: three fragments of either, Fisher's p under 0.001 and a difference of at least 0.2."""
     g = counts.groupBy(*keys, "s", "e").agg(*[F.sum(F.when(F.col("hap") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (1, 2) for c in ("used", "reads")])
     u1, u2 = F.try_divide(F.col("used1").cast("double"), "reads1"), F.try_divide(F.col("used2").cast("double"), "reads2")
-    return g.withColumns({"use1": F.coalesce(u1, F.lit(0.0)), "use2": F.coalesce(u2, F.lit(0.0))}).withColumn("delta", F.abs(F.col("use1") - F.col("use2")))
+    g = g.withColumns({"use1": F.coalesce(u1, F.lit(0.0)), "use2": F.coalesce(u2, F.lit(0.0))}).withColumn("delta", F.abs(F.col("use1") - F.col("use2")))
+    most = g.agg(F.coalesce(F.max(F.col("reads1") + F.col("reads2")), F.lit(0))).first()[0]
+    cells = {"_a": F.col("used1"), "_b": F.col("reads1") - F.col("used1"), "_c": F.col("used2"), "_d": F.col("reads2") - F.col("used2")}
+    g = g.withColumns({k: v.cast("int") for k, v in cells.items()}).withColumn("_lf", F.array(*[F.lit(x) for x in stats.log_factorial_table(int(most))]))
+    g = g.withColumn("p", stats.fisher("_lf", "_a", "_b", "_c", "_d"))
+    deep = (F.col("reads1") >= LEAST_READS) & (F.col("reads2") >= LEAST_READS)
+    return g.withColumn("allelic", deep & (F.col("p") < ALLELIC_P) & (F.col("delta") >= ALLELIC_DELTA)).drop("_lf", "_a", "_b", "_c", "_d")
 
 
 #: Lengths of chromosome 1 by build.

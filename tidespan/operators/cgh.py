@@ -61,6 +61,12 @@ def population_matches(events: DataFrame, population: DataFrame, width: int = 25
     )
 
 
+def ordered_matches(matches: DataFrame) -> DataFrame:
+    """matches (call, sv, ro, same_type, freq) with their place: those of the same type first, then by reciprocal overlap and frequency."""
+    w = Window.partitionBy("call").orderBy(F.desc("same_type"), F.desc("ro"), F.desc(F.coalesce("freq", F.lit(0.0))), "sv")
+    return matches.withColumn("place", F.row_number().over(w))
+
+
 def recurrent(calls: DataFrame, regions: DataFrame, most: int = 4, width: int = 256) -> DataFrame:
     """The four best regions (region, chrom, rs, re) of a call's chromosome that share at least half of themselves and of the call."""
     pairs = overlap_join(calls, regions, ["chrom"], ("s", "e"), ("rs", "re"), width)

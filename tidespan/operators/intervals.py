@@ -202,3 +202,29 @@ def slice_summary(reads: DataFrame, key: str) -> DataFrame:
     median = walked.where(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(key).agg(F.min("insert").alias("insert_median"))
     own = reads.groupBy(key).agg(F.count(F.lit(1)).alias("reads"), F.count_if("spliced").alias("spliced"), F.countDistinct(F.when(F.col("spliced"), F.struct("s", "e"))).alias("junctions"))
     return own.join(median, key, "left").withColumn("share", F.try_divide(F.col("spliced").cast("double"), F.col("reads")))
+
+
+PAIR_MATCH = 1000
+
+
+def same_event(a: tuple[str, str], b: tuple[str, str], pairs: bool = False) -> Column:
+    """Whether two arcs are one event: both ends within the lesser tolerance of the two (5 % of the length, 20 to 100 bases), or within 1,000 bases where they come from pairs."""
+    near = lambda most: (F.abs(F.col(a[0]) - F.col(b[0])) <= most) & (F.abs(F.col(a[1]) - F.col(b[1])) <= most)
+    return near(F.lit(PAIR_MATCH)) if pairs else near(F.least(sv_tolerance(*a), sv_tolerance(*b)))
+
+
+def exon_coverage(reads: DataFrame, exons: DataFrame, on: str, sample: str) -> DataFrame:
+    """(sample, on, rank, reads, mean) of every sample's reads over every exon they touch: how many, and the mean depth."""
+    hit = overlap_join(reads, exons, [on], ("s", "e"), ("xs", "xe"))
+    n = F.least("e", "xe") - F.greatest("s", "xs")
+    return hit.groupBy(sample, on, "rank").agg(F.count(F.lit(1)).alias("reads"), (F.sum(n) / F.first(F.col("xe") - F.col("xs"))).alias("mean"))
+
+
+def layered_counts(reads: DataFrame, keys: list[str], plus: Column, bucket: Column) -> DataFrame:
+    """(keys, total, plus, minus, from_1, from_10, from_20, from_30): reads by strand layer, the minus layer being all but plus, and those left as the MAPQ buckets below each threshold are subtracted. bucket: 0 to 3 for MAPQ 0, 1 to 9, 10 to 19, 20 to 29, null beyond."""
+    counts = reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(plus).alias("plus"), *[F.count_if(bucket == b).alias(f"_b{b}") for b in range(4)])
+    left, out = F.col("total"), {}
+    for b, name in enumerate(("from_1", "from_10", "from_20", "from_30")):
+        left = left - F.col(f"_b{b}")
+        out[name] = left
+    return counts.withColumns({"minus": F.col("total") - F.col("plus"), **out}).drop(*[f"_b{b}" for b in range(4)])

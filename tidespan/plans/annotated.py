@@ -68,9 +68,17 @@ def e02(spark, d: str) -> DataFrame:
     return an.boundary_spanning(ca.intervals(spark, d), b, ["contig"])
 
 
-@query("e09_pool_spanning", f"with {IV} select contig, cast(s // 100 as integer) as pos, count(*) as n, count(distinct sample) as samples from iv group by all")
+@query(
+    "e09_pool_spanning",
+    f"""with {IV}, {EXONS}, b as (select contig, 'intronStart' as side, xe as pos from exons union all select contig, 'intronEnd', xs from exons),
+    n as (select b.contig, sample, side, pos, count(*) as n from b join iv i on i.contig = b.contig and s <= pos and pos < e and s <= pos - case side when 'intronStart' then 6 else 10 end and e >= pos + case side when 'intronStart' then 10 else 6 end group by all)
+    select contig, side, pos, cast(sum(n) as bigint) as n, count(distinct sample) as samples from n group by all""",
+)
 def e09(spark, d: str) -> DataFrame:
-    return ca.intervals(spark, d).groupBy("contig", F.floor(F.col("s") / 100).cast("int").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sample").alias("samples"))
+    x, iv = ca.exons(spark, d), ca.intervals(spark, d)
+    ends = F.inline(F.array(F.struct(F.lit("intronStart").alias("side"), F.col("xe").alias("pos")), F.struct(F.lit("intronEnd").alias("side"), F.col("xs").alias("pos"))))
+    b = x.select("contig", F.explode(F.array(*[F.lit(c) for c in ca.CHROMS])).alias("sample"), "xs", "xe").select("contig", "sample", ends)
+    return an.pooled_spanning(an.boundary_spanning(iv, b, ["contig", "sample"]), ["contig"])
 
 
 @query(
@@ -86,14 +94,19 @@ def e52(spark, d: str) -> DataFrame:
 @query(
     "e39_allelic_junctions",
     f"""with {IV}, c as (select contig, cast(s // 400 * 400 as integer) as s, cast(s // 400 * 400 + 400 as integer) as e, case strand when 'O' then 1 else 2 end as hap, count(*) filter (where allele = 'R') as used, count(*) as reads from iv group by all),
-    g as (select contig, s, e, sum(case when hap = 1 then used else 0 end) as u1, sum(case when hap = 1 then reads else 0 end) as r1, sum(case when hap = 2 then used else 0 end) as u2, sum(case when hap = 2 then reads else 0 end) as r2 from c group by all)
-    select contig, s, e, round(coalesce(u1 / nullif(r1, 0)::double, 0), 6) as use1, round(coalesce(u2 / nullif(r2, 0)::double, 0), 6) as use2, round(abs(coalesce(u1 / nullif(r1, 0)::double, 0) - coalesce(u2 / nullif(r2, 0)::double, 0)), 6) as delta from g""",
+    g as (select contig, s, e, sum(case when hap = 1 then used else 0 end) as u1, sum(case when hap = 1 then reads else 0 end) as r1, sum(case when hap = 2 then used else 0 end) as u2, sum(case when hap = 2 then reads else 0 end) as r2 from c group by all),
+    k as (select *, lgamma(r1 + 1) + lgamma(r2 + 1) + lgamma(u1 + u2 + 1) + lgamma(r1 + r2 - u1 - u2 + 1) - lgamma(r1 + r2 + 1) as k from g),
+    x as (select *, unnest(range(cast(greatest(0, u1 + u2 - r2) as bigint), cast(least(r1, u1 + u2) + 1 as bigint))) as i from k),
+    q as (select contig, s, e, exp(k - lgamma(i + 1) - lgamma(r1 - i + 1) - lgamma(u1 + u2 - i + 1) - lgamma(r2 - u1 - u2 + i + 1)) as pi, exp(k - lgamma(u1 + 1) - lgamma(r1 - u1 + 1) - lgamma(u2 + 1) - lgamma(r2 - u2 + 1)) as pa from x),
+    f as (select contig, s, e, least(1.0, sum(case when pi <= pa * (1 + 1e-7) then pi else 0 end)) as p from q group by all),
+    z as (select g.*, case when r1 = 0 or r2 = 0 or u1 + u2 = 0 or u1 + u2 = r1 + r2 then 1.0 else p end as p, coalesce(u1 / nullif(r1, 0)::double, 0) as w1, coalesce(u2 / nullif(r2, 0)::double, 0) as w2 from g left join f on f.contig = g.contig and f.s = g.s and f.e = g.e)
+    select contig, s, e, round(w1, 6) as use1, round(w2, 6) as use2, round(abs(w1 - w2), 6) as delta, round(p, 5) as p, r1 >= 3 and r2 >= 3 and p < 0.001 and abs(w1 - w2) >= 0.2 as allelic from z""",
 )
 def e39(spark, d: str) -> DataFrame:
     s = (F.floor(F.col("s") / 400) * 400).cast("int")
     hap = F.when(F.col("strand") == "O", 1).otherwise(2)
     c = ca.intervals(spark, d).groupBy("contig", s.alias("s"), (s + 400).alias("e"), hap.alias("hap")).agg(F.count_if(F.col("allele") == "R").alias("used"), F.count(F.lit(1)).alias("reads"))
-    return an.allelic_junctions(c, ["contig"]).select("contig", "s", "e", *[F.round(x, 6).alias(x) for x in ("use1", "use2", "delta")])
+    return an.allelic_junctions(c, ["contig"]).select("contig", "s", "e", *[F.round(x, 6).alias(x) for x in ("use1", "use2", "delta")], F.round("p", 5).alias("p"), "allelic")
 
 
 @query("c13_assemblies", "select p_partkey, case p_partkey % 5 when 0 then 'GRCh38' when 1 then 'GRCh37' when 2 then 'GRCh37' when 3 then 'T2T-CHM13' end as build from part")

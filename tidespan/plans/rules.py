@@ -322,3 +322,158 @@ def x01(spark, d: str) -> DataFrame:
     part = F.when(k % 3 == 0, F.concat(F.lit("-"), n, F.lit(",25"))).when(k % 3 == 1, F.concat(F.lit("-"), n, F.lit(".25 "))).otherwise("n/a")
     copies = F.when(n % 2 == 0, F.concat(F.lit("arr x"), n % 5)).otherwise(F.concat(F.lit("max"), n))
     return table(spark, d, "part").select("p_partkey", tables.position(whole).alias("whole"), tables.number(part).alias("part"), tables.copies_of(copies).alias("copies"))
+
+
+@query(
+    "f05_population_order",
+    f"""with {ca.CALLS}, pop as (select p_partkey as sv, {ca.PART_CHROM}, cast(85000 + p_partkey * 31 % 30000 as integer) as os, cast(85000 + p_partkey * 31 % 30000 + 60 + p_size * 8 as integer) as oe, case p_partkey % 4 when 0 then 'loss' when 1 then 'gain' when 2 then 'both' else 'unknown' end as type, p_size / 100.0::double as freq from part),
+    x as (select call, sv, freq, type in (kind, 'both', 'unknown') as same_type, greatest((least(e, oe) - greatest(s, os)) / greatest(e - s, oe - os, 1)::double, greatest(0, least(e, oe - 20) - greatest(s, os + 20)) / greatest(e - s, oe - os - 40, 1)::double) as ro from calls join pop on pop.chrom = calls.chrom and s < oe and os < e)
+    select call, sv, cast(row_number() over (partition by call order by same_type desc, ro desc, freq desc, sv) as integer) as place from x where ro >= 0.5""",
+)
+def f05(spark, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    s = (F.lit(85000) + F.col("p_partkey") * 31 % 30000).cast("int")
+    e = s + 60 + F.col("p_size") * 8
+    pop = p.select(F.col("p_partkey").alias("sv"), ca.part_chrom(), s.alias("os"), e.alias("oe"), (s + 20).alias("is_"), (e - 20).alias("ie"), pick(["loss", "gain", "both", "unknown"], F.col("p_partkey") % 4).alias("type"))
+    m = cgh.population_matches(ca.calls(spark, d), pop).where("ro >= 0.5").join(p.select(F.col("p_partkey").alias("sv"), (F.col("p_size") / 100.0).alias("freq")), "sv")
+    return cgh.ordered_matches(m).select("call", "sv", "place")
+
+
+@query("d04_names_across", f"with {IV}, a as (select contig, name, count(*) as at_a from iv where s <= 9500 and e > 9500 group by all), b as (select contig, name, count(*) as at_b from iv where s <= 9560 and e > 9560 group by all) select a.contig, a.name, at_a, at_b from a join b on a.contig = b.contig and a.name = b.name")
+def d04(spark, d: str) -> DataFrame:
+    return phasing.names_across(ca.intervals(spark, d), ["contig"], "name", 9500, 9560)
+
+
+@query(
+    "e42_haplotag_pairs",
+    """with x as (select p_partkey as id, ['h1', 'h2', 'both', 'check', null][p_partkey % 5 + 1] as a, ['h1', 'h2', 'thin', 'both'][p_size % 4 + 1] as b, case when p_partkey % 7 = 0 then null else p_partkey % 3 end as sa, case when p_partkey % 7 = 0 then null else p_size % 3 end as sb from part)
+    select id, case when a is null then null when a = 'both' or b = 'both' then 'hom' when sa is distinct from sb then 'unlinked' when a not in ('h1', 'h2') or b not in ('h1', 'h2') then 'undecided' when a = b then 'cis' else 'trans' end as call from x""",
+)
+def e42(spark, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    set_of = lambda c: F.when(k % 7 != 0, c % 3)
+    call = phasing.haplotag_pair(pick(["h1", "h2", "both", "check", None], k % 5), set_of(k), pick(["h1", "h2", "thin", "both"], n % 4), set_of(n))
+    return table(spark, d, "part").select(k.alias("id"), call.alias("call"))
+
+
+@query(
+    "e44_chain_verdicts",
+    """with x as (select p_partkey as id, case when p_partkey % 5 > 0 then p_partkey % 3 end as ba, case when p_size % 6 > 0 then p_size % 3 end as bb, p_partkey % 2 as ha, p_size % 2 as hb, ['few', 'conflict', 'cis'][p_partkey % 3 + 1] as call, ['reads', 'tags'][p_size % 2 + 1] as source, p_size % 15 as n, ['cis', 'undecided', null][p_size % 3 + 1] as tags from part)
+    select id, case when ba = bb then case when ha = hb then 'cis' else 'trans' end end as chain, (call = 'few' or call = 'conflict' and source = 'reads' and n < 10) and coalesce(tags, '') <> 'cis' and id % 11 <> 0 as needed from x""",
+)
+def e44(spark, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    chain = phasing.chain_verdict(F.when(k % 5 > 0, k % 3), k % 2, F.when(n % 6 > 0, n % 3), n % 2)
+    needed = phasing.needs_chain(pick(["few", "conflict", "cis"], k % 3), pick(["reads", "tags"], n % 2), n % 15, F.lit(0), pick(["cis", "undecided", None], n % 3), k % 11 == 0)
+    return table(spark, d, "part").select(k.alias("id"), chain.alias("chain"), needed.alias("needed"))
+
+
+EFFECTS = [("Nonsense", ""), ("splice_donor_variant", ""), ("missense_variant", "p.Gly12Asp"), ("inframe_deletion", ""), ("synonymous", ""), ("", "p.(Arg5Ter)"), ("", "p.Gly12Asp"), ("", "p.Leu9fs"), ("", "")]
+
+
+@query("x16_variant_effects", f"select p_partkey, ['lof', 'lof', 'missense', 'inframe', 'other', 'lof', 'missense', 'lof', 'other'][p_partkey % {len(EFFECTS)} + 1] as effect from part")
+def x16(spark, d: str) -> DataFrame:
+    k = F.col("p_partkey") % len(EFFECTS)
+    return table(spark, d, "part").select("p_partkey", names.variant_effect(pick([a for a, _ in EFFECTS], k), pick([b for _, b in EFFECTS], k)).alias("effect"))
+
+
+@query(
+    "x17_population_records",
+    """select 'r' || p_partkey as id, p_partkey * 10 as os, cast(p_partkey * 10 + p_size as bigint) as oe, case when p_size > 4 and p_partkey % 3 = 0 then p_partkey * 10 + 1 else p_partkey * 10 end as is_, cast(case when p_size > 4 and p_partkey % 3 = 0 then p_partkey * 10 + 3 else p_partkey * 10 + p_size end as bigint) as ie,
+      case p_partkey % 4 when 0 then p_size / 100.0::double when 1 then p_size / 100.0::double when 2 then 0.5::double end as freq from part where p_partkey % 5 <> 0""",
+)
+def x17(spark, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    thick = F.when(k % 3 == 0, F.concat(F.lit('"thickStart":'), k * 10 + 1, F.lit(',"thickEnd":'), k * 10 + F.when(n > 4, 3).otherwise(n + 9), F.lit(","))).otherwise("")
+    freq = F.when(k % 4 == 0, F.concat(n.cast("string"), F.lit("%"))).when(k % 4 == 1, F.concat((n / 100.0).cast("string"))).when(k % 4 == 2, "0.5").otherwise("unknown")
+    end = F.when(k % 5 == 0, k * 10).otherwise(k * 10 + n)
+    text = F.concat(F.lit('{"name":"r'), k, F.lit('","chromStart":'), k * 10, F.lit(',"chromEnd":'), end, F.lit(","), thick, F.lit('"freq":"'), freq, F.lit('"}'))
+    return table(spark, d, "part").select(names.population_record(text).alias("r")).where("r is not null").select("r.*")
+
+
+@query("x28b_chromosomes", "select p_partkey, case when p_partkey % 30 between 1 and 22 then 'chr' || (p_partkey % 30) when p_partkey % 30 = 23 then 'chrX' when p_partkey % 30 = 24 then 'chrY' when p_partkey % 30 = 25 then 'chrM' else '' end as chrom from part")
+def x28b(spark, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 30
+    bare = F.when(k == 25, "mt").otherwise(k.cast("string"))
+    return table(spark, d, "part").select("p_partkey", names.known_chromosome(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" chr"), bare)).otherwise(bare)).alias("chrom"))
+
+
+@query(
+    "f08_gene_suggestions",
+    """with l as (select 'Al' || p_partkey as gene, p_partkey as ord from part where p_partkey % 400 = 7), r as (select 'AL' || p_partkey as gene, null::varchar as alias from part where p_partkey % 50 = 7 union all select 'ZZ' || p_partkey, 'al' || p_partkey from part where p_partkey % 600 = 1),
+    x as (select upper(gene) as up, gene, 0 as k, ord as o from l union all select upper(gene), gene, case when gene like 'AL%' then 2 else 3 end, length(gene) from r), y as (select *, row_number() over (partition by up order by k, o, gene) as t from x), z as (select *, row_number() over (order by k, o, gene) as place from y where t = 1)
+    select cast(place as integer) as place, gene, k = 0 as local from z where place <= 10""",
+)
+def f08(spark, d: str) -> DataFrame:
+    from tidespan.operators import annotation
+
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    local = p.where(k % 400 == 7).select(F.concat(F.lit("Al"), k).alias("gene"), k.alias("ord"))
+    far = p.where(k % 50 == 7).select(F.concat(F.lit("AL"), k).alias("gene"), F.lit(None).cast("string").alias("alias"))
+    far = far.union(p.where(k % 600 == 1).select(F.concat(F.lit("ZZ"), k), F.concat(F.lit("al"), k)))
+    return annotation.suggested_genes("al", local, far)
+
+
+@query(
+    "c16_same_events",
+    """with x as (select p_partkey as id, p_partkey * 10 as s, p_partkey * 10 + p_size * 40 as e, p_partkey * 10 + p_size % 9 * 12 as s2, p_partkey * 10 + p_size * 40 + p_partkey % 13 * 11 as e2 from part),
+    t as (select *, least(least(100, greatest(20, floor((e - s) * 0.05 + 0.5))), least(100, greatest(20, floor(abs(e2 - s2) * 0.05 + 0.5)))) as tol from x) select id, abs(s - s2) <= tol and abs(e - e2) <= tol as reads, abs(s - s2) <= 1000 and abs(e - e2) <= 1000 as pairs from t""",
+)
+def c16(spark, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    x = table(spark, d, "part").select(k.alias("id"), (k * 10).alias("s"), (k * 10 + n * 40).alias("e"), (k * 10 + n % 9 * 12).alias("s2"), (k * 10 + n * 40 + k % 13 * 11).alias("e2"))
+    return x.select("id", intervals.same_event(("s", "e"), ("s2", "e2")).alias("reads"), intervals.same_event(("s", "e"), ("s2", "e2"), True).alias("pairs"))
+
+
+@query("e19_cohort_exons", f"with {IV}, {EXONS} select sample, x.contig, rank, count(*) as reads, round(sum(least(e, xe) - greatest(s, xs)) / 80.0::double, 6) as mean from exons x join iv i on i.contig = x.contig and s < xe and xs < e group by all")
+def e19(spark, d: str) -> DataFrame:
+    return intervals.exon_coverage(ca.intervals(spark, d), ca.exons(spark, d), "contig", "sample").withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "g02_layers",
+    f"""with {IV} select contig, sample, count(*) as total, count(*) filter (where strand = 'O') as plus, count(*) filter (where strand <> 'O') as minus, count(*) filter (where mapq - 3 >= 1) as from_1, count(*) filter (where mapq - 3 >= 10) as from_10, count(*) filter (where mapq - 3 >= 20) as from_20, count(*) filter (where mapq - 3 >= 30) as from_30 from iv group by all""",
+)
+def g02(spark, d: str) -> DataFrame:
+    q = F.col("mapq") - 3
+    bucket = F.when(q < 1, 0).when(q < 10, 1).when(q < 20, 2).when(q < 30, 3)
+    return intervals.layered_counts(ca.intervals(spark, d), ["contig", "sample"], F.col("strand") == "O", bucket)
+
+
+@query(
+    "h05_layouts",
+    """with x as (select p_brand as event, p_partkey as rank, p_partkey * 10 as s, p_partkey * 10 + p_size as e from part), y as (select *, sum(e - s) over (partition by event order by rank) as t from x) select event, rank, cast(t - (e - s) as bigint) as "from", cast(t as bigint) as "to" from y""",
+)
+def h05(spark, d: str) -> DataFrame:
+    from tidespan.operators import structural
+
+    k = F.col("p_partkey")
+    pieces = table(spark, d, "part").select(F.col("p_brand").alias("event"), F.lit(0).alias("path"), F.lit("1").alias("contig"), k.alias("rank"), (k * 10).alias("s"), (k * 10 + F.col("p_size")).alias("e"))
+    return structural.layouts(pieces).select("event", "rank", F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"))
+
+
+@query("x09_junction_frames", "select p_partkey, case when p_size % 10 = 0 then 'utr' when p_partkey % 7 = 0 or p_size % 10 % 3 <> 0 then 'out' else 'in' end as deletion, case when p_partkey % 4 = 0 then 'utr' when p_size % 3 <> 0 then 'out' else 'in' end as insertion from part")
+def x09(spark, d: str) -> DataFrame:
+    from tidespan.functions import genetics
+
+    k, n = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", genetics.deletion_frame(n % 10, k % 7 == 0).alias("deletion"), genetics.insertion_frame(k % 4 != 0, n).alias("insertion"))
+
+
+@query(
+    "x03_quoted_records",
+    """select p_partkey, i as record, c[1] as a, c[2] as b from (select p_partkey, unnest([1, 2]) as i, unnest([['n' || p_partkey, 'x,' || p_size || chr(10) || '"y"'], ['', p_name]]) as c from part)""",
+)
+def x03(spark, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("n"), k, F.lit(',"x,'), F.col("p_size"), F.lit('\n""y"""\r\n\n,'), F.col("p_name"), F.lit("\n"))
+    x = table(spark, d, "part").select("p_partkey", F.posexplode(tables.records(text)).alias("i", "r")).withColumn("c", tables.cells(F.col("r")))
+    return x.select("p_partkey", (F.col("i") + 1).alias("record"), F.get("c", F.lit(0)).alias("a"), F.get("c", F.lit(1)).alias("b"))
+
+
+@query("a29_primary_records", f"with {IV} select contig, name, s, count(*) as records from iv where line = 1 and (mapq % 4 <> 0) and name % 3 = 0 group by all")
+def a29(spark, d: str) -> DataFrame:
+    iv = ca.intervals(spark, d)
+    flags = F.when(F.col("mapq") % 4 == 0, 0x100).otherwise(0) + F.when(F.col("line") != 1, 0x800).otherwise(0)
+    asked = iv.where("name % 3 = 0").select("contig", "name", "s").distinct()
+    return reads.primary_records(iv.withColumn("flags", flags.cast("int")), asked, ["contig", "name", "s"]).groupBy("contig", "name", "s").agg(F.count(F.lit(1)).alias("records"))

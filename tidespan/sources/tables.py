@@ -191,3 +191,16 @@ def numbered(lines: DataFrame) -> DataFrame:
     """Lines in order, for writers: one row a file with its text. A file's lines are one patient's."""
     w = Window.partitionBy("file")
     return lines.withColumn("_n", F.count(F.lit(1)).over(w)).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def records(text: Column) -> Column:
+    """Records of a delimited text, as an array: line ends inside double quotes belong to their record; records without a character are left out."""
+    return F.regexp_extract_all(F.regexp_replace(text, "\r\n?", "\n"), F.lit('((?:"(?:[^"]|"")*"|[^"\n])+)'), F.lit(1))
+
+
+def cells(record: Column, delimiter: str = ",") -> Column:
+    """Cells of a record, without the quotes around them and with doubled quotes as one."""
+    # a delimiter goes before the first cell too, so that every cell follows one
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(f'{delimiter}("(?:[^"]|"")*"|[^{delimiter}]*)'), F.lit(1))
+    bare = lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(found, bare)
