@@ -284,3 +284,27 @@ def test_merged_over_stretches(spark):
             want.append([s, e, 1])
     got = intervals.merged(frame(spark, rows, "contig string, s int, e int"), ["contig"], gap).collect()
     assert sorted((r["s"], r["e"], r["members"]) for r in got) == sorted(map(tuple, want))
+
+
+def test_overlap_totals_and_recurrence(spark):
+    from tidespan.operators import intervals
+
+    rng = random.Random(15)
+    reads = [(rng.choice("ab"), s, s + rng.choice([0, 1, 40, 5000])) for s in rng.choices(range(12_000), k=300)]
+    genes = [(i, rng.choice("abc"), s, s + rng.choice([0, 1, 300, 9000])) for i, s in enumerate(rng.choices(range(-50, 13_000), k=80))]
+    want = {}
+    for i, c, a, b in genes:
+        x = [min(e, b) - max(s, a) for k, s, e in reads if k == c and s < e and a < b and s < b and a < e]
+        if x:
+            want[i] = (len(x), sum(x))
+    got = intervals.overlap_totals(frame(spark, genes, "gene int, contig string, gs int, ge int"), frame(spark, reads, "contig string, s int, e int"), ["contig"], ("gs", "ge")).collect()
+    assert {r["gene"]: (r["n"], r["bases"]) for r in got} == want
+    calls = [(i, rng.randrange(12), "1", rng.choice(["loss", "gain"]), s, s + rng.choice([0, 1, 2, 9, 70, 100, 140, 900])) for i, s in enumerate(rng.choices(range(400), k=250))]
+    best = {}
+    for i, p, _, k, s, e in calls:
+        for _, q, _, k2, s2, e2 in calls:
+            ro = (min(e, e2) - max(s, s2) + 1) / max(e - s + 1, e2 - s2 + 1)
+            if p != q and k == k2 and ro >= 0.7:
+                best[i, q] = max(best.get((i, q), 0), ro)
+    got = intervals.recurrence(frame(spark, calls, "call int, patient int, chrom string, kind string, s int, e int")).collect()
+    assert {(r["call"], r["other"]): r["pct"] for r in got} == {k: math.floor(100 * v + 0.5) for k, v in best.items()}

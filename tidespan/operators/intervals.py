@@ -6,6 +6,8 @@ within each stretch from its stretch's start. Joins go by bins of positions, eac
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,31 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], a_cols: tuple[str, s
     return x.join(y, [*on, "_bin"]).where(hit).drop("_bin")
 
 
+def overlap_totals(features: DataFrame, reads: DataFrame, on: list[str], f_cols: tuple[str, str], r_cols: tuple[str, str] = ("s", "e"), stretch: int = STRETCH) -> DataFrame:
+    """features with n and bases: how many reads overlap each, and by how many bases together; those with some.
+
+    No pair is made. Reads are counted by the positions where they start and end; up to a position x, starts, ends and the
+    sum of their positions tell how many bases lie before it, and a feature is the difference between its two ends. Sums
+    run within stretches, from what the stretches before hold.
+    """
+    (fs, fe), (rs, re) = f_cols, r_cols
+    at = lambda pos, st, en: F.struct(F.col(pos).cast("long").alias("pos"), F.lit(st).cast("long").alias("st"), F.lit(en).cast("long").alias("en"))
+    ends = reads.where(F.col(rs) < F.col(re)).select(*on, F.inline(F.array(at(rs, 1, 0), at(re, 0, 1)))).groupBy(*on, "pos").agg(F.sum("st").alias("st"), F.sum("en").alias("en"))
+    ask = lambda pos, what: F.struct(pos.cast("long").alias("pos"), F.lit(what).alias("what"))
+    asked = features.where(F.col(fs) < F.col(fe)).select(F.struct(*features.columns).alias("_f"), *on, F.inline(F.array(ask(F.col(fs), "low"), ask(F.col(fe) - 1, "last"), ask(F.col(fe), "high"))))
+    rows = ends.unionByName(asked, allowMissingColumns=True).fillna({"st": 0, "en": 0}).withColumns({"_m": F.col("pos") * (F.col("st") - F.col("en")), "_stretch": F.floor(F.col("pos") / stretch)})
+    sums = ("st", "en", "_m")
+    before = Window.partitionBy(*on).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy(*on, "_stretch").agg(*[F.sum(c).alias(c) for c in sums]).select(*on, "_stretch", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_0{c}") for c in sums])
+    upto = Window.partitionBy(*on, "_stretch").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select(*on, "_stretch", "pos", "_f", "what", *[F.sum(c).over(upto).alias(c) for c in sums]).where("what is not null").join(held, [*on, "_stretch"])
+    st, en, m = (F.col(c) + F.col(f"_0{c}") for c in sums)
+    only = lambda what, x: F.max(F.when(F.col("what") == what, x))
+    area = F.col("pos") * (st - en) - m
+    out = run.groupBy("_f").agg((only("last", st) - only("low", en)).alias("n"), (only("high", area) - only("low", area)).alias("bases"))
+    return out.where("n > 0").select("_f.*", "n", "bases")
+
+
 def point_join(points: DataFrame, iv: DataFrame, on: list[str], pos: str, cols: tuple[str, str], width: int = 256) -> DataFrame:
     """Points with the intervals that hold them."""
     s, e = cols
@@ -111,13 +138,25 @@ def reciprocal_overlap(as_: str, ae: str, bs: str, be: str) -> Column:
     return F.try_divide(shared.cast("double"), F.greatest(F.col(ae) - F.col(as_) + 1, F.col(be) - F.col(bs) + 1))
 
 
-def recurrence(calls: DataFrame, threshold: float = 0.7, width: int = 256) -> DataFrame:
-    """For each call: the other patients with a call of its kind at a reciprocal overlap of at least threshold, and each one's best share (percent, rounded)."""
-    a = calls.select("call", "patient", "chrom", "kind", "s", "e", (F.col("e") + 1).alias("_e"))
-    b = calls.select(F.col("patient").alias("other"), "chrom", "kind", F.col("s").alias("s2"), F.col("e").alias("e2"), (F.col("e") + 1).alias("_e2"))
-    pairs = overlap_join(a, b, ["chrom", "kind"], ("s", "_e"), ("s2", "_e2"), width).where("patient <> other")
+def recurrence(calls: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """For each call: the other patients with a call of its kind at a reciprocal overlap of at least threshold, and each one's best share (percent, rounded).
+
+    Such calls differ in length by the threshold at most, and in start by the rest of the longer one's length. So calls are
+    dealt by classes of length, and by bins of the start that are as wide as that class allows: a call meets those of its
+    own and the neighbouring classes and bins alone, each once.
+    """
+    step = 1 / threshold
+    length = F.col("e") - F.col("s") + 1
+    kind = F.floor(F.log(length.cast("double")) / math.log(step) + 1e-9).cast("int")
+    width = F.greatest(F.ceil((1 - threshold) * F.pow(F.lit(step), F.col("_class") + 2)), F.lit(1))
+    x = calls.where(length > 0).withColumn("_class", kind)
+    a = x.select("call", "patient", "chrom", "kind", "s", "e", "_class", F.floor(F.col("s") / width).alias("_bin"))
+    near = x.select(F.col("patient").alias("other"), "chrom", "kind", F.col("s").alias("s2"), F.col("e").alias("e2"), F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).alias("_class"))
+    at = F.floor(F.col("s2") / width)
+    b = near.select("other", "chrom", "kind", "s2", "e2", "_class", F.explode(F.array(at - 1, at, at + 1)).alias("_bin"))
     ro = reciprocal_overlap("s", "e", "s2", "e2")
-    return pairs.where(ro >= threshold).groupBy("call", "other").agg(F.round(F.max(ro) * 100).cast("long").alias("pct"))
+    pairs = a.join(b, ["chrom", "kind", "_class", "_bin"]).where((F.col("patient") != F.col("other")) & (ro >= threshold))
+    return pairs.groupBy("call", "other").agg(F.round(F.max(ro) * 100).cast("long").alias("pct"))
 
 
 def sv_tolerance(s: str, e: str) -> Column:

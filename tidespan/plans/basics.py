@@ -82,9 +82,7 @@ def e06(spark, d: str) -> DataFrame:
 
 @query("d01_overlap_join", f"with {IV}, {GENES} select gene, g.contig, count(*) as n, cast(sum(least(e, ge) - greatest(s, gs)) as bigint) as bases from iv i join genes g on g.contig = i.contig and s < ge and gs < e group by all")
 def d01(spark, d: str) -> DataFrame:
-    a = ca.intervals(spark, d).select("contig", "s", "e")
-    pairs = iv.overlap_join(a, ca.genes(spark, d), ["contig"], ("s", "e"), ("gs", "ge"))
-    return pairs.groupBy("gene", "contig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("e", "ge") - F.greatest("s", "gs")).alias("bases"))
+    return iv.overlap_totals(ca.genes(spark, d), ca.intervals(spark, d), ["contig"], ("gs", "ge")).select("gene", "contig", "n", "bases")
 
 
 @query(
