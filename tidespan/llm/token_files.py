@@ -8,6 +8,8 @@ are cut at about block_bytes, or hold one longer document.
 Texts are encoded where they are; what is shuffled is compressed frames, once, by ranges of doc_id. The number of ranges
 follows the documents, up to max_ranges; their token totals (one row a range) give each document its global start.
 
+Blocks, dictionary and range starts are tables below one path, from which any session opens them.
+
 Defined results: null or empty text has the end id alone; repeated rows are kept, one after another; an empty table gives
 no blocks and a dictionary of no bytes.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -23,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.llm.arrow_text import encoder, gathered_slices, starts_of, texts_of
-from tidespan.session import store
+from tidespan.session import settings, shared_dir
 
 MAGIC = b"TSID"
 HEAD = "<4sBB16sI"
@@ -38,8 +41,9 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """blocks and dictionary are written tables; bases has the number of tokens before each range."""
+    """Opened files: blocks is read from path as it is used; the dictionary (of bounded size) and the number of tokens before each range (as many as there are ranges) were read from it."""
 
+    path: str
     blocks: DataFrame
     dictionary: bytes
     bases: dict
@@ -68,8 +72,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: str, s
         return b""
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2", block_bytes: int = 4 << 20, range_docs: int = 600, max_ranges: int = 100_000, level: int = 3) -> TokenFiles:
-    """width: "<u2" for vocabularies of up to 65,536 ids, else "<u4"."""
+def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2", block_bytes: int = 4 << 20, range_docs: int = 600, max_ranges: int = 100_000, level: int = 3, path: str | None = None) -> TokenFiles:
+    """Writes blocks, dictionary and range starts as tables below path (by default below the folder that all executors share), and opens them. width: "<u2" for vocabularies of up to 65,536 ids, else "<u4"; a larger id stops the run."""
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex[:12]}"
+    largest = np.iinfo(width).max
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_ranges = max(1, min(max_ranges, -(-docs.count() // range_docs)))
     shares = [i / n_ranges for i in range(1, n_ranges)]
@@ -87,6 +94,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2",
         one = zstandard.ZstdCompressor(level=level, dict_data=trained)
         for part in gathered_slices(batches, "text"):
             ids, lengths = enc.encode(texts_of(part.column("text")))
+            if max(ids.max(initial=0), end_id) > largest:
+                raise ValueError(f"an id needs more than the {np.dtype(width).itemsize} bytes that ids are written in")
             bounds = starts_of(lengths)
             frames = [one.compress(np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype(width).tobytes()) for i in range(len(lengths))]
             docs_in = part.column("doc_id").to_pylist()
@@ -130,13 +139,20 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: str = "<u2",
 
     frames = docs.mapInArrow(encode, "range_no int, doc_id long, n_tokens long, frame binary")
     in_order = frames.repartition(len(cuts) + 1, "range_no").sortWithinPartitions("range_no", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
-    blocks = store(in_order.mapInArrow(gather, BLOCKS), "token-files")
-    totals = blocks.groupBy("range_no").agg(F.sum("n_tokens").alias("n")).orderBy("range_no").collect()
-    bases, before = {}, 0
-    for r in totals:
-        bases[r["range_no"]] = before
-        before += r["n"]
-    return TokenFiles(blocks, dictionary, bases)
+    with settings(spark):
+        in_order.mapInArrow(gather, BLOCKS).write.parquet(f"{path}/blocks")
+    before = F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))
+    totals = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("range_no").agg(F.sum("n_tokens").alias("n"))
+    totals.select("range_no", F.coalesce(before, F.lit(0)).alias("base")).write.parquet(f"{path}/ranges")
+    spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    return open_files(spark, path)
+
+
+def open_files(spark, path: str) -> TokenFiles:
+    """Files that write() left below path, in this or another session."""
+    dictionary = bytes(spark.read.schema("dictionary binary").parquet(f"{path}/dictionary").first()[0])
+    bases = {r["range_no"]: r["base"] for r in spark.read.schema("range_no int, base long").parquet(f"{path}/ranges").toLocalIterator()}
+    return TokenFiles(path, spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), dictionary, bases)
 
 
 def open_block(block: bytes, dictionary: bytes):
@@ -192,4 +208,5 @@ def op8_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read(write(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    written = write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return read(open_files(spark, written.path))
