@@ -91,7 +91,9 @@ def grams(x: np.ndarray, q: int) -> np.ndarray:
         rest >>= 1
         if rest:
             block = block[: len(block) - width] * power + block[width:]
-            power, width = power * power, 2 * width
+            with np.errstate(over="ignore"):  # products are taken modulo 2^64
+                power = power * power
+            width *= 2
     return mixed(out[:n])
 
 
