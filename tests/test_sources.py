@@ -89,3 +89,47 @@ def test_exact_groups(spark):
     df = spark.createDataFrame([("c", i, b, j, a) for i, b, j, a in rows], "locus string, id long, blocks array<struct<s:int,e:int>>, junctions array<struct<s:int,e:int>>, alleles map<int,string>")
     got = {r["id"]: (r["status"], r["anchor"]) for r in consensus.exact_groups(df, "locus").collect()}
     assert got == want and len({v[0] for v in want.values()}) == 3
+
+
+def test_flanks():
+    from tidespan.operators import flanks
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    rng = random.Random(16)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    for _ in range(60):
+        a, b = dna(rng.randint(0, 9)), dna(rng.randint(0, 9))
+        if rng.random() < 0.5:
+            b = a[rng.randint(0, 3) :] + dna(2)
+        at_end = rng.random() < 0.5
+        ref, own = flanks.aligned(b, a, at_end)
+        assert ref.replace("-", "").strip() == a and own.replace("-", "").strip() == b and len(ref) == len(own)
+        x, y = (a[::-1], b[::-1]) if at_end else (a, b)
+        least = min([edits(x, y[:j]) for j in range(len(y) + 1)] + [edits(x[:i], y) for i in range(len(x) + 1)])
+        r, o = (ref[::-1], own[::-1]) if at_end else (ref, own)
+        # up to the free end, where one of them is whole, there are as few edits as can be
+        costs = [sum(p != q for p, q in zip(r[:k], o[:k])) for k in range(len(r) + 1) if r[:k].replace("-", "") == x or o[:k].replace("-", "") == y]
+        assert min(costs) == least, (a, b, ref, own)
+
+
+def test_columns_of_reads(spark, tmp_path):
+    from tidespan.sources import columnar
+
+    rng = random.Random(17)
+    rows = [(rng.choice("ab"), s, s + rng.choice([1, 30, 800])) for s in rng.choices(range(5000), k=400)]
+    df = spark.createDataFrame(rows, "contig string, s int, e int")
+    columnar.write_reads(df, f"{tmp_path}/x")
+    got = columnar.read_range(spark, f"{tmp_path}/x", "a", 1000, 1200)
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] == "a" and r[1] < 1200 and r[2] > 1000)
+    assert columnar.read_range(spark, f"{tmp_path}/x", "c", 0, 9).count() == 0
+    runs = spark.createDataFrame([("a", 0, 5, 2), ("a", 5, 9, 3), ("a", 20, 9000, 1), ("a", 9000, 9001, 4), ("b", 7, 8, 1)], "contig string, s int, e int, depth long")
+    back = columnar.decoded_runs(columnar.encoded_runs(runs, ["contig"]), ["contig"])
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, runs.collect()))

@@ -130,3 +130,11 @@ def scored(facts: DataFrame, rules: tuple = RULES, big_kb: int = BIG_KB) -> Data
     level = F.when(F.col("_top") == 3, "high").when(F.col("_top") == 2, "moderate").otherwise("low")
     reasons = F.filter("_met", lambda r: (F.col("_top") == 1) | (r["rank"] > 1))
     return df.withColumns({"level": level, "reasons": reasons}).drop("_met", "_top")
+
+
+def call_views(calls: DataFrame, genes: DataFrame, scores: DataFrame) -> DataFrame:
+    """(call, level, reasons, genes, whole) of calls, their genes (call, symbol, whole) and their scores (call, level, reasons): what a call's row shows; calls without genes or score keep theirs empty."""
+    g = genes.groupBy("call").agg(F.sort_array(F.collect_set("symbol")).alias("genes"), F.count_if("whole").alias("whole"))
+    empty = F.array().cast("array<string>")
+    x = calls.join(g, "call", "left").join(scores, "call", "left")
+    return x.withColumns({"genes": F.coalesce("genes", empty), "reasons": F.coalesce("reasons", empty), "whole": F.coalesce("whole", F.lit(0)), "level": F.coalesce("level", F.lit("none"))})

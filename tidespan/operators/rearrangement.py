@@ -145,3 +145,11 @@ def clip_checks(reads: DataFrame, on: str) -> DataFrame:
     x = reads.select(on, clip.alias("_clip"), F.when(has, longest("I")).alias("_ins"))
     agg = x.groupBy(on).agg(F.coalesce(F.max("_clip"), F.lit(0)).alias("_c"), F.coalesce(F.max("_ins"), F.lit(0)).alias("_i"))
     return agg.select(on, (F.col("_c") >= LEAST_CLIP).alias("realignable"), (F.col("_c") >= RESCUE_CLIP).alias("rescuable"), F.when(F.col("_i") >= LEAST_DELETION, F.col("_i")).otherwise(0).alias("longest"))
+
+
+def merged_arcs(layers: list[DataFrame], key: str) -> DataFrame:
+    """One arc an event over the arcs (key, s, e, n) of several layers or samples: equal arcs are added, then clustered as one list."""
+    both = layers[0].select(key, "s", "e", "n")
+    for x in layers[1:]:
+        both = both.unionByName(x.select(key, "s", "e", "n"))
+    return clustered(both.groupBy(key, "s", "e").agg(F.sum("n").alias("n")), key)

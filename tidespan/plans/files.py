@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators import consensus
+from tidespan.operators import consensus, flanks
+from tidespan.plans import basics
 from tidespan.plans import carriers as ca
 from tidespan.session import shared_dir, table
-from tidespan.sources import archives, fasta, registry
+from tidespan.sources import archives, columnar, fasta, registry
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -118,3 +119,24 @@ def e35(spark, d: str) -> DataFrame:
     alleles = F.create_map((F.floor(F.col("s") / 60) * 60).cast("int"), F.col("allele"))
     x = iv.select("locus", "id", blocks.alias("blocks"), junctions.alias("junctions"), alleles.alias("alleles")).dropDuplicates(["locus", "id"])
     return consensus.exact_groups(x, "locus")
+
+
+@query("a13_range_of_reads", f"with {ca.IV} select contig, s, e, name, line from iv where contig = 'O' and s < 9600 and e > 9540")
+def a13(spark, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/reads-{uuid.uuid4().hex[:12]}"
+    columnar.write_reads(ca.intervals(spark, d).select("contig", "s", "e", "name", "line"), path)
+    return columnar.read_range(spark, path, "O", 9540, 9600)
+
+
+@query("a14_coverage_blocks", basics.ORACLES["w01_depth_runs"])
+def a14(spark, d: str) -> DataFrame:
+    runs = basics.QUERIES["w01_depth_runs"](spark, d)
+    return columnar.decoded_runs(columnar.encoded_runs(runs, ["contig"]), ["contig"])
+
+
+@query("x26_aligned_flanks")
+def x26(spark, d: str) -> DataFrame:
+    dna = lambda c: F.translate(F.md5(c), "0123456789abcdef", "ACGTACGTACGTACGT")
+    k, q = F.col("p_partkey"), dna(F.col("p_name"))
+    read = F.concat(F.substring(q, 1, 10), F.when(k % 3 == 0, "TT").otherwise(""), F.substring(q, 12, 15))
+    return flanks.aligned_flanks(table(spark, d, "part").select(k.alias("id"), read.alias("read"), q.alias("flank"), (k % 2 == 0).alias("at_end")))

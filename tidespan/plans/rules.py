@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidespan.functions import names, reads, stats
-from tidespan.operators import cgh, intervals, phasing, rearrangement
+from tidespan.operators import cgh, intervals, phasing, rearrangement, sites
 from tidespan.plans import carriers as ca
 from tidespan.plans.carriers import EXONS, IV
 from tidespan.plans.more import part_lines
@@ -477,3 +477,50 @@ def a29(spark, d: str) -> DataFrame:
     flags = F.when(F.col("mapq") % 4 == 0, 0x100).otherwise(0) + F.when(F.col("line") != 1, 0x800).otherwise(0)
     asked = iv.where("name % 3 = 0").select("contig", "name", "s").distinct()
     return reads.primary_records(iv.withColumn("flags", flags.cast("int")), asked, ["contig", "name", "s"]).groupBy("contig", "name", "s").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("g01_merged_layers")
+def g01(spark, d: str) -> DataFrame:
+    iv = ca.intervals(spark, d)
+    layer = lambda s: iv.where(F.col("strand") == s).groupBy("contig", "s", "e").agg(F.count(F.lit(1)).alias("n"))
+    return rearrangement.merged_arcs([layer("O"), layer("F")], "contig")
+
+
+@query(
+    "c07_arc_reads",
+    """select p_partkey, cast(p_partkey as integer) as s, cast(p_partkey + p_size + 7 + 30 + 100 + 5 as integer) as e, (p_partkey + p_size + 7 + 30) || '-' || (p_partkey + p_size + 7 + 130) as junctions, (p_partkey + p_size) || '-' || (p_partkey + p_size + 7) as deletions, cast(p_partkey % 5 as integer) as l, 9 as r from part""",
+)
+def c07(spark, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    cigar = F.concat(F.lit("3H"), F.when(k % 5 > 0, F.concat((k % 5).cast("string"), F.lit("S"))).otherwise(""), F.col("p_size"), F.lit("M7D2I30M100N5M9S"))
+    x = table(spark, d, "part").select("p_partkey", reads.arc_read(k, reads.cigar_ops(cigar)).alias("a"))
+    text = lambda c: F.array_join(F.transform(c, lambda j: F.concat(j["s"].cast("string"), F.lit("-"), j["e"].cast("string"))), ",")
+    return x.select("p_partkey", "a.s", "a.e", text(F.col("a.junctions")).alias("junctions"), text(F.col("a.deletions")).alias("deletions"), F.col("a.left").alias("l"), F.col("a.right").alias("r"))
+
+
+@query(
+    "e22_called_bases",
+    f"""with {IV}, ref as (select contig, 9000 as start, repeat('ACGTTGCA', 500) as seq from (select distinct contig from iv)), r as (select iv.contig, s, substr(seq, s - 9000 + 1, 12) as w, site, ps from iv join ref on ref.contig = iv.contig where s between 9000 and 12000),
+    q as (select contig, s, array_to_string(list_transform(range(12), lambda i: case when (s + i) % 7 = 0 and site % 2 = 0 then 'T' else substr(w, cast(i + 1 as bigint), 1) end), '') as t from r), b as (select contig, s + i as pos, substr(t, i + 1, 1) as base from q, range(12) x(i)),
+    c as (select contig, pos, base, count(*) as n from b group by all), d as (select *, sum(n) over (partition by contig, pos) as depth from c) select d.contig, cast(pos as integer) as pos, base as alt, n, cast(depth as bigint) as depth from d join ref on ref.contig = d.contig where base <> substr(seq, cast(pos - 9000 + 1 as bigint), 1) and n >= 3 and n >= 0.2 * depth""",
+)
+def e22(spark, d: str) -> DataFrame:
+    iv = ca.intervals(spark, d)
+    ref = iv.select("contig").distinct().select("contig", F.lit(9000).alias("start"), F.repeat(F.lit("ACGTTGCA"), F.lit(500)).alias("seq"))
+    w = F.substring(F.repeat(F.lit("ACGTTGCA"), F.lit(500)), F.col("s") - 9000 + 1, F.lit(12))
+    seq = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(((F.col("s") + i) % 7 == 0) & (F.col("site") % 2 == 0), "T").otherwise(F.substring(w, i + 1, F.lit(1)))), "")
+    r = iv.where("s between 9000 and 12000").select("contig", F.col("s").alias("start"), reads.cigar_ops(F.lit("12M")).alias("ops"), seq.alias("seq"))
+    return sites.called_bases(reads.base_calls(r, ["contig"]), ref, "contig")
+
+
+@query(
+    "e50_call_views",
+    f"""with {ca.CALLS}, g as (select call, 'g' || (call % 30) as symbol, call % 3 = 0 as whole from calls where call % 4 > 0 union all select call, 'g' || (call % 7), call % 2 = 0 from calls where call % 4 > 1), s as (select call, ['low', 'high'][call % 2 + 1] as level, 'r' || (call % 3) as reason from calls where call % 5 > 0)
+    select calls.call, coalesce(any_value(level), 'none') as level, coalesce(any_value(reason), '') as reasons, coalesce(string_agg(distinct symbol, ',' order by symbol), '') as genes, count(*) filter (where whole) as whole from calls left join g on g.call = calls.call left join s on s.call = calls.call group by calls.call""",
+)
+def e50(spark, d: str) -> DataFrame:
+    c, k = ca.calls(spark, d), F.col("call")
+    genes = c.where("call % 4 > 0").select("call", F.concat(F.lit("g"), k % 30).alias("symbol"), (k % 3 == 0).alias("whole")).union(c.where("call % 4 > 1").select("call", F.concat(F.lit("g"), k % 7), k % 2 == 0))
+    scores = c.where("call % 5 > 0").select("call", pick(["low", "high"], k % 2).alias("level"), F.array(F.concat(F.lit("r"), k % 3)).alias("reasons"))
+    x = cgh.call_views(c.select("call"), genes, scores)
+    return x.select("call", "level", F.array_join("reasons", ",").alias("reasons"), F.array_join("genes", ",").alias("genes"), "whole")
