@@ -103,7 +103,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
 #: Bytes that separate words.
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 LONG_WORD = 256
 
 

@@ -34,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidespan.llm.arrow_text import ByteHash, blobs, bytes_of, gathered, mixed, slices, starts_of, texts_of, unblobbed
-from tidespan.session import discard, store
+from tidespan.session import discard, settings, store
 
 COUNTERS = 1 << 20
 CHUNKS = 256
 TASKS_TOGETHER = 256
 BITMAP_BITS = 27
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Odd factors of the words of a shingle.
 FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -176,7 +176,9 @@ def rarity(docs: DataFrame, sets: Sets) -> np.ndarray:
     parts = store(docs.select("text").mapInArrow(run, "chunk int, task int, counts binary"), "counters")
     sums = parts.groupBy("chunk", "task").applyInArrow(total, "chunk int, counts binary")
     counts = np.zeros(COUNTERS, np.int64)
-    for r in sums.groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect():
+    with settings(docs.sparkSession):
+        rows = sums.groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect()
+    for r in rows:
         counts[r["chunk"] * each : (r["chunk"] + 1) * each] = np.frombuffer(pa.decompress(r["counts"], 8 * each, "zstd"), np.int64)
     discard(parts)
     rank = np.empty(COUNTERS, np.uint32)
@@ -255,7 +257,7 @@ def live_bitmap(units: DataFrame, sets: Sets) -> np.ndarray:
                 hs.append(h)
                 nodes.append(np.repeat(np.asarray(batch.column("node")), each))
                 n += len(h)
-            if n >= 2_000_000:
+            if n >= 1_000_000:
                 yield flush(hs, nodes)
                 hs, nodes, n = [], [], 0
         if n:
@@ -273,7 +275,8 @@ def live_bitmap(units: DataFrame, sets: Sets) -> np.ndarray:
         return pa.table({"bucket": t.column("bucket")[:1], "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
     packed = units.where("octet_length(prefix) > 0").select("node", "prefix").mapInArrow(pack, "bucket int, hs binary, nodes binary")
-    rows = packed.groupBy("bucket").applyInArrow(merge, "bucket int, flags binary").collect()
+    with settings(units.sparkSession):  # what it shuffles is nearly as large as all prefixes, and of no more use then
+        rows = packed.groupBy("bucket").applyInArrow(merge, "bucket int, flags binary").collect()
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     each = 1 << (bits - 3)
     for r in rows:
@@ -346,7 +349,8 @@ def slot_flags(wanted: DataFrame) -> tuple[np.ndarray, int]:
             bits = np.uint64(1) << (s & 63).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(s >> 6), pa.array(bits.astype(np.int64))], names=["w", "bits"])
 
-    found = wanted.select("doc_id", "number").mapInArrow(words, "w long, bits long").groupBy("w").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    with settings(wanted.sparkSession):
+        found = wanted.select("doc_id", "number").mapInArrow(words, "w long, bits long").groupBy("w").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     flags = np.zeros(1 << (log - 6), np.uint64)
     flags[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype(np.uint64)
     return flags, log
