@@ -234,6 +234,12 @@ def test_token_files(spark):
         want.append(((i is not None, i or 0), at, len(enc[x]), zlib.crc32(np.array(enc[x], "<u4").tobytes())))
         at += len(enc[x])
     assert got == sorted(want)
+    # opened by their path alone, as another session would
+    again = token_files.open_files(spark, files.path)
+    assert again.dictionary == files.dictionary and again.bases == files.bases
+    assert sorted(map(str, token_files.read(again).collect())) == sorted(map(str, token_files.read(files).collect()))
+    with pytest.raises(Exception, match="bytes that ids are written in"):
+        token_files.write(docs, BYTE, width="u1")
     some = rows[5]
     assert [x.tolist() for x in token_files.lookup(files, 30)] == [enc[dict((r for r in rows if r[0] is not None))[30]]]
     assert token_files.lookup(files, 31) == []

@@ -58,7 +58,8 @@ CODE = "^\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{
 CODE_ATTEMPTS = 50
 #: Attempts after which surnames get another syllable, again and again.
 LONGER = 4
-HINT = "[0-9@]|" + PATTERNS["name"] + "|(?i:token|secret|pass|key)"
+#: What every match holds; a long run of hexadecimal letters may hold no digit.
+HINT = "[0-9@]|[a-fA-F]{32}|" + PATTERNS["name"] + "|(?i:token|secret|pass|key)"
 
 
 def chained(items: Column, *steps) -> Column:
