@@ -190,7 +190,7 @@ def settled(chunks: DataFrame, table: DataFrame, word_parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in SETTLED.split(", ")])
 
     by_chunk = table.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "ids")).alias("by_part"))
-    return store(chunks.drop("counts").join(by_chunk, "chunk").mapInArrow(run, SETTLED), "lm-settled")
+    return store(chunks.drop("counts").join(by_chunk, "chunk").mapInArrow(run, SETTLED), "lm-settled", records=1)
 
 
 class Pairs:
@@ -323,18 +323,18 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, id_column: str = "doc_
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 x = Pairs(row, parts, hot)
-                seen = np.empty(len(x.h), np.int64)
-                sums = np.empty((len(x.h), TOP + 2))
-                for a in row["pair_parts"]:
+                of_pair = np.empty(len(x.h))
+                # one partition's answers after another: the sums of all histories at once would be the largest array here
+                for a in row.pop("pair_parts"):
                     o = x.order[x.ends[a["part"]] : x.ends[a["part"] + 1]]
-                    heads, s = unpacked(a["heads"], np.int64), unpacked(a["sums"], np.float64).reshape(-1, TOP + 2)
-                    seen[o] = unpacked(a["counts"], np.uint32)
-                    sums[o] = s[np.searchsorted(heads, x.id[x.h[o]])]
-                if len(split_ids):
-                    k = np.minimum(np.searchsorted(split_ids, x.id[x.h]), len(split_ids) - 1)
-                    is_split = split_ids[k] == x.id[x.h]
-                    sums[is_split] = split_sums[k[is_split]]
-                each = pair_scores(seen, sums, words.probability(x.count[x.w]), d)[x.of_token]
+                    own = x.id[x.h[o]]
+                    sums = unpacked(a["sums"], np.float64).reshape(-1, TOP + 2)[np.searchsorted(unpacked(a["heads"], np.int64), own)]
+                    if len(split_ids):
+                        k = np.minimum(np.searchsorted(split_ids, own), len(split_ids) - 1)
+                        is_split = split_ids[k] == own
+                        sums[is_split] = split_sums[k[is_split]]
+                    of_pair[o] = pair_scores(unpacked(a["counts"], np.uint32).astype(np.int64), sums, words.probability(x.count[x.w[o]]), d)
+                each = of_pair[x.of_token]
                 c = x.count[x.token]
                 first = starts_of(x.lengths)[:-1]
                 base = np.log10((c + 1) / (words.tokens + words.distinct + 1))
@@ -352,7 +352,7 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, id_column: str = "doc_
                 )
 
     of_pairs = pairs.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "heads", "sums")).alias("pair_parts"))
-    out = store(ready.join(of_pairs, "chunk").mapInArrow(run, SCORES), "lm-scores")
+    out = store(ready.join(of_pairs, "chunk").mapInArrow(run, SCORES), "lm-scores", records=1)
     for t in (ready, pairs):
         discard(t)
     return out
