@@ -49,7 +49,7 @@ class BoostedTrees:
 
     bias: float
     trees: tuple
-    suffixes: tuple  # (suffix, smoothed rate, count), at most as many as the sample has rows
+    suffixes: DataFrame  # (suffix, f_suffix_rate, f_suffix_count) of all labelled URLs
     prior: float
 
 
@@ -106,37 +106,46 @@ def with_features(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def sample_labelled(labelled: DataFrame, url: str, label: str, max_rows: int) -> list:
-    """The max_rows labelled URLs of the lowest hash: bounded, and the same at every run."""
+def suffix_sums(labelled: DataFrame, url: str, label: str) -> DataFrame:
+    """(suffix, fold, s, n) over all labelled URLs: their labels' sum and number."""
+    known = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("y")).where("y is not null")
+    return with_features(with_parts(known)).groupBy("suffix", fold_of("url")).agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def fold_of(url: str) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(2)), F.lit(FOLDS)).alias("fold")
+
+
+def sample_labelled(labelled: DataFrame, url: str, label: str, max_rows: int, sums: DataFrame) -> list:
+    """The max_rows labelled URLs of the lowest hash: bounded, and the same at every run; with the sums of their suffix over all labelled URLs (s, n) and over those of their own fold (s0, n0)."""
     known = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("y")).where("y is not null")
     # a share of hashes that holds a little over max_rows, so that no task sends more than its part of them
     share = min(1.0, 1.2 * max_rows / max(1, known.count()))
     few = known.where(F.pmod(F.xxhash64("url", F.lit(1)), F.lit(1 << 40)) <= int(share * (1 << 40)))
     df = with_features(with_parts(few))
     lexical = [f for f in FEATURES if not f.startswith("f_suffix")]
-    lowest = df.select("url", "y", "suffix", *lexical).orderBy(F.xxhash64("url"), "url", "y").limit(max_rows)
-    return lowest.collect()
+    lowest = df.select("url", "y", "suffix", fold_of("url"), *lexical).orderBy(F.xxhash64("url"), "url", "y").limit(max_rows)
+    whole = sums.groupBy("suffix").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = sums.select("suffix", "fold", F.col("s").alias("s0"), F.col("n").alias("n0"))
+    rows = lowest.join(whole, "suffix").join(own, ["suffix", "fold"]).collect()
+    return sorted(rows, key=lambda r: (r["url"] or "", r["y"]))
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "label", *, max_rows: int = 20_000, n_trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, smooth: float = 20.0, ridge: float = 1.0) -> BoostedTrees:
-    """Second-order boosting of logistic loss over quantile bins. With no labelled rows, or one class only, no trees: the bias decides."""
-    rows = sample_labelled(labelled, url, label, max_rows)
+    """Second-order boosting of logistic loss over quantile bins, on a bounded sample; suffix statistics count all labelled URLs. With no labelled rows, or one class only, no trees: the bias decides."""
+    sums = suffix_sums(labelled, url, label)
+    rows = sample_labelled(labelled, url, label, max_rows, sums)
     y = np.array([r["y"] for r in rows], dtype=float)
+    prior = float(y.mean()) if len(y) else 0.0
+    rate_of = (F.sum("s") + smooth * prior) / (F.sum("n") + smooth)
+    table = sums.groupBy("suffix").agg(rate_of.alias("f_suffix_rate"), F.log1p(F.sum("n")).alias("f_suffix_count"))
     if not len(y) or y.min() == y.max():
-        return BoostedTrees(-1.0 if not len(y) or y[0] == 0 else 1.0, (), (), float(y.mean()) if len(y) else 0.0)
-    prior = float(y.mean())
-    groups: dict[str, list[float]] = {}
-    by_fold: dict[tuple[str, int], list[float]] = {}
-    for i, r in enumerate(rows):
-        for g in (groups.setdefault(r["suffix"], [0.0, 0.0]), by_fold.setdefault((r["suffix"], i % FOLDS), [0.0, 0.0])):
-            g[0] += r["y"]
-            g[1] += 1
+        return BoostedTrees(-1.0 if not len(y) or y[0] == 0 else 1.0, (), table, prior)
     lexical = [f for f in FEATURES if not f.startswith("f_suffix")]
     x = np.empty((len(rows), len(FEATURES)))
     for i, r in enumerate(rows):
         # suffix statistics come from the other folds: with its own label in them, or it alone left out, a row gives itself away
-        (s, n), (s0, n0) = groups[r["suffix"]], by_fold[r["suffix"], i % FOLDS]
-        x[i] = [*(float(r[f]) for f in lexical), (s - s0 + smooth * prior) / (n - n0 + smooth), math.log1p(n)]
+        x[i] = [*(float(r[f]) for f in lexical), (r["s"] - r["s0"] + smooth * prior) / (r["n"] - r["n0"] + smooth), math.log1p(r["n"])]
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     bias = math.log(prior / (1 - prior))
@@ -168,7 +177,6 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", *, max_rows
             return (FEATURES[j], float(cuts[j][k]), grow(at[left], level + 1), grow(at[~left], level + 1))
 
         trees.append(grow(np.arange(len(y)), 0))
-    table = tuple(sorted((s, (a + smooth * prior) / (n + smooth), math.log1p(n)) for s, (a, n) in groups.items()))
     return BoostedTrees(bias, tuple(trees), table, prior)
 
 
@@ -187,11 +195,10 @@ def margin_of(model: BoostedTrees) -> Column:
 
 def classify(pages: DataFrame, model: BoostedTrees, rules: list[Rule], url: str = "url") -> DataFrame:
     """pages with host, path, rule, score (the trees' log odds) and verdict; features are dropped."""
-    spark = pages.sparkSession
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
     df = with_features(with_parts(pages.select(*own), url), url)
-    table = spark.createDataFrame([*model.suffixes] or [("", 0.0, 0.0)], "suffix string, f_suffix_rate double, f_suffix_count double")
-    df = df.join(F.broadcast(table), "suffix", "left").fillna({"f_suffix_rate": model.prior, "f_suffix_count": 0.0})
+    # as many suffixes as the labelled URLs have: whether they are few enough to be sent is for the planner to measure
+    df = df.join(model.suffixes, "suffix", "left").fillna({"f_suffix_rate": model.prior, "f_suffix_count": 0.0})
     rule, verdict = matching_rule(rules)
     df = df.withColumns({"rule": rule, "_by_rule": verdict, "score": margin_of(model)})
     judged = F.coalesce("_by_rule", F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow")))
