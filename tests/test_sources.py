@@ -133,3 +133,11 @@ def test_columns_of_reads(spark, tmp_path):
     runs = spark.createDataFrame([("a", 0, 5, 2), ("a", 5, 9, 3), ("a", 20, 9000, 1), ("a", 9000, 9001, 4), ("b", 7, 8, 1)], "contig string, s int, e int, depth long")
     back = columnar.decoded_runs(columnar.encoded_runs(runs, ["contig"]), ["contig"])
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, runs.collect()))
+
+
+def test_exact_groups_without_seeds(spark):
+    schema = "locus string, id long, blocks array<struct<s:int,e:int>>, junctions array<struct<s:int,e:int>>, alleles map<int,string>"
+    rows = [("c", 1, [(0, 9)], [], {3: "A"}), ("c", 2, [(0, 9)], [], {3: "C"}), ("d", 3, [(0, 9)], None, None)]
+    got = consensus.exact_groups(spark.createDataFrame(rows, schema), "locus").collect()
+    assert sorted((r["id"], r["status"], r["anchor"]) for r in got) == [(1, "minor", None), (2, "minor", None), (3, "minor", None)]
+    assert consensus.exact_groups(spark.createDataFrame([], schema), "locus").count() == 0
