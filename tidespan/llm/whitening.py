@@ -2,9 +2,9 @@
 
 1. vectors are scaled to whole numbers, x = floor(scale * c); the fit list holds each distinct x once.
 2. tasks cut the fit list into row-blocks, and each of those into blocks of `tile` columns; exact sums give the mean.
-3. every pair of column blocks (i <= j) is a tile key. A column block goes to the tiles of its row-block that it takes part
-   in; there the two centred blocks are multiplied. Products are summed per tile over all row-blocks, combined before they
-   are shuffled.
+3. every pair of column blocks (i <= j) is a tile key. A column block goes to the tiles of its group of row-blocks that it
+   takes part in; there the two centred blocks of each row-block are multiplied and summed. Products are summed per tile over
+   all groups, combined before they are shuffled.
 4. the tiles are put together to a symmetric matrix of width x width (the driver holds that and no rows) and decomposed.
 
 The driver sees the sums, the tiles and a few totals: their number follows the vectors' width and not their number.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tidespan.session import discard, store
 
 ROWS, TILE = 1024, 32
+#: Row-blocks' worth of vectors whose products are summed at once.
+TOGETHER = 4
 #: A component whose share of the variance is below this has no spread.
 NO_SPREAD = 1e-13
 
@@ -107,20 +109,30 @@ def exact_sums(blocks: DataFrame, tile: int) -> tuple[int, list[int]]:
     return (rows[0]["n"] if rows else 0), [int(r["s"]) for r in rows]
 
 
-def covariance(blocks: DataFrame, n: int, sums: list[int], tile: int) -> np.ndarray:
-    """The covariance, divisor n, of the vectors in blocks."""
+def covariance(blocks: DataFrame, n: int, sums: list[int], tile: int, size: int = ROWS) -> np.ndarray:
+    """The covariance, divisor n, of the vectors in blocks. Row-blocks are put into as many groups as n asks for, however many there are: a group and a tile key are one product."""
     d = len(sums)
     cols = -(-d // tile)
     mean = np.array([s / n for s in sums])
 
     def multiply(t: pa.Table) -> pa.Table:
         ti, tj = t.column("ti")[0].as_py(), t.column("tj")[0].as_py()
-        sides = {r["col"]: ints(r["x"], r["n"]) - mean[r["col"] * tile : (r["col"] + 1) * tile] for r in t.select(["col", "n", "x"]).to_pylist()}
-        return pa.table({"ti": pa.array([ti], pa.int32()), "tj": pa.array([tj], pa.int32()), "entries": pa.array([(sides[ti].T @ sides[tj]).ravel().tolist()], pa.list_(pa.float64()))})
-
-    least, greatest = F.least("col", "other"), F.greatest("col", "other")
-    keyed = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("other")).withColumns({"ti": least, "tj": greatest})
-    products = keyed.drop("other").groupBy("row_block", "ti", "tj").applyInArrow(multiply, TILES)
+        waiting: dict[int, np.ndarray] = {}
+        total = 0.0
+        for block, col, rows, x in zip(*(t.column(c).to_pylist() for c in ("row_block", "col", "n", "x")), strict=True):
+            part = ints(x, rows) - mean[col * tile : (col + 1) * tile]
+            if ti == tj:
+                total = total + part.T @ part
+            elif block in waiting:
+                other = waiting.pop(block)
+                total = total + (part.T @ other if col == ti else other.T @ part)
+            else:
+                waiting[block] = part
+        return pa.table({"ti": pa.array([ti], pa.int32()), "tj": pa.array([tj], pa.int32()), "entries": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
+
+    group = F.pmod(F.xxhash64("row_block"), F.lit(max(1, -(-n // (TOGETHER * size)))))
+    keyed = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("other"), group.alias("group")).withColumns({"ti": F.least("col", "other"), "tj": F.greatest("col", "other")})
+    products = keyed.drop("other").groupBy("group", "ti", "tj").applyInArrow(multiply, TILES)
     summed = products.select("ti", "tj", F.posexplode("entries").alias("pos", "v")).groupBy("ti", "tj", "pos").agg(F.sum("v").alias("v"))
     out = np.zeros((d, d))
     # as many rows as tiles, each of tile x tile numbers
@@ -132,12 +144,12 @@ def covariance(blocks: DataFrame, n: int, sums: list[int], tile: int) -> np.ndar
     return out / n
 
 
-def fit(blocks: DataFrame, tile: int = TILE) -> Whitening | None:
+def fit(blocks: DataFrame, tile: int = TILE, size: int = ROWS) -> Whitening | None:
     """The whitening of the vectors in blocks; None if there are none."""
     n, sums = exact_sums(blocks, tile)
     if not n:
         return None
-    cov = covariance(blocks, n, sums, tile)
+    cov = covariance(blocks, n, sums, tile, size)
     values, vectors = np.linalg.eigh(cov)
     return Whitening(n, sums, values[::-1].copy(), vectors.T[::-1].copy(), float(np.trace(cov)))
 
@@ -148,10 +160,10 @@ def projected(w: Whitening, k: int) -> tuple[np.ndarray, np.ndarray]:
     return w.components[:k] / np.sqrt(np.where(spread, w.values[:k], 1.0))[:, None], spread
 
 
-def identity_error(blocks: DataFrame, w: Whitening, k: int, tile: int = TILE) -> float:
+def identity_error(blocks: DataFrame, w: Whitening, k: int) -> float:
     """How far the covariance of the first k whitened components over the fit list is from the identity."""
     directions, spread = projected(w, k)
-    mean, cols = w.mean, -(-len(w.sums) // tile)
+    mean = w.mean
 
     def project(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["col"])
@@ -161,7 +173,6 @@ def identity_error(blocks: DataFrame, w: Whitening, k: int, tile: int = TILE) ->
 
     if not spread.any():
         return 0.0
-    assert cols > 0
     sums = blocks.groupBy("row_block").applyInArrow(project, "v array<double>").select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
     v = np.array([r["v"] for r in sums.orderBy("pos").collect()])
     m = v[: len(directions)] / w.n
@@ -211,11 +222,11 @@ def whiten(vectors: DataFrame, k: int = 4, id_column: str = "vec_id", column: st
     """The first k whitened components of every vector, with identity_error."""
     rows = scaled(vectors, id_column, column, scale)
     blocks = column_blocks(rows, size, tile)
-    w = fit(blocks, tile)
+    w = fit(blocks, tile, size)
     id_type = dict(rows.dtypes)["vec_id"]
     if w is None:
         return vectors.sparkSession.createDataFrame([], f"vec_id {id_type}, component int, n long, deviation long, whitened double, explained double, identity_error double")
-    error = identity_error(blocks, w, min(k, len(w.sums)), tile)
+    error = identity_error(blocks, w, min(k, len(w.sums)))
     discard(blocks)
     return whitened(rows, w, k, id_type).withColumn("identity_error", F.lit(error))
 
