@@ -2,8 +2,9 @@
 
 Every five-word shingle is hashed once; part of the hash names its bin, the rest competes for the bin's least value. An empty
 bin looks at the other bins in an order of its own, the same for all documents, and takes the value of the first that holds
-one. The low `bits` bits of each value are packed; as two different values share them by chance once in 2^bits, the share of
-equal bins is corrected for that before it counts as likeness.
+one. Values are mixed with their bin, so that copies of one value have bits of their own in each bin, and the low `bits` bits
+are packed; as two different values share them by chance once in 2^bits, the share of equal bins is corrected for that before
+it counts as likeness.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; a text of fewer than five words is one shingle, its whole sequence. A text
 without words (or null, which counts as empty) has an empty fingerprint: its likeness to another such text is 1, to any other
@@ -84,7 +85,9 @@ def low_bits(texts: pa.Array, prints: Prints) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint64(prints.bins.bit_length() - 1)
     np.minimum.at(table, owner * prints.bins + (h & np.uint64(prints.bins - 1)).astype(np.int64), h >> shift)
     table = table.reshape(len(texts), prints.bins)
-    return (densified(table) & np.uint64((1 << prints.bits) - 1)).astype(np.uint8), (table != EMPTY).any(axis=1)
+    # else the copies of a small set's few values would agree with another's by chance all at once
+    own = mixed(densified(table) ^ (np.arange(prints.bins, dtype=np.uint64) << np.uint64(48)))
+    return (own & np.uint64((1 << prints.bits) - 1)).astype(np.uint8), (table != EMPTY).any(axis=1)
 
 
 def packed(low: np.ndarray, some: np.ndarray, bits: int) -> list[bytes]:
