@@ -256,7 +256,8 @@ def expand(blocks: DataFrame, entries: DataFrame, rules: Rules, batch_rows: int)
     own = ["client_id", "alone", "block", "times", "ids", "late", "final", "cents"]
     none = [F.lit(None).cast(k).alias(n) for n, k in (f.split(" ") for f in ENTRIES.split(", ")[1:])]
     alone = blocks.where("alone").select(*own, *none)
-    others = blocks.where("not alone").select(*own).join(entries, "block")
+    # merged, so that nothing that grows is broadcast
+    others = blocks.where("not alone").select(*own).join(entries.hint("merge"), "block")
     return store(alone.unionByName(others).mapInArrow(run, PIECES), "session-pieces", records=batch_rows)
 
 
