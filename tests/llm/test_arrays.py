@@ -224,4 +224,4 @@ def test_fingerprints_of_long_texts(spark):
     rows = [(1, long), (2, long), (3, "y" * 1_000_000), (4, "short")]
     got = {r["doc_id"]: r for r in fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["near_next"] == 1.0 and got[1]["edited_sha256"] == hashlib.sha256((long[: len(long) - len(long) // 2] + long[: len(long) // 2]).encode()).hexdigest()
-    assert got[3]["n_chars"] == 1_000_000 and got[2]["near_next"] == 0.0
+    assert got[3]["n_chars"] == 1_000_000 and got[2]["near_next"] < 0.05
