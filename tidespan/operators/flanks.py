@@ -8,41 +8,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidespan.operators.alignment import edit_table, moves, paired
 
-def edit_table(a: str, b: str) -> np.ndarray:
-    """Edits between every start of a and every start of b. A row follows from the one before by two minima, and by a running one for gaps along it."""
-    x, y = np.frombuffer(a.encode("latin-1", "replace"), np.uint8), np.frombuffer(b.encode("latin-1", "replace"), np.uint8)
-    along = np.arange(len(y) + 1)
-    out = np.empty((len(x) + 1, len(y) + 1), np.int64)
-    out[0] = along
-    for i in range(1, len(x) + 1):
-        best = out[i - 1] + 1
-        best[1:] = np.minimum(best[1:], out[i - 1, :-1] + (y != x[i - 1]))
-        out[i] = np.minimum.accumulate(best - along) + along
-    return out
+
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
 
 
 def aligned(read: str, flank: str, at_end: bool) -> tuple[str, str]:
     """(reference row, read row) with - for gaps: fixed at the tract (at_end: where both end, else where both start), free at the other end, where either may go on beyond the other; what does stands against blanks."""
-    a, b = (flank[::-1], read[::-1]) if at_end else (flank, read)
-    d = edit_table(a, b)
-    # the free end: all of one of them, with the fewest edits; both whole before others, then the whole reference
-    edge = [(d[-1, -1], len(a), len(b)), *((v, len(a), j) for j, v in enumerate(d[-1])), *((v, i, len(b)) for i, v in enumerate(d[:, -1]))]
-    _, i, j = min(edge, key=lambda x: x[0])
-    tail = max(len(a) - i, len(b) - j)
-    rows = [(a[i:].ljust(tail), b[j:].ljust(tail))]
-    while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            rows.append((a[i], b[j]))
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            rows.append((a[i], "-"))
-        else:
-            j -= 1
-            rows.append(("-", b[j]))
-    ref, own = ("".join(x) for x in zip(*reversed(rows)))
-    return (ref[::-1], own[::-1]) if at_end else (ref, own)
+    way = slice(None, None, -1 if at_end else 1)
+    ref, own = flank[way], read[way]
+    a, b = letters(ref), letters(own)
+    table = edit_table(a, b)
+    # where all of one of them is used with the fewest edits: both, else the reference, else the read
+    ends = [(len(a), len(b)), *((len(a), j) for j in range(len(b) + 1)), *((i, len(b)) for i in range(len(a) + 1))]
+    end = ends[int(np.array([table[e] for e in ends]).argmin())]
+    pairs = paired(moves(table, a, b), end)
+    over_ref, over_own = ref[end[0] :], own[end[1] :]
+    width = max(len(over_ref), len(over_own))
+    rows = (
+        "".join("-" if i is None else ref[i] for i, _ in pairs) + over_ref.ljust(width),
+        "".join("-" if j is None else own[j] for _, j in pairs) + over_own.ljust(width),
+    )
+    return rows[0][way], rows[1][way]
 
 
 def aligned_flanks(flanks: DataFrame) -> DataFrame:
