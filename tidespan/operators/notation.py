@@ -101,28 +101,33 @@ def applied(ops: Column, chrom: Column, length: Column) -> Column:
     return F.struct(done["clash"].alias("clash"), F.concat(done["pieces"], ref(done["at"], length)).alias("pieces"))
 
 
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: a row generator stands between them and what uses them, so that their expressions are not written out in every place."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parsed(texts: DataFrame, lengths: dict[str, int]) -> DataFrame:
     """texts (id, text) with pieces and error: null, or unreadable, unknown_chromosome, unknown_position, missing_insertion or overlap. lengths: of the chromosomes of a build."""
     lens = F.create_map(*[F.lit(x) for c, n in lengths.items() for x in (c, int(n))]).cast("map<string,bigint>")
-    x = texts.withColumn("_t", normal(F.col("text")))
-    x = x.withColumns({"_parts": F.split("_t", "::"), "_chrom": chromosome_of(F.regexp_extract("_t", rf"^(?:der\(\w+\))?({REFERENCE}):g\.", 1)), "_body": F.regexp_extract("_t", rf"^{REFERENCE}:g\.\[?(.*?)\]?$", 1)})
+    x = worked_out(texts.select("id", "text"), _t=normal(F.col("text")))
     # a list's closing bracket is not its last content's
-    x = x.withColumn("_body", F.when(F.col("_t").rlike(rf"^{REFERENCE}:g\.\["), F.col("_body")).otherwise(F.regexp_extract("_t", rf"^{REFERENCE}:g\.(.*)$", 1)))
-    is_parts = (F.size("_parts") > 1) & F.forall("_parts", lambda p: p.rlike(PART))
-    is_list = (F.size("_parts") == 1) & F.col("_t").rlike(ALLELE)
-    length = F.try_element_at(lens, F.col("_chrom"))
-    x = x.withColumns({"_ok": F.coalesce(is_parts | is_list, F.lit(False)), "_ops": F.when(is_list, changes(F.col("_body"), F.col("_chrom"), lens))})
-    x = x.withColumn("_done", F.when(is_list, applied(F.col("_ops"), F.col("_chrom"), length)))
-    x = x.withColumn("pieces", F.when(is_parts, F.transform("_parts", lambda p: piece(p, PART, F.col("_chrom"), lens))).otherwise(F.col("_done.pieces")).cast(PIECES))
+    body = F.when(F.col("_t").rlike(rf"^{REFERENCE}:g\.\["), F.regexp_extract("_t", rf"^{REFERENCE}:g\.\[(.*)\]$", 1)).otherwise(F.regexp_extract("_t", rf"^{REFERENCE}:g\.(.*)$", 1))
+    chrom = chromosome_of(F.regexp_extract("_t", rf"^(?:der\(\w+\))?({REFERENCE}):g\.", 1))
+    x = worked_out(x, _parts=F.split("_t", "::"), _chrom=chrom, _body=body, _list=F.coalesce(F.col("_t").rlike(ALLELE), F.lit(False)))
+    in_parts = (F.size("_parts") > 1) & F.forall("_parts", lambda p: p.rlike(PART))
+    x = worked_out(x, _seq=F.coalesce(in_parts, F.lit(False)), _ops=F.when(F.col("_list"), changes(F.col("_body"), F.col("_chrom"), lens)), _length=F.try_element_at(lens, F.col("_chrom")))
+    x = worked_out(x, _done=F.when(F.col("_list"), applied(F.col("_ops"), F.col("_chrom"), F.col("_length"))))
+    x = worked_out(x, pieces=F.when(F.col("_seq"), F.transform("_parts", lambda p: piece(p, PART, F.col("_chrom"), lens))).otherwise(F.col("_done.pieces")).cast(PIECES))
     needs = lambda o: o["kind"].isin("ins", "delins")
     error = (
-        F.when(~F.col("_ok") | F.exists("_ops", lambda o: ~o["readable"] | (~needs(o) & ~o["bare"])), "unreadable")
-        .when(length.isNull() | F.exists("pieces", lambda p: F.try_element_at(lens, p["chrom"]).isNull()), "unknown_chromosome")
+        F.when(~(F.col("_list") | F.col("_seq")) | F.exists("_ops", lambda o: ~o["readable"] | (~needs(o) & ~o["bare"])), "unreadable")
+        .when(F.col("_length").isNull() | F.exists("pieces", lambda p: F.try_element_at(lens, p["chrom"]).isNull()), "unknown_chromosome")
         .when(F.exists("_ops", lambda o: needs(o) & o["bare"]), "missing_insertion")
         .when(F.exists("_ops", lambda o: o["s"].isNull() | o["e"].isNull()) | F.exists("pieces", lambda p: p["s"].isNull() | p["e"].isNull()), "unknown_position")
         .when(F.col("_done.clash"), "overlap")
     )
-    return x.withColumn("error", error).select("id", "text", F.when(F.col("error").isNull(), F.col("pieces")).alias("pieces"), "error")
+    x = worked_out(x, error=error)
+    return worked_out(x.withColumnRenamed("pieces", "_pieces"), pieces=F.when(F.col("error").isNull(), F.col("_pieces"))).select("id", "text", "pieces", "error")
 
 
 def typed_junctions(descriptions: DataFrame) -> DataFrame:
