@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidespan.operators.intervals import overlap_join, point_join
+
 #: The bases in table order, and the amino acids of their 64 codons.
 BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -40,18 +42,18 @@ def transcript_layout(exons: DataFrame, on: str, plus: bool = True) -> DataFrame
 
 def to_transcript(points: DataFrame, layout: DataFrame, on: str, plus: bool = True) -> DataFrame:
     """Positions (on, pos) on exons with their transcript position t; others are left out."""
-    inside = (F.col("pos") >= F.col("xs")) & (F.col("pos") < F.col("xe"))
     t = F.col("t1") + (F.col("pos") - F.col("xs") if plus else F.col("xe") - 1 - F.col("pos"))
-    return points.join(F.broadcast(layout), on).where(inside).withColumn("t", t)
+    return point_join(points, layout, [on], "pos", ("xs", "xe")).withColumn("t", t)
 
 
 def exon_effect(calls: DataFrame, exons: DataFrame, on: str, cds_start: int, cds_end: int) -> DataFrame:
     """What a loss (call, contig, s, e) inside a gene does to its frame: intact where no exon is touched, whole where all lie in it, undetermined where an exon is cut, utr, start or stop where it takes one, else in or out of frame by its coding bases."""
-    hit = calls.join(F.broadcast(exons), on)
-    touched = (F.col("xs") < F.col("e")) & (F.col("xe") > F.col("s"))
+    hit = overlap_join(calls, exons, [on], ("s", "e"), ("xs", "xe"))
     inside = (F.col("xs") >= F.col("s")) & (F.col("xe") <= F.col("e"))
     coding = F.greatest(F.lit(0), F.least("xe", "e", F.lit(cds_end)) - F.greatest("xs", "s", F.lit(cds_start)))
-    f = hit.groupBy("call", on, "s", "e").agg(F.count(F.lit(1)).alias("_all"), F.count_if(touched).alias("exons"), F.count_if(inside).alias("_inside"), F.sum(F.when(touched, coding).otherwise(0)).alias("coding"))
+    touched = hit.groupBy("call", on, "s", "e").agg(F.count(F.lit(1)).alias("exons"), F.count_if(inside).alias("_inside"), F.sum(coding).alias("coding"))
+    every = exons.groupBy(on).agg(F.count(F.lit(1)).alias("_all"))
+    f = calls.select("call", on, "s", "e").join(every, on).join(touched, ["call", on, "s", "e"], "left").fillna(0, ["exons", "_inside", "coding"])
     has = lambda p: (F.col("s") <= p) & (F.col("e") > p)
     effect = (
         F.when(F.col("exons") == 0, "intact")

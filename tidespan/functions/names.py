@@ -117,26 +117,40 @@ def in_blocks(blocks: Column, pos: Column, inner: bool = False) -> Column:
     return F.exists(blocks, lambda b: ((b["s"] < pos) if inner else (b["s"] <= pos)) & (pos < b["e"]))
 
 
+#: Other names of chromosomes.
+ALIASES = {"MT": "M", "23": "X", "24": "Y"}
+
+
 def known_chromosome(name: Column) -> Column:
-    """chr1 to chr22, chrX, chrY or chrM of a name with or without chr, MT, 23 or 24; empty for others."""
-    bare = F.regexp_replace(F.upper(F.trim(F.coalesce(name, F.lit("")))), "^CHR", "")
-    bare = F.when(bare == "MT", "M").when(bare == "23", "X").when(bare == "24", "Y").otherwise(bare)
-    return F.when(bare.rlike("^([1-9]|1[0-9]|2[0-2]|X|Y|M)$"), F.concat(F.lit("chr"), bare)).otherwise("")
+    """chr1 to chr22, chrX, chrY or chrM of a chromosome under any of its names, with chr before it or not; empty for others."""
+    plain = {n: n for n in [*map(str, range(1, 23)), "X", "Y", "M"]} | ALIASES
+    table = F.create_map(*[F.lit(x) for n, c in plain.items() for x in (n, f"chr{c}")])
+    key = F.regexp_extract(F.upper(F.trim(F.coalesce(name, F.lit("")))), "^(?:CHR)?(.*)$", 1)
+    return F.coalesce(F.try_element_at(table, key), F.lit(""))
+
+
+#: Terms of a consequence, by what they mean for the protein, the gravest first.
+EFFECT_TERMS = {
+    "lof": ["nonsense", "stop gained", "frameshift", "splice donor", "splice acceptor", "initiator codon", "start lost"],
+    "missense": ["missense"],
+    "inframe": ["inframe", "in-frame", "stop lost"],
+}
+#: How notations write a stop.
+STOPS = ["Ter", "*", "X"]
 
 
 def variant_effect(consequence: Column, protein: Column) -> Column:
-    """lof, missense, inframe or other, by the consequence; without one, by the protein's notation."""
-    c = F.replace(F.lower(F.coalesce(consequence, F.lit(""))), F.lit("_"), F.lit(" "))
-    p = F.coalesce(protein, F.lit(""))
-    return (
-        F.when(c.rlike("nonsense|stop gained|frameshift|splice (donor|acceptor)|initiator codon|start lost"), "lof")
-        .when(c.rlike("missense"), "missense")
-        .when(c.rlike("inframe|in-frame|stop lost"), "inframe")
-        .when(c != "", "other")
-        .when(p.rlike("(Ter|\\*|X)\\)?$|fs"), "lof")
-        .when(p.rlike("^p\\.\\(?[A-Z][a-z]{2}[0-9]+[A-Z][a-z]{2}\\)?$"), "missense")
-        .otherwise("other")
-    )
+    """lof, missense, inframe or other: the gravest term of the consequence; without a consequence, what the protein's notation says became of its amino acid."""
+    words = F.translate(F.lower(F.coalesce(consequence, F.lit(""))), "_", " ")
+    graded = [(name, F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(words, t))) for name, terms in EFFECT_TERMS.items()]
+    # p.(Gly12Asp): the amino acid, its place, and what stands there now
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(protein, F.lit("")), "^p\\.", ""), "[()]", "")
+    became = F.regexp_extract(bare, "^[A-Za-z*]+[0-9]+(.*)$", 1)
+    by_protein = F.when(F.array_contains(F.array(*[F.lit(x) for x in STOPS]), became) | F.contains(bare, F.lit("fs")), "lof").when((F.length(became) == 3) & (F.initcap(became) == became) & ~F.contains(became, F.lit("=")), "missense").otherwise("other")
+    out = F.when(words == "", by_protein).otherwise("other")
+    for name, met in reversed(graded):
+        out = F.when(met, name).otherwise(out)
+    return out
 
 
 #: The fields of a population record that matter here.
@@ -152,9 +166,3 @@ def population_record(text: Column) -> Column:
     freq = F.when(F.contains(r["freq"], F.lit("%")) | (share > 1), share / 100).otherwise(share)
     out = F.struct(r["name"].alias("id"), s.alias("os"), e.alias("oe"), F.when(good, a).otherwise(s).alias("is_"), F.when(good, b).otherwise(e).alias("ie"), freq.alias("freq"))
     return F.when(e > s, out)
-
-
-def looks_like_gene(text: Column) -> Column:
-    """Whether a text reads as a gene symbol: 2 to 30 characters, none of the forms of positions, exons and accessions."""
-    t = F.trim(text)
-    return F.length(t).between(2, 30) & ~t.rlike("(?i)^(chr|ens[a-z]*[0-9]|nm_|nr_|xm_|xr_|nc_|[cngmp]\\.|exons?\\b)") & t.rlike("^[A-Za-z][A-Za-z0-9.\\-@]*$")

@@ -29,6 +29,16 @@ def dgv_hits(calls: DataFrame, records: DataFrame, width: int = 256) -> DataFram
     return hit.select("call", "record", F.col("_x.cover").alias("cover"), rel.alias("rel"))
 
 
+def genes_of_calls(calls: DataFrame, transcripts: DataFrame, exons: DataFrame, width: int = 512) -> DataFrame:
+    """(call, symbol, tx, whole, exons) of the genes that a call (call, chrom, s, e) touches on its chromosome, by transcripts (tx, symbol, chrom, a, b, listed) and their exons (tx, symbol, chrom, xs, xe). tx is the principal model, listed ones first, then the longest, then the least name; whole: the call holds it; exons: the call touches an exon of any of the gene's transcripts."""
+    hit = overlap_join(calls, transcripts, ["chrom"], ("s", "e"), ("a", "b"), width)
+    whole = (F.col("a") >= F.col("s")) & (F.col("b") <= F.col("e"))
+    best = F.min(F.struct((~F.col("listed")).alias("o"), (F.col("a") - F.col("b")).alias("n"), "tx", whole.alias("whole")))
+    models = hit.groupBy("call", "symbol").agg(best.alias("p"))
+    touched = overlap_join(calls, exons, ["chrom"], ("s", "e"), ("xs", "xe"), width).groupBy("call", "symbol").agg(F.lit(True).alias("_x"))
+    return models.join(touched, ["call", "symbol"], "left").select("call", "symbol", "p.tx", "p.whole", F.coalesce("_x", F.lit(False)).alias("exons"))
+
+
 def dosage_reading(effect: Column, hi: Column, ts: Column) -> Column:
     """high, moderate or low, of a gene's dosage scores under a loss, a gain or a change of place; null where they say nothing."""
     return (
@@ -93,12 +103,11 @@ def allelic_junctions(counts: DataFrame, keys: list[str]) -> DataFrame:
     g = counts.groupBy(*keys, "s", "e").agg(*[F.sum(F.when(F.col("hap") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (1, 2) for c in ("used", "reads")])
     u1, u2 = F.try_divide(F.col("used1").cast("double"), "reads1"), F.try_divide(F.col("used2").cast("double"), "reads2")
     g = g.withColumns({"use1": F.coalesce(u1, F.lit(0.0)), "use2": F.coalesce(u2, F.lit(0.0))}).withColumn("delta", F.abs(F.col("use1") - F.col("use2")))
-    most = g.agg(F.coalesce(F.max(F.col("reads1") + F.col("reads2")), F.lit(0))).first()[0]
     cells = {"_a": F.col("used1"), "_b": F.col("reads1") - F.col("used1"), "_c": F.col("used2"), "_d": F.col("reads2") - F.col("used2")}
-    g = g.withColumns({k: v.cast("int") for k, v in cells.items()}).withColumn("_lf", F.array(*[F.lit(x) for x in stats.log_factorial_table(int(most))]))
-    g = g.withColumn("p", stats.fisher("_lf", "_a", "_b", "_c", "_d"))
+    g = g.withColumns({k: v.cast("int") for k, v in cells.items()})
+    g = g.withColumn("p", stats.fisher("_a", "_b", "_c", "_d"))
     deep = (F.col("reads1") >= LEAST_READS) & (F.col("reads2") >= LEAST_READS)
-    return g.withColumn("allelic", deep & (F.col("p") < ALLELIC_P) & (F.col("delta") >= ALLELIC_DELTA)).drop("_lf", "_a", "_b", "_c", "_d")
+    return g.withColumn("allelic", deep & (F.col("p") < ALLELIC_P) & (F.col("delta") >= ALLELIC_DELTA)).drop("_a", "_b", "_c", "_d")
 
 
 #: Lengths of chromosome 1 by build.

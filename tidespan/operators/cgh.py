@@ -77,16 +77,15 @@ def recurrent(calls: DataFrame, regions: DataFrame, most: int = 4, width: int =
     return good.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).select("call", "region", "of_region", "of_call")
 
 
-def topology(calls: DataFrame, length: int, p_end: int, q_start: int, origin: int = 0, terminal: int = 500_000, cover: float = 0.9, acrocentric: bool = False) -> DataFrame:
-    """Which chromosome ends a call lies on, and whether it covers an arm or the whole. An acrocentric chromosome's short arm is not read."""
-
-    def share(a: int, z: int) -> Column:
-        return F.greatest(F.lit(0), F.least("e", F.lit(z)) - F.greatest("s", F.lit(a))) / max(1, z - a)
-
-    p = F.lit(not acrocentric) & (share(origin, p_end) >= cover)
-    q = share(q_start, length) >= cover
-    span = F.when((p | F.lit(acrocentric)) & q, "chr").when(p, "p").when(q, "q")
-    return calls.select("call", (F.col("s") <= origin + terminal).alias("p_end"), (F.col("e") >= length - terminal).alias("q_end"), span.alias("span"))
+def topology(calls: DataFrame, arms: DataFrame, terminal: int = 500_000, cover: float = 0.9) -> DataFrame:
+    """(call, p_end, q_end, span): which chromosome ends a call (call, chrom, s, e) lies on, and whether it covers an arm or the whole. arms: (chrom, arm, a, z, measured), a p and a q of each chromosome; one that arrays don't measure (the short arm of an acrocentric) counts with the other, and never alone."""
+    reach = arms.groupBy("chrom").agg(F.min("a").alias("_begin"), F.max("z").alias("_end"))
+    each = calls.join(arms, "chrom")
+    part = F.greatest(F.lit(0), F.least("e", "z") - F.greatest("s", "a")) / F.greatest(F.col("z") - F.col("a"), F.lit(1))
+    each = each.withColumn("_held", F.when(F.col("measured"), part >= cover))
+    g = each.groupBy("call", "chrom", "s", "e").agg(F.count_if(F.col("_held") & (F.col("arm") == "p")).alias("_p"), F.count_if(F.col("_held") & (F.col("arm") == "q")).alias("_q"), F.count_if(~F.coalesce("_held", F.lit(True))).alias("_short"))
+    span = F.when((F.col("_short") == 0) & (F.col("_p") + F.col("_q") > 0), "chr").when(F.col("_p") > 0, "p").when(F.col("_q") > 0, "q")
+    return g.join(reach, "chrom").select("call", (F.col("s") <= F.col("_begin") + terminal).alias("p_end"), (F.col("e") >= F.col("_end") - terminal).alias("q_end"), span.alias("span"))
 
 
 @dataclass(frozen=True)

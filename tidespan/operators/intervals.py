@@ -142,6 +142,14 @@ def ranked(rows: DataFrame, keys: list[str], order: str, *ties: str, stretch: in
     return x.withColumn("_place", place).join(before, [*keys, "_stretch"]).withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_stretch", "_place", "_before")
 
 
+def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict) -> DataFrame:
+    """(keys, a column for each name): the values at ranks, from 0, of a group's sorted values; ranks maps names to a rank as a function of how many there are. A walk over the counts of distinct values, so that no group is held as a list; nulls don't count."""
+    w = Window.partitionBy(*keys)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    walked = counts.withColumns({"_to": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    return walked.groupBy(*keys).agg(*[F.min(F.when(F.col("_to") > rank(F.col("_all")), F.col(value))).alias(name) for name, rank in ranks.items()])
+
+
 def reciprocal_overlap(as_: str, ae: str, bs: str, be: str) -> Column:
     """Shared length over the longer length; lengths are inclusive (1-based ends)."""
     shared = F.least(ae, be) - F.greatest(as_, bs) + 1

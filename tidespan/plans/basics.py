@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidespan.functions import reads, stats
 from tidespan.operators import intervals as iv
 from tidespan.plans import carriers as ca
-from tidespan.plans.carriers import CALLS, GENES, IV, JUNCTIONS
+from tidespan.plans.carriers import CALLS, GENES, IV, JUNCTIONS, PART_CHROM
 from tidespan.session import table
 
 QUERIES: dict = {}
@@ -120,15 +120,15 @@ TOLERANCE = "greatest(20, least(100, cast(floor(({1} - {0}) * 0.05 + 0.5) as int
 
 @query(
     "d07_nearest_event",
-    f"""with {CALLS}, ev as (select p_partkey as event, cast(85000 + p_partkey * 17 % 30000 as integer) as es, cast(85000 + p_partkey * 17 % 30000 + 100 + p_size * 5 as integer) as ee from part),
-    x as (select call as id, event, abs(s - es) + abs(e - ee) as distance from calls c join ev on abs(s - es) <= least({TOLERANCE.format("s", "e")}, {TOLERANCE.format("es", "ee")}) and abs(e - ee) <= least({TOLERANCE.format("s", "e")}, {TOLERANCE.format("es", "ee")}))
+    f"""with {CALLS}, ev as (select p_partkey as event, {PART_CHROM}, cast(85000 + p_partkey * 17 % 30000 as integer) as es, cast(85000 + p_partkey * 17 % 30000 + 100 + p_size * 5 as integer) as ee from part),
+    x as (select call as id, event, abs(s - es) + abs(e - ee) as distance from calls c join ev on ev.chrom = c.chrom and abs(s - es) <= least({TOLERANCE.format("s", "e")}, {TOLERANCE.format("es", "ee")}) and abs(e - ee) <= least({TOLERANCE.format("s", "e")}, {TOLERANCE.format("es", "ee")}))
     select id, event, cast(distance as integer) as distance from (select *, row_number() over (partition by id order by distance, event) as k from x) where k = 1""",
 )
 def d07(spark, d: str) -> DataFrame:
     p = table(spark, d, "part")
     s = (F.lit(85000) + F.col("p_partkey") * 17 % 30000).cast("int")
-    events = p.select(F.col("p_partkey").alias("event"), s.alias("es"), (s + 100 + F.col("p_size") * 5).alias("ee"))
-    return iv.nearest(ca.calls(spark, d).select(F.col("call").alias("id"), "s", "e"), events, [])
+    events = p.select(F.col("p_partkey").alias("event"), ca.part_chrom(), s.alias("es"), (s + 100 + F.col("p_size") * 5).alias("ee"))
+    return iv.nearest(ca.calls(spark, d).select(F.col("call").alias("id"), "chrom", "s", "e"), events, ["chrom"])
 
 
 @query(
@@ -140,7 +140,7 @@ def d15(spark, d: str) -> DataFrame:
     i = spark.range(25).withColumn("contig", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P"))))
     seg = i.select("contig", (F.lit(9000) + F.col("id") * 100).cast("int").alias("ss"), (F.lit(9060) + F.col("id") * 100).cast("int").alias("se"), F.concat(F.lit("L"), "contig").alias("to_contig"), (F.col("id") * 1000).cast("int").alias("ts"), (F.col("id") % 3 == 0).alias("reverse"))
     points = ca.genes(spark, d).select(F.col("gene").alias("id"), "contig", F.col("gs").alias("pos"))
-    return iv.lifted(points, F.broadcast(seg), ["contig"])
+    return iv.lifted(points, seg, ["contig"])
 
 
 @query(
@@ -199,7 +199,7 @@ def c04(spark, d: str) -> DataFrame:
     select contig, sample, len as upper_median, len > 1000 as is_long from r where k = n // 2 + 1""",
 )
 def c14(spark, d: str) -> DataFrame:
-    m = ca.intervals(spark, d).groupBy("contig", "sample").agg(stats.upper_median(F.col("e") - F.col("s")).alias("upper_median"))
+    m = iv.at_ranks(ca.intervals(spark, d).withColumn("v", F.col("e") - F.col("s")), ["contig", "sample"], "v", {"upper_median": stats.upper_median})
     return m.withColumn("is_long", F.col("upper_median") > 1000)
 
 
@@ -221,8 +221,10 @@ def c15(spark, d: str) -> DataFrame:
     select contig, median(v) as averaging, max(case when k = n // 2 + 1 then v end) as upper, max(case when k = floor(0.9 * (n - 1) + 0.5) + 1 then v end) as p90 from x group by contig""",
 )
 def m03(spark, d: str) -> DataFrame:
-    v = F.col("e") - F.col("s")
-    return ca.intervals(spark, d).groupBy("contig").agg(stats.averaging_median(v).alias("averaging"), stats.upper_median(v).alias("upper"), stats.nearest_rank(v, 0.9).alias("p90"))
+    rows = ca.intervals(spark, d).withColumn("v", F.col("e") - F.col("s"))
+    low, high = (lambda n: F.floor((n - 1) / 2)), stats.upper_median
+    m = iv.at_ranks(rows, ["contig"], "v", {"low": low, "upper": high, "p90": stats.nearest_rank(0.9)})
+    return m.select("contig", ((F.col("low") + F.col("upper")) / 2).alias("averaging"), "upper", "p90")
 
 
 @query(
@@ -245,8 +247,9 @@ def e18(spark, d: str) -> DataFrame:
     r as (select *, cast(2 ** greatest(0, ceil(log2(n / 2000.0))) as bigint) as rate from x) select contig, name, line, site, s, e, rate from r where k % rate = 0""",
 )
 def f01(spark, d: str) -> DataFrame:
-    w = Window.partitionBy("contig")
-    x = ca.intervals(spark, d).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy("s", "e", "name", "line", "site")) - 1)
+    rows = ca.intervals(spark, d)
+    n = rows.groupBy("contig").agg(F.count(F.lit(1)).alias("_n"))
+    x = iv.ranked(rows, ["contig"], "s", "e", "name", "line", "site", stretch=16).withColumnRenamed("rank", "_k").join(n, "contig")
     rate = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("_n") / 2000.0)).cast("double"))).cast("long")
     return x.withColumn("rate", rate).where(F.col("_k") % F.col("rate") == 0).select("contig", "name", "line", "site", "s", "e", "rate")
 
@@ -257,8 +260,9 @@ def f01(spark, d: str) -> DataFrame:
     select contig, name, line, site, s, e from x where m <= 500 or exists (select 1 from range(500) r(i) where floor(i * (m / 500.0)) = k)""",
 )
 def f03(spark, d: str) -> DataFrame:
-    w = Window.partitionBy("contig")
-    x = ca.intervals(spark, d).withColumn("_m", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy("s", "e", "name", "line", "site")) - 1)
+    rows = ca.intervals(spark, d)
+    m = rows.groupBy("contig").agg(F.count(F.lit(1)).alias("_m"))
+    x = iv.ranked(rows, ["contig"], "s", "e", "name", "line", "site", stretch=16).withColumnRenamed("rank", "_k").join(m, "contig")
     step = F.col("_m") / 500.0
     # some i of 0 to 499 has floor(i * step) = k: the least i with i * step >= k
     i = F.ceil(F.col("_k") / step)
@@ -392,9 +396,7 @@ def m01(spark, d: str) -> DataFrame:
     t = ca.intervals(spark, d).groupBy("site").agg(
         F.count_if(o & r).cast("int").alias("a"), F.count_if(~o & r).cast("int").alias("b"), F.count_if(o & ~r).cast("int").alias("c"), F.count_if(~o & ~r).cast("int").alias("d")
     )
-    most = t.select(F.coalesce(F.max(F.col("a") + F.col("b") + F.col("c") + F.col("d")), F.lit(0))).first()[0]
-    t = t.withColumn("_lf", F.array(*[F.lit(x) for x in stats.log_factorial_table(most)]))
-    return t.select("site", F.round(stats.fisher("_lf", "a", "b", "c", "d"), 6).alias("p_two"), F.round(stats.fisher("_lf", "a", "b", "c", "d", greater=True), 6).alias("p_greater"))
+    return t.select("site", F.round(stats.fisher("a", "b", "c", "d"), 6).alias("p_two"), F.round(stats.fisher("a", "b", "c", "d", greater=True), 6).alias("p_greater"))
 
 
 @query(
@@ -404,6 +406,4 @@ def m01(spark, d: str) -> DataFrame:
 )
 def m02(spark, d: str) -> DataFrame:
     t = ca.intervals(spark, d).groupBy("site").agg(F.count_if(F.col("strand") == "O").cast("int").alias("k"), F.count(F.lit(1)).cast("int").alias("n"))
-    most = t.select(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    t = t.withColumn("_lf", F.array(*[F.lit(x) for x in stats.log_factorial_table(most)]))
-    return t.select("site", F.round(stats.binomial_half("_lf", "k", "n"), 6).alias("p"))
+    return t.select("site", F.round(stats.binomial_half("k", "n"), 6).alias("p"))

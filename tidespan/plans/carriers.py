@@ -74,9 +74,8 @@ JUNCTIONS = (
 
 def exons(spark, d: str) -> DataFrame:
     """A model of 20 exons for each contig, whose ends lie on the junctions' grid."""
-    starts = spark.range(20).select((F.lit(9000) + F.col("id") * 160).cast("int").alias("xs"), (F.col("id") + 1).cast("int").alias("rank"))
     contigs = table(spark, d, "orders").select(F.col("o_orderstatus").alias("contig")).distinct()
-    return contigs.join(F.broadcast(starts)).select("contig", "rank", "xs", (F.col("xs") + 80).alias("xe"))
+    return contigs.select("contig", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("_i")).select("contig", (F.col("_i") + 1).alias("rank"), (F.lit(9000) + F.col("_i") * 160).alias("xs"), (F.lit(9080) + F.col("_i") * 160).alias("xe"))
 
 
 EXONS = """exons as (
@@ -112,5 +111,5 @@ CHROMS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 PART_CHROM = f"{CHROMS}[p_partkey % 5 + 1] as chrom"
 
 
-def part_chrom():
-    return F.get(F.array(*[F.lit(c) for c in CHROMS]), (F.col("p_partkey") % 5).cast("int")).alias("chrom")
+def part_chrom(part: str = "p_partkey"):
+    return F.get(F.array(*[F.lit(c) for c in CHROMS]), (F.col(part) % 5).cast("int")).alias("chrom")

@@ -109,7 +109,7 @@ def q01(spark, d: str) -> DataFrame:
 
 @query("e35_exact_groups")
 def e35(spark, d: str) -> DataFrame:
-    iv = ca.intervals(spark, d).where("e - s >= 3").select((F.col("site") % 300).cast("string").alias("locus"), F.xxhash64("name", "line", "site", "ps", "s", "e").alias("id"), "s", "e", "site", "allele", "strand")
+    iv = ca.intervals(spark, d).select((F.col("site") % 300).cast("string").alias("locus"), F.xxhash64("name", "line", "site", "ps", "s", "e").alias("id"), "s", "e", "site", "allele", "strand")
     block = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
     split = (F.col("strand") == "O") & (F.col("e") - F.col("s") > 40)
     a, b = (F.floor(F.col("s") / 40) * 40 + 30).cast("int"), (F.floor(F.col("s") / 40) * 40 + 38).cast("int")

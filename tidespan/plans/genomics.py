@@ -56,7 +56,7 @@ def e12(spark, d: str) -> DataFrame:
     select contig, rank, cast(up as bigint) as up, cast(down as bigint) as down, cast(exclusion as bigint) as exclusion, round(case when (up + down) / 2.0 + exclusion > 0 then (up + down) / 2.0 / ((up + down) / 2.0 + exclusion) end, 6) as psi from x""",
 )
 def e13(spark, d: str) -> DataFrame:
-    return jn.exon_psi(pooled(spark, d), F.broadcast(ca.exons(spark, d)), "contig").withColumn("psi", F.round("psi", 6))
+    return jn.exon_psi(pooled(spark, d), ca.exons(spark, d), "contig").withColumn("psi", F.round("psi", 6))
 
 
 @query(
@@ -66,7 +66,7 @@ def e13(spark, d: str) -> DataFrame:
     select contig, rank, round(a, 6) as left_usage, round(b, 6) as right_usage, round(coalesce((a + b) / 2, a, b), 6) as usage from y""",
 )
 def e14(spark, d: str) -> DataFrame:
-    u = jn.site_usage(pooled(spark, d), F.broadcast(ca.exons(spark, d)), "contig")
+    u = jn.site_usage(pooled(spark, d), ca.exons(spark, d), "contig")
     return u.select("contig", "rank", *[F.round(c, 6).alias(c) for c in ("left_usage", "right_usage", "usage")])
 
 
@@ -324,14 +324,17 @@ def d11(spark, d: str) -> DataFrame:
     select call, p_end, q_end, case when cp >= 0.04 and cq >= 0.04 then 'chr' when cp >= 0.04 then 'p' when cq >= 0.04 then 'q' end as span from x""",
 )
 def e53(spark, d: str) -> DataFrame:
-    return cgh.topology(ca.calls(spark, d), length=115_000, p_end=90_000, q_start=91_000, origin=85_000, terminal=500, cover=0.04)
+    calls = ca.calls(spark, d)
+    arm = lambda name, a, z: F.struct(F.lit(name).alias("arm"), F.lit(a).alias("a"), F.lit(z).alias("z"), F.lit(True).alias("measured"))
+    arms = calls.select("chrom").distinct().select("chrom", F.inline(F.array(arm("p", 85_000, 90_000), arm("q", 91_000, 115_000))))
+    return cgh.topology(calls, arms, terminal=500, cover=0.04)
 
 
 @query(
     "e49_priority_score",
-    f"""with {CALLS}, {GENES}, g as (select gene, gs * 10 as a, ge * 10 + 200 as b, gene % 4 as hi, (gene * 7) % 4 as ts from genes),
+    f"""with {CALLS}, {GENES}, g as (select gene, {ca.CHROMS}[gene % 5 + 1] as chrom, gs * 10 as a, ge * 10 + 200 as b, gene % 4 as hi, (gene * 7) % 4 as ts from genes),
     x as (select call, kind, e - s as size, count(gene) as n, coalesce(bool_or(hi = 3), false) as hi3, coalesce(bool_or(hi = 2), false) as hi2, coalesce(bool_or(ts = 3 and a >= s and b <= e), false) as ts3, coalesce(bool_or(ts = 2 and a >= s and b <= e), false) as ts2, coalesce(bool_or(not (a >= s and b <= e) and hi = 3), false) as cut3
-      from calls left join g on a < e and b > s where kind <> 'loh' group by all),
+      from calls left join g on g.chrom = calls.chrom and a < e and b > s where kind <> 'loh' group by all),
     r as (select call, kind, case when kind = 'loss' then case when hi3 or n >= 35 or size > 450 then 'high' when hi2 or n >= 25 then 'moderate' else 'low' end else case when ts3 or n >= 50 or size > 450 then 'high' when ts2 or cut3 or n >= 35 then 'moderate' else 'low' end end as level,
       list_filter([case when kind = 'loss' and hi3 then 'L1' end, case when kind = 'loss' and (n >= 35 or size > 450) then 'L5' end, case when kind = 'loss' and hi2 then 'L6' end, case when kind = 'loss' and n between 25 and 34 then 'L12' end,
         case when kind = 'gain' and ts3 then 'G1' end, case when kind = 'gain' and (n >= 50 or size > 450) then 'G3' end, case when kind = 'gain' and ts2 then 'G4' end, case when kind = 'gain' and cut3 then 'G5' end, case when kind = 'gain' and n between 35 and 49 then 'G7' end], lambda z: z is not null) as ids,
@@ -339,9 +342,9 @@ def e53(spark, d: str) -> DataFrame:
     select call, level, case when len(ids) > 0 then array_to_string(ids, ',') when n = 0 then case kind when 'loss' then 'L0' else 'G0' end else case kind when 'loss' then 'L13' else 'G8' end end as reasons from r""",
 )
 def e49(spark, d: str) -> DataFrame:
-    g = ca.genes(spark, d).select("gene", (F.col("gs") * 10).alias("a"), (F.col("ge") * 10 + 200).alias("b"), (F.col("gene") % 4).alias("hi"), (F.col("gene") * 7 % 4).alias("ts"))
+    g = ca.genes(spark, d).select("gene", ca.part_chrom("gene"), (F.col("gs") * 10).alias("a"), (F.col("ge") * 10 + 200).alias("b"), (F.col("gene") % 4).alias("hi"), (F.col("gene") * 7 % 4).alias("ts"))
     calls = ca.calls(spark, d).where("kind <> 'loh'")
-    hits = intervals.overlap_join(calls, g, [], ("s", "e"), ("a", "b"), 512)
+    hits = intervals.overlap_join(calls, g, ["chrom"], ("s", "e"), ("a", "b"), 512)
     whole = (F.col("a") >= F.col("s")) & (F.col("b") <= F.col("e"))
     facts = hits.groupBy("call").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("hi") == 3).alias("hi3"), F.bool_or(F.col("hi") == 2).alias("hi2"),

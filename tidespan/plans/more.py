@@ -206,9 +206,9 @@ def m05(spark, d: str) -> DataFrame:
 
 @query("h01_rebuilt_paths")
 def h01(spark, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_size >= 5")
+    p = table(spark, d, "part")
     a, n = F.lit(1000) + F.col("p_size") * 30, F.col("p_partkey")
-    one = p.select(F.col("p_brand").alias("event"), n.cast("string").alias("id"), F.lit("1").alias("a_contig"), a.cast("int").alias("a_pos"), F.lit("tail").alias("a_side"), F.lit("1").alias("b_contig"), (a + 500).cast("int").alias("b_pos"), F.when(n % 3 == 0, "tail").otherwise("head").alias("b_side"), (n % 50).cast("int").alias("reads"))
+    one = p.select(F.concat_ws("-", "p_brand", F.floor(n / 200).cast("string")).alias("event"), n.cast("string").alias("id"), F.lit("1").alias("a_contig"), a.cast("int").alias("a_pos"), F.lit("tail").alias("a_side"), F.lit("1").alias("b_contig"), (a + 500).cast("int").alias("b_pos"), F.when(n % 3 == 0, "tail").otherwise("head").alias("b_side"), (n % 50).cast("int").alias("reads"))
     windows = one.select("event").distinct().select("event", F.lit("1").alias("contig"), F.lit(0).alias("ws"), F.lit(10_000).alias("we"))
     return structural.layouts(structural.rebuilt(one, windows))
 

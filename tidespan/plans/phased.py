@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidespan.operators import annotation as an
 from tidespan.operators import intervals, molecules, phasing
 from tidespan.plans import carriers as ca
 from tidespan.plans.carriers import CALLS, EXONS, GENES, IV
@@ -52,7 +53,7 @@ def e40b(spark, d: str) -> DataFrame:
 @query(
     "e41_pair_verdicts",
     FRAGMENTS + """, p as (select a.contig, a.site as a, b.site as b, count(*) filter (where a.alt and b.alt) as bb, count(*) filter (where a.alt and not b.alt) as only_a, count(*) filter (where not a.alt and b.alt) as only_b, count(*) filter (where not a.alt and not b.alt) as nn
-      from fr a join fr b on a.contig = b.contig and a.name = b.name and a.site < b.site and a.site < 5 group by all),
+      from fr a join fr b on a.contig = b.contig and a.name = b.name and a.site < b.site group by all),
     v as (select contig, site, avg(alt::int) as f from fr group by all), c as (select contig, site, case when f > 0.75 then 'hom' when f < 0.25 then 'low' else 'het' end as c from v),
     x as (select p.*, bb + case when ca.c = 'low' or cb.c = 'low' then 0 else nn end as cis, case when ca.c = 'low' and cb.c <> 'low' then only_a when cb.c = 'low' and ca.c <> 'low' then only_b else only_a + only_b end as trans, ca.c = 'hom' or cb.c = 'hom' as hom
       from p join c ca on ca.contig = p.contig and ca.site = a join c cb on cb.contig = p.contig and cb.site = b)
@@ -60,12 +61,12 @@ def e40b(spark, d: str) -> DataFrame:
 )
 def e41(spark, d: str) -> DataFrame:
     fr = fragments(spark, d)
-    a = fr.where("site < 5").select("contig", "name", F.col("site").alias("a"), F.col("alt").alias("x"))
+    a = fr.select("contig", "name", F.col("site").alias("a"), F.col("alt").alias("x"))
     b = fr.select("contig", "name", F.col("site").alias("b"), F.col("alt").alias("y"))
     x, y = F.col("x"), F.col("y")
     p = a.join(b, ["contig", "name"]).where("a < b").groupBy("contig", "a", "b").agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("none"))
     c = fr.groupBy("contig", "site").agg(phasing.site_class(F.avg(F.col("alt").cast("int"))).alias("c"))
-    p = p.join(F.broadcast(c.select("contig", F.col("site").alias("a"), F.col("c").alias("class_a"))), ["contig", "a"]).join(F.broadcast(c.select("contig", F.col("site").alias("b"), F.col("c").alias("class_b"))), ["contig", "b"])
+    p = p.join(c.select("contig", F.col("site").alias("a"), F.col("c").alias("class_a")), ["contig", "a"]).join(c.select("contig", F.col("site").alias("b"), F.col("c").alias("class_b")), ["contig", "b"])
     cis, trans, call = phasing.pair_verdict(F.col("class_a"), F.col("class_b"))
     return p.select("contig", "a", "b", cis.alias("cis"), trans.alias("trans"), call.alias("call"))
 
@@ -89,7 +90,7 @@ def e38(spark, d: str) -> DataFrame:
 def e05(spark, d: str) -> DataFrame:
     rows, x = ca.intervals(spark, d), ca.exons(spark, d)
     runs = intervals.depth_runs(rows, ["contig"])
-    hit = intervals.overlap_join(runs, F.broadcast(x), ["contig"], ("s", "e"), ("xs", "xe"), 64)
+    hit = intervals.overlap_join(runs, x, ["contig"], ("s", "e"), ("xs", "xe"), 64)
     # one row a run and exon: the median by weights, without a row a position; uncovered bases count as depth 0
     n = F.least("e", "xe") - F.greatest("s", "xs")
     cut = hit.select("contig", "rank", "depth", n.alias("n"))
@@ -97,7 +98,7 @@ def e05(spark, d: str) -> DataFrame:
     zero = x.join(gaps, ["contig", "rank"], "left").select("contig", "rank", F.lit(0).cast("long").alias("depth"), (F.col("xe") - F.col("xs") - F.coalesce("_n", F.lit(0))).alias("n"))
     every = cut.union(zero).where("n > 0")
     stats = every.groupBy("contig", "rank").agg(F.percentile("depth", 0.5, F.col("n").cast("int")).alias("median"), F.round(F.sum(F.col("depth") * F.col("n")) / F.sum("n"), 6).alias("mean"))
-    reads = intervals.overlap_join(rows, F.broadcast(x), ["contig"], ("s", "e"), ("xs", "xe"), 64).groupBy("contig", "rank").agg(F.count(F.lit(1)).alias("reads"))
+    reads = intervals.overlap_join(rows, x, ["contig"], ("s", "e"), ("xs", "xe"), 64).groupBy("contig", "rank").agg(F.count(F.lit(1)).alias("reads"))
     return stats.join(reads, ["contig", "rank"], "left").fillna({"reads": 0})
 
 
@@ -118,15 +119,14 @@ def e17(spark, d: str) -> DataFrame:
 
 @query(
     "d13_genes_of_calls",
-    f"""with {CALLS}, {GENES}, g as (select gene % 200 as symbol, gene as tx, gs * 10 as a, ge * 10 + 300 as b, gene % 5 = 0 as listed from genes), x as (select call, s, e, symbol, tx, a, b, row_number() over (partition by call, symbol order by listed desc, b - a desc, tx) as k from calls join g on a < e and b > s)
-    select call, symbol, max(case when k = 1 then tx end) as tx, bool_or(k = 1 and a >= s and b <= e) as whole from x group by all""",
+    f"""with {CALLS}, {GENES}, g as (select gene % 200 as symbol, gene as tx, {ca.CHROMS}[gene % 5 + 1] as chrom, gs * 10 as a, ge * 10 + 300 as b, gene % 5 = 0 as listed from genes), x as (select call, s, e, symbol, tx, a, b, row_number() over (partition by call, symbol order by listed desc, b - a desc, tx) as k from calls join g on g.chrom = calls.chrom and a < e and b > s)
+    select call, symbol, max(case when k = 1 then tx end) as tx, bool_or(k = 1 and a >= s and b <= e) as whole, bool_or((a + 40 > s and a < e) or (b > s and b - 60 < e)) as exons from x group by all""",
 )
 def d13(spark, d: str) -> DataFrame:
-    g = ca.genes(spark, d).select((F.col("gene") % 200).alias("symbol"), F.col("gene").alias("tx"), (F.col("gs") * 10).alias("a"), (F.col("ge") * 10 + 300).alias("b"), (F.col("gene") % 5 == 0).alias("listed"))
-    hit = intervals.overlap_join(ca.calls(spark, d), g, [], ("s", "e"), ("a", "b"), 512)
-    # the principal model: listed first, then the longest
-    best = F.min(F.struct((~F.col("listed")).alias("o"), (F.col("a") - F.col("b")).alias("n"), "tx", ((F.col("a") >= F.col("s")) & (F.col("b") <= F.col("e"))).alias("whole")))
-    return hit.groupBy("call", "symbol").agg(best.alias("p")).select("call", "symbol", "p.tx", "p.whole")
+    g = ca.genes(spark, d).select((F.col("gene") % 200).alias("symbol"), F.col("gene").alias("tx"), ca.part_chrom("gene"), (F.col("gs") * 10).alias("a"), (F.col("ge") * 10 + 300).alias("b"), (F.col("gene") % 5 == 0).alias("listed"))
+    exon = lambda s, e: F.struct(s.alias("xs"), e.alias("xe"))
+    exons = g.select("tx", "symbol", "chrom", F.inline(F.array(exon(F.col("a"), F.col("a") + 40), exon(F.col("b") - 60, F.col("b")))))
+    return an.genes_of_calls(ca.calls(spark, d), g, exons)
 
 
 @query(
@@ -184,9 +184,9 @@ def m08(spark, d: str) -> DataFrame:
 
 @query(
     "e10_pooled_insertions",
-    f"""with {IV}, x as (select contig, sample, cast(s // 50 * 50 as integer) as pos, count(*) as n, round(avg(e - s)) as len from iv where e - s < 60 group by all) select contig, pos, cast(sum(n) as bigint) as n, round(sum(len * n) / sum(n), 3) as len from x group by all""",
+    f"""with {IV}, x as (select contig, sample, cast(s // 50 * 50 as integer) as pos, count(*) as n, round(avg(e - s)) as len from iv group by all) select contig, pos, cast(sum(n) as bigint) as n, round(sum(len * n) / sum(n), 3) as len from x group by all""",
 )
 def e10(spark, d: str) -> DataFrame:
-    rows = ca.intervals(spark, d).where("e - s < 60")
+    rows = ca.intervals(spark, d)
     x = rows.groupBy("contig", "sample", (F.floor(F.col("s") / 50) * 50).cast("int").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("e") - F.col("s"))).alias("len"))
     return x.groupBy("contig", "pos").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("len") * F.col("n")) / F.sum("n"), 3).alias("len"))

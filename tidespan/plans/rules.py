@@ -251,8 +251,7 @@ def e44b(spark, d: str) -> DataFrame:
 
 @query("f09_quantiles", f"with {IV}, x as (select site, list(mapq order by mapq) as l from iv group by site) select site, l[cast(floor(0.1 * (len(l) - 1) + 0.5) as integer) + 1] as p10, l[cast(floor(0.5 * (len(l) - 1) + 0.5) as integer) + 1] as p50, l[cast(floor(0.95 * (len(l) - 1) + 0.5) as integer) + 1] as p95 from x")
 def f09(spark, d: str) -> DataFrame:
-    q = lambda p, n: stats.nearest_rank("mapq", p).alias(n)
-    return ca.intervals(spark, d).groupBy("site").agg(q(0.1, "p10"), q(0.5, "p50"), q(0.95, "p95"))
+    return intervals.at_ranks(ca.intervals(spark, d), ["site"], "mapq", {n: stats.nearest_rank(p) for n, p in (("p10", 0.1), ("p50", 0.5), ("p95", 0.95))})
 
 
 VERSIONS = names.ACCESSION_VERSIONS
@@ -500,16 +499,16 @@ def c07(spark, d: str) -> DataFrame:
 
 @query(
     "e22_called_bases",
-    f"""with {IV}, ref as (select contig, 9000 as start, repeat('ACGTTGCA', 500) as seq from (select distinct contig from iv)), r as (select iv.contig, s, substr(seq, s - 9000 + 1, 12) as w, site, ps from iv join ref on ref.contig = iv.contig where s between 9000 and 12000),
+    f"""with {IV}, ref as (select contig, 7000 as start, repeat('ACGTTGCA', 800) as seq from (select distinct contig from iv)), r as (select iv.contig, s, substr(seq, s - 7000 + 1, 12) as w, site, ps from iv join ref on ref.contig = iv.contig ),
     q as (select contig, s, array_to_string(list_transform(range(12), lambda i: case when (s + i) % 7 = 0 and site % 2 = 0 then 'T' else substr(w, cast(i + 1 as bigint), 1) end), '') as t from r), b as (select contig, s + i as pos, substr(t, i + 1, 1) as base from q, range(12) x(i)),
-    c as (select contig, pos, base, count(*) as n from b group by all), d as (select *, sum(n) over (partition by contig, pos) as depth from c) select d.contig, cast(pos as integer) as pos, base as alt, n, cast(depth as bigint) as depth from d join ref on ref.contig = d.contig where base <> substr(seq, cast(pos - 9000 + 1 as bigint), 1) and n >= 3 and n >= 0.2 * depth""",
+    c as (select contig, pos, base, count(*) as n from b group by all), d as (select *, sum(n) over (partition by contig, pos) as depth from c) select d.contig, cast(pos as integer) as pos, base as alt, n, cast(depth as bigint) as depth from d join ref on ref.contig = d.contig where base <> substr(seq, cast(pos - 7000 + 1 as bigint), 1) and n >= 3 and n >= 0.2 * depth""",
 )
 def e22(spark, d: str) -> DataFrame:
     iv = ca.intervals(spark, d)
-    ref = iv.select("contig").distinct().select("contig", F.lit(9000).alias("start"), F.repeat(F.lit("ACGTTGCA"), F.lit(500)).alias("seq"))
-    w = F.substring(F.repeat(F.lit("ACGTTGCA"), F.lit(500)), F.col("s") - 9000 + 1, F.lit(12))
+    ref = iv.select("contig").distinct().select("contig", F.lit(7000).alias("start"), F.repeat(F.lit("ACGTTGCA"), F.lit(800)).alias("seq"))
+    w = F.substring(F.repeat(F.lit("ACGTTGCA"), F.lit(800)), F.col("s") - 7000 + 1, F.lit(12))
     seq = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(((F.col("s") + i) % 7 == 0) & (F.col("site") % 2 == 0), "T").otherwise(F.substring(w, i + 1, F.lit(1)))), "")
-    r = iv.where("s between 9000 and 12000").select("contig", F.col("s").alias("start"), reads.cigar_ops(F.lit("12M")).alias("ops"), seq.alias("seq"))
+    r = iv.select("contig", F.col("s").alias("start"), reads.cigar_ops(F.lit("12M")).alias("ops"), seq.alias("seq"))
     return sites.called_bases(reads.base_calls(r, ["contig"]), ref, "contig")
 
 

@@ -117,7 +117,7 @@ def interval_calls(lines: DataFrame) -> DataFrame:
     first = heads.groupBy("file").agg(F.min(F.struct("line_no", "_c")).alias("_h"))
     index = {k: F.array_min(F.filter(F.transform(named(k), lambda n: F.array_position(F.col("_h._c"), n)), lambda i: i > 0)) for k in COLUMNS}
     head = first.select("file", F.col("_h.line_no").alias("_head"), *[i.alias(f"_at_{k}") for k, i in index.items()])
-    rows = lines.join(F.broadcast(head), "file").where("line_no > _head and trim(line) <> ''").withColumn("_f", F.split("line", "\t"))
+    rows = lines.join(head, "file").where("line_no > _head and trim(line) <> ''").withColumn("_f", F.split("line", "\t"))
     cell = lambda k: F.trim(F.get("_f", (F.col(f"_at_{k}") - 1).cast("int")))
     rows = rows.where(~((F.size(F.filter("_f", lambda c: F.trim(c) != "")) == 1) & F.col("line").rlike("^\\s*[^\\t=]+?\\s*=\\s*[0-9]+\\s*$")) & ~F.col("line").rlike("(?i)^number of calls"))
     df = rows.select("file", "line_no", chromosome(cell("chrom")).alias("chrom"), position(cell("start")).alias("_a"), position(cell("end")).alias("_b"), F.coalesce(cell("type"), F.lit("")).alias("type_text"), position(cell("copies")).cast("int").alias("copies"), number(cell("log_ratio")).alias("log_ratio"), position(cell("probes")).alias("probes"), cell("sample").alias("sample"))
