@@ -109,10 +109,23 @@ def e39(spark, d: str) -> DataFrame:
     return an.allelic_junctions(c, ["contig"]).select("contig", "s", "e", *[F.round(x, 6).alias(x) for x in ("use1", "use2", "delta")], F.round("p", 5).alias("p"), "allelic")
 
 
-@query("c13_assemblies", "select p_partkey, case p_partkey % 5 when 0 then 'GRCh38' when 1 then 'GRCh37' when 2 then 'GRCh37' when 3 then 'T2T-CHM13' end as build from part")
+BUILDS = {"GRCh38": 248956422, "GRCh37": 249250621, "T2T-CHM13": 248387328, "NCBI36": 247249719}
+NAMED = {"hg19": "GRCh37", "GRCh38.p13": "GRCh38", "hs37d5": "GRCh37", "mm10": None}
+
+
+@query(
+    "c13_assemblies",
+    f"""with x as (select p_partkey, {list(BUILDS)}[p_size % 5 + 1] as by_length, {['' if v is None else v for v in NAMED.values()]}[p_partkey % 5 + 1] as named from part)
+    select p_partkey, case when p_partkey % 5 < 4 and named <> '' then named else by_length end as build from x""",
+)
 def c13(spark, d: str) -> DataFrame:
-    heads = F.array(*[F.lit(x) for x in ("@HD\n@SQ\tSN:chr1\tLN:248956422", "@SQ\tSN:2\tLN:5\tAS:hg19", "@SQ\tSN:1\tLN:249250621", "@SQ\tSN:chr1\tLN:248387328", "@SQ\tSN:chr1\tLN:1")])
-    return table(spark, d, "part").select("p_partkey", an.assembly(F.get(heads, (F.col("p_partkey") % 5).cast("int"))).alias("build"))
+    """Headers of parts: the first chromosome's length by size (every fifth is no build's), the assembly's name by key (every fifth has none), among other contigs."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    get = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
+    one = F.concat(F.lit("@SQ\tSN:"), F.when(n % 2 == 0, "chr1").otherwise("1"), F.lit("\tLN:"), F.coalesce(get(list(BUILDS.values()), n % 5), n.cast("int")).cast("string"))
+    other = F.concat(F.lit("@SQ\tSN:chr1"), (1 + n % 9).cast("string"), F.lit("\tLN:248956422"), F.coalesce(F.concat(F.lit("\tAS:"), get(list(NAMED), k % 5)), F.lit("")))
+    header = F.concat_ws("\n", F.lit("@HD\tVN:1.6"), F.when(k % 2 == 0, one).otherwise(other), F.when(k % 2 == 0, other).otherwise(one))
+    return table(spark, d, "part").select("p_partkey", an.assembly(header).alias("build"))
 
 
 @query("c06_arc_support", f"with {IV} select contig, count(*) filter (where s % 40 = 0 and e % 40 = 0) as junction, count(*) filter (where abs(s - floor((s + 20) / 40) * 40) <= 5 and abs(e - floor((e + 20) / 40) * 40) <= 5) as deletion from iv group by contig")

@@ -167,10 +167,22 @@ def x15(spark, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", fate.alias("fate"))
 
 
-@query("c12_library_types", "select p_partkey, case p_partkey % 5 when 0 then 'rna' when 1 then 'dna' when 2 then 'rna' when 3 then 'dna' else 'unknown' end as type from part")
+ALIGNERS = {"STAR": "rna", "bwa": "dna", "hisat2": "rna", "bowtie2": "dna", "unknown-tool": "", "dorado": "last"}
+MODELS = {"rna004_130bps_hac": "rna", "dna_r10.4.1_e8.2": "dna", "": ""}
+
+
+@query(
+    "c12_library_types",
+    f"""with x as (select {list(ALIGNERS.values())}[p_partkey % 6 + 1] as aligner, {list(MODELS.values())}[p_size % 3 + 1] as model, p_size % 7 = 0 as indexed, p_partkey from part)
+    select p_partkey, case when aligner in ('rna', 'dna') and not indexed then aligner when model <> '' then model when aligner = 'last' and not indexed then 'dna' else 'unknown' end as type from x""",
+)
 def c12(spark, d: str) -> DataFrame:
-    heads = F.array(*[F.lit(x) for x in ("@HD\tVN:1\n@PG\tID:STAR\tPN:STAR", "@PG\tID:x\tPN:bwa\tCL:bwa mem", "@RG\tID:1\tDS:basecall_model=rna004_130bps\n@PG\tID:q\tPN:own", "@PG\tID:minimap2\tCL:minimap2 -ax map-ont", "@PG\tID:z\tPN:mystery")])
-    return table(spark, d, "part").select("p_partkey", reads.library_type(F.get(heads, (F.col("p_partkey") % 5).cast("int"))).alias("type"))
+    """Headers of parts: an aligner by key, in a line that only builds an index for every seventh size, and a basecalling model by size."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    get = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
+    pg = F.concat(F.lit("@PG\tID:STAR-"), k.cast("string"), F.lit("\tPN:"), get(list(ALIGNERS), k % 6), F.when(n % 7 == 0, "\tCL:x --build-hash-table true").otherwise("\tCL:run"), F.lit("\tVN:bwa"))
+    rg = F.concat(F.lit("@RG\tID:"), n.cast("string"), F.when(n % 3 < 2, F.concat(F.lit("\tDS:basecall_model="), get(list(MODELS), n % 3), F.lit(" runid=1"))).otherwise(""))
+    return table(spark, d, "part").select("p_partkey", reads.library_type(F.concat_ws("\n", F.lit("@HD\tVN:1"), F.when(k % 2 == 0, pg).otherwise(rg), F.when(k % 2 == 0, rg).otherwise(pg))).alias("type"))
 
 
 @query(

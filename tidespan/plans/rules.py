@@ -186,9 +186,20 @@ def c05(spark, d: str) -> DataFrame:
     return x.groupBy("contig").agg(keep("firststrand").alias("first_plus"), keep("secondstrand").alias("second_plus"), keep("unstranded").alias("unstranded"))
 
 
-@query("c10_kind_texts", "select p_partkey, case p_partkey % 7 when 0 then 'loss' when 1 then 'gain' when 2 then 'loss' when 3 then 'gain' when 4 then 'loss' end as kind, p_partkey % 7 in (5, 6) as loh from part")
+KINDS = ["Délétion", "AMPLIFICATION", "perte x1", "arr x3", "loss", "LOH", "copy-neutral", "unchanged"]
+
+
+@query(
+    "c10_kind_texts",
+    f"""with t as (select p_partkey, p_brand || ' ' || {KINDS}[p_partkey % {len(KINDS)} + 1] || case when p_size % 3 = 0 then ' ' || {KINDS}[p_size % {len(KINDS)} + 1] else '' end || ' (' || p_size || ' kb)' as x from part),
+    n as (select p_partkey, strip_accents(lower(x)) as x from t), f as (select p_partkey, x like '%del%' or x like '%loss%' or x like '%perte%' or list_has_any(regexp_split_to_array(x, '\W+'), ['x0', 'x1']) as loss,
+      x like '%amp%' or x like '%gain%' or x like '%dup%' or list_has_any(regexp_split_to_array(x, '\W+'), ['x3', 'x4', 'x5', 'x6', 'x7', 'x8', 'x9']) as gain, x like '%loh%' or x like '%neutral%' as loh from n)
+    select p_partkey, case when loss then 'loss' when gain then 'gain' end as kind, loh from f""",
+)
 def c10(spark, d: str) -> DataFrame:
-    text = pick(["Délétion", "AMPLIFICATION", "perte x1", "arr x3", "loss", "LOH", "copy-neutral"], F.col("p_partkey") % 7)
+    k, n = F.col("p_partkey"), F.col("p_size")
+    more = F.when(n % 3 == 0, F.concat(F.lit(" "), pick(KINDS, n % len(KINDS)))).otherwise("")
+    text = F.concat("p_brand", F.lit(" "), pick(KINDS, k % len(KINDS)), more, F.lit(" ("), n.cast("string"), F.lit(" kb)"))
     return table(spark, d, "part").select("p_partkey", cgh.kind_of_text(text).alias("kind"), tables.is_loh(text).alias("loh"))
 
 
@@ -199,13 +210,18 @@ def c11(spark, d: str) -> DataFrame:
     return x.select("p_partkey", names.in_blocks(F.col("b"), F.col("x")).alias("inside"), names.in_blocks(F.col("b"), F.col("x"), True).alias("inner_part"))
 
 
-CLASS_TEXTS = ["Classe 4", "Pathogène", "Probablement bénin", "benign", "VUS", "Susceptibilité", "Témoin féminin", "male control", "NS", "artéfact", "class 3", "other", ""]
-CLASS_NAMES = ["Likely pathogenic", "Pathogenic", "Likely benign", "Benign", "Uncertain significance", "PIEV", "Female Reference", "Male Reference", "NS", "NS", "Uncertain significance", None, None]
+CLASS_WORDS = {"Likely pathogenic": ["Classe 4", "Likely_pathogenic", "probablement pathogène"], "Pathogenic": ["Pathogène", "class 5"], "Likely benign": ["Probablement bénin", "classe 2"], "Benign": ["benign", "BÉNIN"], "Uncertain significance": ["VUS", "class 3", "VSI", "incertain"], "PIEV": ["Susceptibilité", "PIEV"], "NS": ["artéfact", "non significatif"]}
+CLASS_TEXTS = [w for ws in CLASS_WORDS.values() for w in ws] + ["other", ""]
+CLASS_NAMES = [n for n, ws in CLASS_WORDS.items() for _ in ws] + [None, None]
 
 
-@query("c17_class_names", f"select p_partkey, [{', '.join('NULL' if c is None else chr(39) + c + chr(39) for c in CLASS_NAMES)}][p_partkey % {len(CLASS_NAMES)} + 1] as class from part")
+@query(
+    "c17_class_names",
+    f"""select p_partkey, [{', '.join('NULL' if c is None else chr(39) + c + chr(39) for c in CLASS_NAMES)}][p_partkey % {len(CLASS_NAMES)} + 1] as class from part""",
+)
 def c17(spark, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", names.class_of(pick(CLASS_TEXTS, F.col("p_partkey") % len(CLASS_TEXTS))).alias("class"))
+    text = F.concat(F.when(F.col("p_size") % 2 == 0, " ").otherwise(""), pick(CLASS_TEXTS, F.col("p_partkey") % len(CLASS_TEXTS)), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))).otherwise(""))
+    return table(spark, d, "part").select("p_partkey", names.class_of(text).alias("class"))
 
 
 @query("d15b_lift_pieces", "with r as (select p_partkey as id, p_partkey * 10007 as s, p_partkey * 10007 + p_size * 100003 as e from part) select id, cast(s + i * 1000000 as bigint) as piece_s, cast(least(s + (i + 1) * 1000000, e) as bigint) as piece_e from r, range(10) q(i) where s + i * 1000000 < e")
@@ -367,13 +383,21 @@ def e44(spark, d: str) -> DataFrame:
     return table(spark, d, "part").select(k.alias("id"), chain.alias("chain"), needed.alias("needed"))
 
 
-EFFECTS = [("Nonsense", ""), ("splice_donor_variant", ""), ("missense_variant", "p.Gly12Asp"), ("inframe_deletion", ""), ("synonymous", ""), ("", "p.(Arg5Ter)"), ("", "p.Gly12Asp"), ("", "p.Leu9fs"), ("", "")]
+TERMS = ["Nonsense", "splice_donor_variant", "missense_variant", "inframe_deletion", "synonymous_variant", "stop_lost", "frameshift_variant", "intron_variant"]
+GRADES = [0, 0, 1, 2, 3, 2, 0, 3]
+BECAME = ["Asp", "Ter", "*", "LeufsTer9", "=", "dup"]
 
 
-@query("x16_variant_effects", f"select p_partkey, ['lof', 'lof', 'missense', 'inframe', 'other', 'lof', 'missense', 'lof', 'other'][p_partkey % {len(EFFECTS)} + 1] as effect from part")
+@query(
+    "x16_variant_effects",
+    f"""with t as (select p_partkey, p_partkey % 4 = 0 as by_protein, least({GRADES}[p_partkey % 8 + 1], {GRADES}[p_size % 8 + 1]) as g, p_size % {len(BECAME)} as b from part)
+    select p_partkey, case when by_protein then case when b between 1 and 3 then 'lof' when b = 0 then 'missense' else 'other' end else ['lof', 'missense', 'inframe', 'other'][g + 1] end as effect from t""",
+)
 def x16(spark, d: str) -> DataFrame:
-    k = F.col("p_partkey") % len(EFFECTS)
-    return table(spark, d, "part").select("p_partkey", names.variant_effect(pick([a for a, _ in EFFECTS], k), pick([b for _, b in EFFECTS], k)).alias("effect"))
+    k, n = F.col("p_partkey"), F.col("p_size")
+    both = F.concat(pick(TERMS, k % len(TERMS)), F.lit(", "), pick(TERMS, n % len(TERMS)))
+    protein = F.concat(F.when(k % 8 == 0, "p.(Gly").otherwise("p.Gly"), (k + 1).cast("string"), pick(BECAME, n % len(BECAME)), F.when(k % 8 == 0, ")").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", names.variant_effect(F.when(k % 4 == 0, "").otherwise(both), protein).alias("effect"))
 
 
 @query(
