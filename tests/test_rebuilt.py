@@ -844,3 +844,60 @@ def test_notation_forms_and_errors(spark):
     df = notation.parsed(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), LENGTHS)
     got = {r["text"]: (r["error"], r["form"]) for r in df.select("text", "error", notation.sequence_form(F.col("pieces")).alias("form")).collect()}
     assert got == texts
+
+
+def plain_junction(s, e, plus, ex, cs, ce):
+    """In positions of the genome, strand by strand."""
+    order = sorted(ex) if plus else sorted(ex, reverse=True)
+    bases = [p for a, b in order for p in (range(a, b) if plus else range(b - 1, a - 1, -1))]
+    place = {p: k for k, p in enumerate(bases)}
+    z0, z1 = (place[cs], place[ce - 1]) if plus else (place[ce - 1], place[cs])
+
+    def c(p):
+        t = place[p]
+        return f"-{z0 - t}" if t < z0 else f"*{t - z1}" if t > z1 else str(t - z0 + 1)
+
+    head = lambda x: x[0] if plus else x[1] - 1
+    tail = lambda x: x[1] - 1 if plus else x[0]
+    donor, acceptor, step = (s - 1, e, 1) if plus else (e, s - 1, -1)
+    di = [k for k, x in enumerate(order) if tail(x) == donor]
+    ai = [k for k, x in enumerate(order) if head(x) == acceptor]
+    if di and ai:
+        i, k = di[0], ai[0]
+        return "r.(=)" if k == i + 1 else f"r.{c(head(order[i + 1]))}_{c(tail(order[k - 1]))}del" if k > i + 1 else None
+    if ai and ai[0] > 0:
+        up, here = order[ai[0] - 1], order[ai[0]]
+        if up[0] <= donor < up[1] and donor != tail(up):
+            return f"r.{c(donor + step)}_{c(tail(up))}del"
+        if (donor - tail(up)) * step > 0 and (acceptor - donor) * step > 0:
+            return f"r.{c(tail(up))}_{c(head(here))}ins{c(tail(up))}+1_{c(tail(up))}+{abs(donor - tail(up))}"
+    if di and di[0] + 1 < len(order):
+        here, down = order[di[0]], order[di[0] + 1]
+        if down[0] <= acceptor < down[1] and acceptor != head(down):
+            return f"r.{c(head(down))}_{c(acceptor - step)}del"
+        if (head(down) - acceptor) * step > 0 and (acceptor - donor) * step > 0:
+            return f"r.{c(tail(here))}_{c(head(down))}ins{c(head(down))}-{abs(head(down) - acceptor)}_{c(head(down))}-1"
+    return None
+
+
+def test_junction_notation(spark):
+    rng = random.Random(62)
+    exons, cds, js, want = [], [], [], {}
+    for tx in range(4):
+        plus, ex, at = tx % 2 == 0, [], 100
+        for _ in range(6):
+            n = rng.randint(20, 60)
+            ex.append((at, at + n))
+            at += n + rng.randint(50, 90)
+        cs, ce = ex[0][0] + 7, ex[5][0] + 9
+        exons += [(tx, plus, a, b) for a, b in ex]
+        cds.append((tx, cs, ce))
+        for _ in range(150):
+            s = rng.choice([rng.choice(ex)[1], rng.choice(ex)[1], rng.randint(100, at)])
+            e = rng.choice([x for x in [rng.choice(ex)[0], rng.choice(ex)[0], s + rng.randint(20, 200)] if x > s] or [s + 30])
+            js.append((len(js), tx, s, e))
+            want[len(js) - 1] = plain_junction(s, e, plus, ex, cs, ce)
+    got = notation.junction_notation(spark.createDataFrame(js, "id int, tx int, s int, e int"), spark.createDataFrame(exons, "tx int, plus boolean, xs int, xe int"), spark.createDataFrame(cds, "tx int, cs int, ce int")).collect()
+    assert {r["id"]: r["effect"] for r in got} == want
+    kinds = Counter("null" if v is None else "eq" if "=" in v else "del" if v.endswith("del") else "ins" for v in want.values())
+    assert min(kinds[k] for k in ("null", "eq", "del", "ins")) > 10

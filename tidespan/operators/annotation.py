@@ -124,3 +124,26 @@ def assembly(header: Column) -> Column:
     for length, build in FIRST_CHROMOSOME.items():
         by_length = F.when(n == str(length), build).otherwise(by_length)
     return F.when(named.rlike("grch38|hg38"), "GRCh38").when(named.rlike("grch37|hg19|b37|hs37"), "GRCh37").otherwise(by_length)
+
+
+def located_exons(rows: DataFrame, exons: DataFrame, on: str) -> DataFrame:
+    """(on, id, s, e, by) of expression rows (on, id, s, e: what they say themselves, or null) under a gene's exons (on, exon, xs, xe, merged): by the exon's name whatever its version and case, else by the number behind it, else, for models whose exons are numbered in order, by rank from the least number, else by their own coordinates; rows that nothing places are left out.
+
+    on names the gene. Exons of a merged model go by rank (where rows and exons differ by two at most), others by number.
+    """
+    bare = lambda c: F.lower(F.regexp_replace(c, "\\.[0-9]+(?=_|$)", ""))
+    number = lambda c: F.regexp_extract(c, "_([0-9]+)$", 1).try_cast("long")
+    x = exons.select(on, bare(F.col("exon")).alias("_name"), number(F.col("exon")).alias("_number"), "xs", "xe", "merged")
+    x = x.withColumn("_rank", F.row_number().over(Window.partitionBy(on).orderBy("_number", "xs")) - 1)
+    n = x.groupBy(on).agg(F.count(F.lit(1)).alias("_exons"))
+    r = rows.withColumns({"_key": bare(F.col("id")), "_k": number(F.col("id"))})
+    base = r.groupBy(on).agg(F.min("_k").alias("_base"), F.count(F.lit(1)).alias("_rows"))
+    r = r.join(base, on).join(n, on, "left")
+    at = lambda s, e, how: F.struct(s.alias("xs"), e.alias("xe"), F.lit(how).alias("by"))
+    one = x.select(on, F.col("_name").alias("_key"), at(F.col("xs"), F.col("xe"), "name").alias("_by_name")).dropDuplicates([on, "_key"])
+    two = x.where("not merged").select(on, F.col("_number").alias("_k"), at(F.col("xs"), F.col("xe"), "number").alias("_by_number")).dropDuplicates([on, "_k"])
+    three = x.where("merged").select(on, F.col("_rank").alias("_place"), at(F.col("xs"), F.col("xe"), "rank").alias("_by_rank"))
+    j = r.withColumn("_place", F.when(F.abs(F.col("_exons") - F.col("_rows")) <= 2, F.col("_k") - F.col("_base"))).join(one, [on, "_key"], "left").join(two, [on, "_k"], "left").join(three, [on, "_place"], "left")
+    own = F.when(F.col("e") > F.col("s"), at(F.col("s"), F.col("e"), "own"))
+    j = j.withColumn("_x", F.coalesce("_by_name", "_by_number", "_by_rank", own)).where("_x is not null")
+    return j.select(on, "id", F.col("_x.xs").alias("s"), F.col("_x.xe").alias("e"), F.col("_x.by").alias("by"))

@@ -151,3 +151,46 @@ def sequence_form(pieces: Column) -> Column:
     one = lambda p: F.concat(p["chrom"], F.lit(":g."), (p["s"] + 1).cast("string"), F.lit("_"), p["e"].cast("string"), F.when(p["reversed"], "inv").otherwise(""))
     return F.array_join(F.transform(pieces, one), "::")
 
+
+
+def transcript_models(exons: DataFrame, cds: DataFrame) -> DataFrame:
+    """(tx, plus, exons, _from, _to) of exons (tx, plus, xs, xe) and coding parts (tx, cs, ce): exons as (first, last, t) in the order of transcription, by places that grow along it (on the minus strand a position counts as minus itself less one), t being the transcript's place of the first base; and the transcript's places of the first and last coding base, those of the whole without a coding part."""
+    at = lambda p, q: F.when(F.col("plus"), p).otherwise(q)
+    x = exons.select("tx", "plus", at(F.col("xs"), -F.col("xe")).alias("first"), at(F.col("xe") - 1, -F.col("xs") - 1).alias("last"))
+    w = Window.partitionBy("tx").orderBy("first")
+    n = F.col("last") - F.col("first") + 1
+    x = x.withColumn("t", F.sum(n).over(w) - n)
+    c = cds.select("tx", "cs", "ce")
+    x = x.join(c, "tx", "left").withColumns({"_a": at(F.col("cs"), -F.col("ce")), "_z": at(F.col("ce") - 1, -F.col("cs") - 1)})
+    place = lambda p: F.max(F.when(F.col(p).between(F.col("first"), F.col("last")), F.col("t") + F.col(p) - F.col("first")))
+    return x.groupBy("tx", "plus").agg(F.array_sort(F.collect_list(F.struct("first", "last", "t"))).alias("exons"), F.coalesce(place("_a"), F.lit(0)).alias("_from"), F.coalesce(place("_z"), F.max(F.col("t") + F.col("last") - F.col("first"))).alias("_to"))
+
+
+def junction_notation(junctions: DataFrame, exons: DataFrame, cds: DataFrame) -> DataFrame:
+    """(id, tx, effect) of junctions (id, tx, s, e) against a transcript: r.(=) for a canonical one; bases of whole exons or of an end of one that are lost, as a deletion; bases of an intron that stay, as an insertion between the exons' bases, counted from the nearer one. Others, and cryptic exons' flanks, have no effect of their own: null. Exon bases are numbered from the start codon, those before it by minus, those behind the stop by a star."""
+    j = junctions.join(transcript_models(exons, cds), "tx")
+    donor = F.when(F.col("plus"), F.col("s") - 1).otherwise(-F.col("e") - 1)
+    acceptor = F.when(F.col("plus"), F.col("e")).otherwise(-F.col("s"))
+    j = worked_out(j.select("id", "tx", "exons", "_from", "_to", donor.alias("_d"), acceptor.alias("_a")), _di=F.array_position(F.transform("exons", lambda x: x["last"]), F.col("_d")).cast("int"), _ai=F.array_position(F.transform("exons", lambda x: x["first"]), F.col("_a")).cast("int"))
+    # exons before and behind, by places from 1; 0 is none
+    exon = lambda k: F.get("exons", k - 1)
+    j = worked_out(j, _up=F.when(F.col("_ai") > 1, exon(F.col("_ai") - 1)), _down=F.when(F.col("_di") > 0, exon(F.col("_di") + 1)), _own=exon(F.col("_di")), _next=exon(F.col("_ai")), _skip1=exon(F.col("_di") + 1), _skip2=exon(F.col("_ai") - 1))
+
+    def number(x: Column, at: Column) -> Column:
+        t = x["t"] + at - x["first"]
+        return F.when(t < F.col("_from"), F.concat(F.lit("-"), (F.col("_from") - t).cast("string"))).when(t > F.col("_to"), F.concat(F.lit("*"), (t - F.col("_to")).cast("string"))).otherwise((t - F.col("_from") + 1).cast("string"))
+
+    first, last = (lambda x: number(x, x["first"])), (lambda x: number(x, x["last"]))
+    lost = lambda a, b: F.concat(F.lit("r."), a, F.lit("_"), b, F.lit("del"))
+    kept = lambda a, b, what: F.concat(F.lit("r."), a, F.lit("_"), b, F.lit("ins"), what)
+    d, a, di, ai, up, down = (F.col(c) for c in ("_d", "_a", "_di", "_ai", "_up", "_down"))
+    both, text = (di > 0) & (ai > 0), lambda n: n.cast("string")
+    effect = (
+        F.when(both & (ai == di + 1), "r.(=)")
+        .when(both & (ai > di + 1), lost(first(F.col("_skip1")), last(F.col("_skip2"))))
+        .when(~both & (ai > 0) & (d >= up["first"]) & (d < up["last"]), lost(number(up, d + 1), last(up)))
+        .when(~both & (ai > 0) & (d > up["last"]) & (d < a), kept(last(up), first(F.col("_next")), F.concat(last(up), F.lit("+1_"), last(up), F.lit("+"), text(d - up["last"]))))
+        .when(~both & (di > 0) & (a > down["first"]) & (a <= down["last"]), lost(first(down), number(down, a - 1)))
+        .when(~both & (di > 0) & (a < down["first"]) & (a > d), kept(last(F.col("_own")), first(down), F.concat(first(down), F.lit("-"), text(down["first"] - a), F.lit("_"), first(down), F.lit("-1"))))
+    )
+    return j.select("id", "tx", effect.alias("effect"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidespan.functions import reads
-from tidespan.operators import derivatives, events, joints, methylation, notation, repeats, rescue, tolerant, variants
+from tidespan.operators import annotation, derivatives, events, joints, methylation, notation, repeats, rescue, sites, tolerant, variants
 from tidespan.plans import carriers as ca
 from tidespan.plans.carriers import IV
 from tidespan.session import shared_dir, table
@@ -311,3 +311,64 @@ def smoothed(spark, d: str) -> DataFrame:
     px = s.select("contig").distinct().select("contig", F.explode(F.sequence(F.lit(0), F.lit(899))).alias("px"))
     px = px.withColumns({"a": F.lit(80000) + F.col("px") * 45, "b": F.lit(80045) + F.col("px") * 45})
     return methylation.smoothed(s, px, "contig").withColumn("share", F.round("share", 6))
+
+
+@query(
+    "d16_located_exons",
+    """with x as (select 'g' || (p_partkey // 10) as gene, (p_partkey // 10) % 2 = 0 as merged, p_partkey % 10 as i, p_partkey * 100 as xs, p_partkey * 100 + p_size as xe from part),
+    k as (select *, row_number() over (partition by gene order by i) - 1 as rank, count(*) over (partition by gene) as exons from x),
+    r as (select 'g' || (p_partkey // 10) as gene, p_partkey % 10 as i, case p_size % 4 when 0 then 'name' when 3 then 'none' else 'other' end as how, p_partkey * 7 as s, p_partkey * 7 + p_size % 5 as e, case p_size % 4 when 3 then null else p_partkey % 10 end as num from part),
+    b as (select *, min(num) over (partition by gene) as base, count(*) over (partition by gene) as rows from r),
+    j as (select b.gene, b.i, b.how, b.s as os, b.e as oe, case when how = 'name' then 'name' when num is not null and not k.merged then 'number' when num is not null and k2.rank is not null and abs(k.exons - b.rows) <= 2 then 'rank' when b.e > b.s then 'own' end as via, k.xs, k.xe, k2.xs as rs, k2.xe as re from b
+      join k on k.gene = b.gene and k.i = b.i left join k k2 on k2.gene = b.gene and k2.rank = num - base and k2.merged)
+    select gene, case how when 'none' then 'row-' || i else (case how when 'name' then upper(gene) || '.3' else 'other' end) || '_' || i end as id, cast(case via when 'own' then os when 'rank' then rs else xs end as bigint) as s, cast(case via when 'own' then oe when 'rank' then re else xe end as bigint) as e, via as by from j where via is not null""",
+)
+def d16(spark, d: str) -> DataFrame:
+    """Ten parts are a gene, each an exon and a row of expression: by name, by another name with its number, or by neither."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, d, "part").withColumn("gene", F.concat(F.lit("g"), F.floor(k / 10).cast("string")))
+    i = (k % 10).cast("string")
+    exons = p.select("gene", F.concat("gene", F.lit("_"), i).alias("exon"), (k * 100).alias("xs"), (k * 100 + n).alias("xe"), (F.floor(k / 10) % 2 == 0).alias("merged"))
+    name = F.when(n % 4 == 3, F.concat(F.lit("row-"), i)).when(n % 4 == 0, F.concat(F.upper("gene"), F.lit(".3_"), i)).otherwise(F.concat(F.lit("other_"), i))
+    return annotation.located_exons(p.select("gene", name.alias("id"), (k * 7).alias("s"), (k * 7 + n % 5).alias("e")), exons, "gene")
+
+
+@query("e38b_haplotype_source", f"with {IV} select contig, site % 500 as win, case when count(*) filter (where mapq % 40 = 0) > 0 then 'tags' else 'reads' end as source, count(*) filter (where mapq % 40 = 0) as tagged from iv group by all")
+def e38b(spark, d: str) -> DataFrame:
+    r = ca.intervals(spark, d).select("contig", (F.col("site") % 500).alias("win"), F.when(F.col("mapq") % 40 == 0, 1).alias("hp"))
+    return sites.haplotype_source(r, ["contig", "win"])
+
+
+@query(
+    "site_balance",
+    f"""with {IV}, t as (select site, count(*) filter (where allele = 'R') as k, count(*) as n from iv group by site), x as (select site, k, n, unnest(range(0, least(k, n - k) + 1)) as i from t),
+    q as (select site, k, n, least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) as p from x group by site, k, n)
+    select site, k as alt_count, n - k as other_count, round(p, 6) as p, case when p >= 0.01 then 'balanced' when k / n >= 0.9 then 'monoallelic' when k / n <= 0.1 then 'hardly' else 'tilted' end as balance from q""",
+)
+def balance(spark, d: str) -> DataFrame:
+    c = ca.intervals(spark, d).groupBy("site").agg(F.count_if(F.col("allele") == "R").alias("alt_count"), F.count_if(F.col("allele") != "R").alias("other_count"))
+    return sites.allele_balance(c).withColumn("p", F.round("p", 6))
+
+
+@query(
+    "allele_imbalance",
+    f"""with {IV}, v as (select contig, site % 150 as region, site, avg(case when allele = 'R' then 1.0 else 0.0 end) as vaf from iv group by all),
+    g as (select contig, region, count(*) as sites, count(*) filter (where vaf between 0.2 and 0.8) as het, count(*) filter (where vaf > 0.8) as hom, median(abs(vaf - 0.5)) filter (where vaf between 0.2 and 0.8) as m from v group by all)
+    select contig, region, sites, het, hom, case when het >= 5 and m > 0.15 then 'imbalance' when het = 0 and hom >= 8 then 'loss' end as label from g where sites >= 3""",
+)
+def imbalance(spark, d: str) -> DataFrame:
+    v = ca.intervals(spark, d).groupBy("contig", (F.col("site") % 150).alias("region"), "site").agg(F.avg((F.col("allele") == "R").cast("double")).alias("vaf"))
+    return sites.imbalance_labels(v, ["contig", "region"])
+
+
+@query("x08_junction_notation")
+def x08(spark, d: str) -> DataFrame:
+    """Junctions of each contig under a model of twenty exons, read in either direction."""
+    strands = F.explode(F.array(F.lit(True), F.lit(False))).alias("plus")
+    x = ca.exons(spark, d).select(F.col("contig"), "xs", "xe", strands).withColumn("tx", F.concat_ws(":", "contig", F.when(F.col("plus"), "+").otherwise("-")))
+    iv = ca.intervals(spark, d)
+    grid = lambda c: F.when(F.col("site") % 3 == 0, F.col(c)).otherwise((F.floor(F.col(c) / 80) * 80).cast("int"))
+    j = iv.select("contig", grid("s").alias("s"), grid("e").alias("e")).where("s < e").distinct().withColumn("id", F.concat_ws("-", "contig", "s", "e"))
+    both = j.withColumn("tx", F.explode(F.array(F.concat("contig", F.lit(":+")), F.concat("contig", F.lit(":-")))))
+    cds = x.groupBy("tx").agg((F.min("xs") + 30).alias("cs"), (F.max("xe") - 30).alias("ce"))
+    return notation.junction_notation(both.select("id", "tx", "s", "e"), x.select("tx", "plus", "xs", "xe"), cds)

@@ -192,8 +192,8 @@ KINDS = ["Délétion", "AMPLIFICATION", "perte x1", "arr x3", "loss", "LOH", "co
 @query(
     "c10_kind_texts",
     f"""with t as (select p_partkey, p_brand || ' ' || {KINDS}[p_partkey % {len(KINDS)} + 1] || case when p_size % 3 = 0 then ' ' || {KINDS}[p_size % {len(KINDS)} + 1] else '' end || ' (' || p_size || ' kb)' as x from part),
-    n as (select p_partkey, strip_accents(lower(x)) as x from t), f as (select p_partkey, x like '%del%' or x like '%loss%' or x like '%perte%' or list_has_any(regexp_split_to_array(x, '\W+'), ['x0', 'x1']) as loss,
-      x like '%amp%' or x like '%gain%' or x like '%dup%' or list_has_any(regexp_split_to_array(x, '\W+'), ['x3', 'x4', 'x5', 'x6', 'x7', 'x8', 'x9']) as gain, x like '%loh%' or x like '%neutral%' as loh from n)
+    n as (select p_partkey, strip_accents(lower(x)) as x from t), f as (select p_partkey, x like '%del%' or x like '%loss%' or x like '%perte%' or list_has_any(regexp_split_to_array(x, '\\W+'), ['x0', 'x1']) as loss,
+      x like '%amp%' or x like '%gain%' or x like '%dup%' or list_has_any(regexp_split_to_array(x, '\\W+'), ['x3', 'x4', 'x5', 'x6', 'x7', 'x8', 'x9']) as gain, x like '%loh%' or x like '%neutral%' as loh from n)
     select p_partkey, case when loss then 'loss' when gain then 'gain' end as kind, loh from f""",
 )
 def c10(spark, d: str) -> DataFrame:
