@@ -42,7 +42,9 @@ def test_fasta(spark, tmp_path):
     ref = fasta.sequences(spark, str(tmp_path / "r.fa"))
     assert {r["contig"]: r["seq"] for r in ref.collect()} == {"one": "ACGTACGT", "two": "NNAC", "none": ""}
     asked = spark.createDataFrame([("one", 2, 5), ("one", -3, 2), ("two", 3, 99), ("gone", 0, 1)], "contig string, s int, e int")
-    assert sorted((r["contig"], r["s"], r["bases"]) for r in fasta.windows(ref, asked).collect()) == [("one", -3, "AC"), ("one", 2, "GTA"), ("two", 3, "C")]
+    for width in (1, 2, 3, 1000):
+        tiled = fasta.tiles(ref, width)
+        assert sorted((r["contig"], r["s"], r["bases"]) for r in fasta.windows(tiled, asked.union(asked), width).collect()) == sorted(2 * [("one", -3, "AC"), ("one", 2, "GTA"), ("two", 3, "C")])
 
 
 def test_records(spark):

@@ -41,7 +41,7 @@ def a05(spark, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex[:12]}"
     p.select(text.alias("value")).write.text(path)
     asked = p.select(F.concat(F.lit("c"), F.col("p_partkey")).alias("contig"), (F.col("p_size") % 20 - 3).alias("s"), (F.col("p_size") % 20 + 25).alias("e"))
-    return fasta.windows(fasta.sequences(spark, path), asked)
+    return fasta.windows(fasta.tiles(fasta.sequences(spark, path), 16), asked, 16)
 
 
 def zipped(rows: DataFrame) -> DataFrame:
