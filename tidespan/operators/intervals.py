@@ -22,8 +22,11 @@ def deltas(iv: DataFrame, keys: list[str], s: str = "s", e: str = "e") -> DataFr
 
 
 def runs_of_deltas(changes: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
-    """(keys, s, e, depth) of the maximal runs of equal non-zero depth."""
+    """(keys, s, e, depth) of the maximal runs of equal non-zero depth; changes with null keys are left out."""
+    # the join below asks both its sides for keys that are not null: asked here, both are planned alike and share one exchange
     changes = changes.withColumn("_stretch", F.floor(F.col("pos") / stretch))
+    for c in (*keys, "_stretch"):
+        changes = changes.where(F.col(c).isNotNull())
     whole = changes.groupBy(*keys, "_stretch").agg(F.sum("d").alias("_total"), F.min("pos").alias("_first"))
     over = Window.partitionBy(*keys).orderBy("_stretch")
     offsets = whole.select(
