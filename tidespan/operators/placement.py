@@ -1,4 +1,4 @@
-"""Placement of clipped read ends on reference windows, by an index of 20-mers."""
+"""Placement of clipped read ends on reference windows, by 20-mers that occur once."""
 
 from __future__ import annotations
 
@@ -19,15 +19,23 @@ def place_clips(clips: DataFrame, windows: DataFrame, on: str) -> DataFrame:
     c = c.withColumn("n", F.least(F.length("seq"), F.lit(PROBE)))
     c = c.withColumn("probe", F.when(F.col("right"), F.substring("seq", F.lit(1), F.col("n"))).otherwise(F.right("seq", F.col("n"))))
     c = c.withColumn("_seed", F.when(F.col("right"), F.substring("probe", 1, SEED)).otherwise(F.right("probe", F.lit(SEED))))
-    strands = F.inline(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("text")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("text"))))
-    w = windows.where(F.length("seq") >= SEED).select(on, "start", strands)
-    index = w.select(on, "start", "strand", "text", F.explode(F.sequence(F.lit(0), F.length("text") - SEED)).alias("at"))
-    index = index.withColumn("_seed", F.substring("text", F.col("at") + 1, F.lit(SEED)))
-    hits = c.join(index, [on, "_seed"]).groupBy(on, "clip").agg(F.count(F.lit(1)).alias("hits"), *[F.first(x).alias(x) for x in ("right", "n", "probe", "start", "strand", "text", "at")])
-    hits = hits.where("hits = 1").withColumn("at", F.col("at") - F.when(F.col("right"), 0).otherwise(F.col("n") - SEED))
-    hits = hits.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.length("text")))
+    # a clip's seed is looked for in its window itself, ahead and turned: no row a base of the window is made, and none carries it on
+    w = windows.where(F.length("seq") >= SEED).select(on, "start", F.col("seq").alias("text"))
+    right, n = F.col("right"), F.col("n")
     letters = lambda x: F.split(x, "")
-    same = F.zip_with(letters(F.substring("text", F.col("at") + 1, F.col("n"))), letters(F.col("probe")), lambda a, b: a == b)
-    hits = hits.where(F.size(F.filter(same, lambda x: ~x)) <= F.floor(F.col("n") / EDIT_EVERY))
-    s = F.col("start") + F.when(F.col("strand") == "+", F.col("at")).otherwise(F.length("text") - F.col("at") - F.col("n"))
-    return hits.select(on, "clip", s.alias("s"), (s + F.col("n")).alias("e"), "strand")
+
+    def looked(strand: str, seed: Column, probe: Column, leads: Column) -> tuple[Column, Column]:
+        """How often the seed occurs (2: more than once), and where the whole probe lies with its first place, if it fits; leads: the seed is its first bases."""
+        first = F.position(seed, F.col("text"))
+        hits = F.when(first == 0, 0).when(F.position(seed, F.col("text"), first + 1) == 0, 1).otherwise(2)
+        lo = first - 1 - F.when(leads, 0).otherwise(n - SEED)
+        same = F.zip_with(letters(F.substring("text", lo + 1, n)), letters(probe), lambda a, b: a == b)
+        fits = (lo >= 0) & (lo + n <= F.length("text")) & (F.size(F.filter(same, lambda x: ~x)) <= F.floor(n / EDIT_EVERY))
+        s = F.col("start") + lo
+        return hits, F.when((hits == 1) & fits, F.struct(s.alias("s"), (s + n).alias("e"), F.lit(strand).alias("strand")))
+
+    plus, there = looked("+", F.col("_seed"), F.col("probe"), right)
+    minus, back = looked("-", reverse_complement(F.col("_seed")), reverse_complement(F.col("probe")), ~right)
+    met = c.join(w, on).select(on, "clip", (plus + minus).alias("hits"), F.coalesce(there, back).alias("at")).where("hits > 0")
+    once = met.groupBy(on, "clip").agg(F.sum("hits").alias("hits"), F.first("at").alias("at")).where("hits = 1 and at is not null")
+    return once.select(on, "clip", "at.*")
