@@ -14,6 +14,7 @@ from tidespan.functions.reads import reference_length, reverse_complement
 from tidespan.operators.intervals import islands
 from tidespan.operators.placement import place_clips
 from tidespan.operators.rearrangement import LEAST_CLIP, LEAST_DELETION, RESCUE_CLIP, SUPPORT
+from tidespan.session import store
 
 #: Bases a clip needs where several breakpoints end, how far from an end it may sit, bases per mismatch let pass.
 CLIP_OF_SEVERAL, TOLERANCE, MISMATCH_EVERY = 12, 2, 20
@@ -133,7 +134,8 @@ def realigned(ends: DataFrame, windows: DataFrame, on: str, support: int = SUPPO
     """
     members = ends.where(F.col("hard") | (F.col("n") >= LEAST_CLIP))
     clusters = members.groupBy(on, "side", "pos").agg(F.count(F.lit(1)).alias("count"), F.count_if("hard").alias("hard")).where(F.col("count") >= support)
-    texts = consensus(members.where(~F.col("hard")).join(clusters.select(on, "side", "pos"), [on, "side", "pos"], "left_semi"), [on, "pos"])
+    # clips are dealt by cluster before they become letters, so that letters are counted where they are
+    texts = consensus(members.where(~F.col("hard")).repartition(on, "side", "pos").join(clusters.select(on, "side", "pos"), [on, "side", "pos"], "left_semi"), [on, "pos"])
     clip = F.concat_ws(":", "side", "pos")
     found = place_clips(texts.select(on, clip.alias("clip"), "seq", (F.col("side") == "right").alias("right")), windows, on)
     x = clusters.withColumn("clip", clip).join(found.select(on, "clip", F.col("s").alias("ps"), F.col("e").alias("pe"), "strand"), [on, "clip"])
@@ -149,7 +151,8 @@ def realigned(ends: DataFrame, windows: DataFrame, on: str, support: int = SUPPO
 
 def own_evidence(arcs: DataFrame, ends: DataFrame, windows: DataFrame, tiles: DataFrame, on: str, width: int) -> DataFrame:
     """(on, kind, s, e, n, by_clip, by_rescue) of arcs (on, kind, s, e, n) of split reads and CIGARs after the evidence of clips has moved: clusters that were placed count with the arc they make, and clipped ends that fit exactly one arc with that one. Members of a placed cluster are counted once, with it."""
-    placed = realigned(ends, windows, on)
+    ends = store(ends, "clip-ends")  # asked for six times below
+    placed = store(realigned(ends, windows, on), "placed-clips")
     by_clip = placed.groupBy(on, "kind", "s", "e").agg(F.sum("count").alias("by_clip"))
     found = arcs.groupBy(on, "kind", "s", "e").agg(F.sum("n").alias("n")).join(by_clip, [on, "kind", "s", "e"], "full").fillna({"n": 0, "by_clip": 0})
     members = (F.col("hard")) | (F.col("n") >= LEAST_CLIP)
