@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidespan.operators import placement
-from tidespan.plans import rebuilt
+from tidespan.plans import annotated, basics, genomics, phased, rebuilt, rules
 
 SF = "/root/testdata"
 
@@ -57,3 +58,42 @@ def test_clips_are_looked_for_without_rows_of_the_window(spark):
 
 def test_ends_are_made_once_for_the_evidence_that_moves(spark):
     assert "l_orderkey" not in plan(rebuilt.e29i(spark, f"{SF}/sf0.001"))
+
+
+def asked_once(df) -> list[bool]:
+    """For each side of a join that is dealt by bins: whether its rows were made distinct, counted or ranked before."""
+    lines = [x.lstrip(" :+-") for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    below = lambda i: next(x for x in lines[i + 1 :] if not x.startswith(("Project", "Filter")))
+    return [below(i).startswith(("Aggregate", "Window")) for i, x in enumerate(lines) if x.startswith("Generate explode(sequence(")]
+
+
+ALIKE = {
+    "d07_nearest_event": basics, "d09_population_matches": genomics, "d10_dgv_hits": annotated, "d11_recurrent_top4": genomics, "d13_genes_of_calls": phased, "d14_lab_benign": genomics, "e49_priority_score": genomics,
+    "f05_population_order": rules,
+}
+
+
+@pytest.mark.parametrize("name", ALIKE)
+def test_what_is_alike_is_asked_for_once(spark, name):
+    found = asked_once(ALIKE[name].QUERIES[name](spark, f"{SF}/sf0.001"))
+    assert found and all(found)
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """sf0.01 with every order a second time under another key, and every part a second time under its own."""
+    d = str(tmp_path_factory.mktemp("repeated"))
+    o, p = (spark.read.parquet(f"{SF}/sf0.01/{t}.parquet") for t in ("orders", "part"))
+    o = o.where("o_orderkey < 3000")
+    o.union(o.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000)).write.parquet(f"{d}/orders.parquet")
+    p.union(p).write.parquet(f"{d}/part.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ALIKE)
+def test_copies_are_answered_alike(spark, repeated, name):
+    rows = ALIKE[name].QUERIES[name](spark, repeated).collect()
+    call = "id" if "id" in rows[0].asDict() else "call"
+    key = lambda r, k: (r[call] - k, *[str(v) for c, v in sorted(r.asDict().items()) if c != call])
+    first, second = sorted(key(r, 0) for r in rows if r[call] < 1_000_000), sorted(key(r, 1_000_000) for r in rows if r[call] >= 1_000_000)
+    assert first and first == second
