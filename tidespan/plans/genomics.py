@@ -344,12 +344,16 @@ def e53(spark, d: str) -> DataFrame:
 def e49(spark, d: str) -> DataFrame:
     g = ca.genes(spark, d).select("gene", ca.part_chrom("gene"), (F.col("gs") * 10).alias("a"), (F.col("ge") * 10 + 200).alias("b"), (F.col("gene") % 4).alias("hi"), (F.col("gene") * 7 % 4).alias("ts"))
     calls = ca.calls(spark, d).where("kind <> 'loh'")
-    hits = intervals.overlap_join(calls, g, ["chrom"], ("s", "e"), ("a", "b"), 512)
+    # calls that are alike are asked for once, and genes that are alike are counted first
+    alike = ["chrom", "s", "e"]
+    like = g.groupBy("chrom", "a", "b", "hi", "ts").agg(F.count(F.lit(1)).alias("n"))
+    hits = intervals.overlap_join(calls.select(*alike).distinct(), like, ["chrom"], ("s", "e"), ("a", "b"), 512)
     whole = (F.col("a") >= F.col("s")) & (F.col("b") <= F.col("e"))
-    facts = hits.groupBy("call").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("hi") == 3).alias("hi3"), F.bool_or(F.col("hi") == 2).alias("hi2"),
+    found = hits.groupBy(*alike).agg(
+        F.sum("n").alias("n"), F.bool_or(F.col("hi") == 3).alias("hi3"), F.bool_or(F.col("hi") == 2).alias("hi2"),
         F.bool_or((F.col("ts") == 3) & whole).alias("ts3"), F.bool_or((F.col("ts") == 2) & whole).alias("ts2"), F.bool_or(~whole & (F.col("hi") == 3)).alias("cut3"),
     )
+    facts = intervals.given_back(found, calls, alike, "call").groupBy("call").agg(F.sum("n").alias("n"), *[F.bool_or(c).alias(c) for c in ("hi3", "hi2", "ts3", "ts2", "cut3")])
     scored = cgh.scored(calls.withColumn("size_kb", F.col("e") - F.col("s")).join(facts, "call", "left").fillna({"n": 0}), big_kb=450)
     return scored.select("call", "level", F.array_join(F.transform("reasons", lambda r: r["id"]), ",").alias("reasons"))
 
