@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidespan.operators import placement
-from tidespan.plans import annotated, basics, genomics, phased, rebuilt, rules
+from tidespan.plans import annotated, basics, genomics, phased, rebuilt, rules, views
 
 SF = "/root/testdata"
 
@@ -97,3 +97,17 @@ def test_copies_are_answered_alike(spark, repeated, name):
     key = lambda r, k: (r[call] - k, *[str(v) for c, v in sorted(r.asDict().items()) if c != call])
     first, second = sorted(key(r, 0) for r in rows if r[call] < 1_000_000), sorted(key(r, 1_000_000) for r in rows if r[call] >= 1_000_000)
     assert first and first == second
+
+
+@pytest.mark.parametrize("name", ["d05_reads_at_sites", "e45_site_evidence"])
+def test_sites_meet_reads_that_were_counted(spark, name):
+    df = (annotated if name[0] == "d" else views).QUERIES[name](spark, f"{SF}/sf0.001")
+    found = asked_once(df)
+    assert found and all(found)
+
+
+def test_bases_are_written_out_for_reads_that_were_counted(spark):
+    q = rules.QUERIES["e22_called_bases"](spark, f"{SF}/sf0.001")
+    lines = [x.lstrip(" :+-") for x in q._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    inner = next(i for i, x in enumerate(lines) if x.startswith("Generate inline"))
+    assert next(x for x in lines[inner + 1 :] if not x.startswith(("Project", "Filter"))).startswith("Aggregate")
