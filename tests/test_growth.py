@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidespan.operators import placement
+from tidespan.operators import evidence, placement
 from tidespan.plans import annotated, basics, genomics, phased, rebuilt, rules, views
 
 SF = "/root/testdata"
@@ -111,3 +111,23 @@ def test_bases_are_written_out_for_reads_that_were_counted(spark):
     lines = [x.lstrip(" :+-") for x in q._jdf.queryExecution().optimizedPlan().toString().splitlines()]
     inner = next(i for i, x in enumerate(lines) if x.startswith("Generate inline"))
     assert next(x for x in lines[inner + 1 :] if not x.startswith(("Project", "Filter"))).startswith("Aggregate")
+
+
+@pytest.mark.parametrize("name", ["f01_systematic_thinning", "f03_even_subset"])
+def test_ranks_bring_how_many_there_are(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = basics.QUERIES[name](spark, f"{SF}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the order lines twice (for the counts of stretches, and for the rows), and rows with those counts; none by contig alone
+    assert got.count("SortMergeJoin") == 3
+
+
+def test_mates_are_walked_by_their_places(spark):
+    rows = [(f"{i}", 10 * i, 10 * i + 5, b, i) for i in range(60) for b in (64, 128)]
+    reads = spark.createDataFrame([("c", n, s if b == 64 else e, e if b == 64 else s, b, e - s if b == 64 else s - e, 2 * i + (b == 128)) for n, s, e, b, i in rows], "contig string, name string, s int, mate_s int, bits int, tlen int, id long")
+    got = evidence.mates(reads, "contig")
+    assert {(r["id"], r["mate"]) for r in got.collect()} == {(2 * i + k, 2 * i + 1 - k) for i in range(60) for k in (0, 1)}
+    # a group of its own for each lower position
+    assert "_low" in got._jdf.queryExecution().analyzed().toString()
