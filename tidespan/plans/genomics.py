@@ -254,8 +254,8 @@ def w08(spark, d: str) -> DataFrame:
 
 @query("d02_mate_pairs")
 def d02(spark, d: str) -> DataFrame:
-    r = ca.intervals(spark, d)
-    i = F.row_number().over(Window.partitionBy("contig").orderBy("s", "e", "name", "line", "site")).cast("long")
+    r = intervals.ranked(ca.intervals(spark, d), ["contig"], "s", "e", "name", "line", "site", stretch=16)
+    i = (F.col("rank") + 1).cast("long")
     one = r.select("contig", F.col("name").cast("string").alias("name"), F.col("s"), F.col("e").alias("mate_s"), F.lit(64).alias("bits"), (F.col("e") - F.col("s")).alias("tlen"), i.alias("id"))
     two = one.select("contig", "name", F.col("mate_s").alias("s"), F.col("s").alias("mate_s"), F.lit(128).alias("bits"), (-F.col("tlen")).alias("tlen"), (F.col("id") + (1 << 40)).alias("id"))
     return evidence.mates(one.union(two), "contig")
