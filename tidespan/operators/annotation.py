@@ -44,7 +44,8 @@ def genes_of_calls(calls: DataFrame, transcripts: DataFrame, exons: DataFrame, w
     models = hit.groupBy(*alike, "symbol").agg(best.alias("p"))
     touched = overlap_join(spans, exons.select("symbol", "chrom", "xs", "xe").distinct(), ["chrom"], ("s", "e"), ("xs", "xe"), width).groupBy(*alike, "symbol").agg(F.lit(True).alias("_x"))
     found = models.join(touched, [*alike, "symbol"], "left")
-    return given_back(found, calls.select("call", *alike).distinct(), alike, "call").select("call", "symbol", "p.tx", "p.whole", F.coalesce("_x", F.lit(False)).alias("exons"))
+    each = given_back(found, calls, alike, "call").groupBy("call", "symbol").agg(F.min("p").alias("p"), F.coalesce(F.bool_or("_x"), F.lit(False)).alias("exons"))
+    return each.select("call", "symbol", "p.tx", "p.whole", "exons")
 
 
 def dosage_reading(effect: Column, hi: Column, ts: Column) -> Column:
