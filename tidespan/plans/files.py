@@ -110,7 +110,7 @@ def q01(spark, d: str) -> DataFrame:
 
 @query("e35_exact_groups")
 def e35(spark, d: str) -> DataFrame:
-    iv = ca.intervals(spark, d).select((F.col("site") % 300).cast("string").alias("locus"), F.xxhash64("name", "line", "site", "ps", "s", "e").alias("id"), "s", "e", "site", "allele", "strand")
+    iv = ca.intervals(spark, d).select((F.col("site") % 300).cast("string").alias("locus"), F.xxhash64("name", "line", "site", "ps", "s", "e").alias("id"), "s", "e", "site", "allele", "strand").dropDuplicates(["locus", "id"])
     block = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
     split = (F.col("strand") == "O") & (F.col("e") - F.col("s") > 40)
     a, b = (F.floor(F.col("s") / 40) * 40 + 30).cast("int"), (F.floor(F.col("s") / 40) * 40 + 38).cast("int")
@@ -118,7 +118,7 @@ def e35(spark, d: str) -> DataFrame:
     blocks = F.when(cut, F.array(block(F.col("s"), a), block(b, F.col("e")))).otherwise(F.array(block(F.col("s"), F.col("e"))))
     junctions = F.when(cut, F.array(block(a, b))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
     alleles = F.create_map((F.floor(F.col("s") / 60) * 60).cast("int"), F.col("allele"))
-    x = iv.select("locus", "id", blocks.alias("blocks"), junctions.alias("junctions"), alleles.alias("alleles")).dropDuplicates(["locus", "id"])
+    x = iv.select("locus", "id", blocks.alias("blocks"), junctions.alias("junctions"), alleles.alias("alleles"))
     return consensus.exact_groups(x, "locus")
 
 
