@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidespan.functions import genetics
 from tidespan.operators import evidence, placement
-from tidespan.plans import annotated, basics, genomics, phased, rebuilt, rules, views
+from tidespan.plans import annotated, basics, genomics, more, phased, rebuilt, rules, views
 
 SF = "/root/testdata"
 
@@ -194,3 +195,23 @@ def test_calls_and_regions_that_are_alike_meet_once(spark, monkeypatch):
     got = readouts.region_hits(calls, genes, regions, of).collect()
     assert [x.count() for x in held] == [2, 2]
     assert sorted(map(tuple, got)) == sorted((c, r, "takes" if r % 2 == 0 else "spans") for c in range(30) for r in range(10) if r % 2 == 0 or c % 2 == 0)
+
+
+def tasks_of(df) -> int:
+    """Tasks of the last stage that an action on all of df has."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_translation_is_dealt_over_all_cores(spark):
+    df = more.QUERIES["x10_translation"](spark, f"{SF}/sf0.001")
+    assert tasks_of(df) >= 4 * spark.sparkContext.defaultParallelism
+    assert "REPARTITION_BY_NUM" in plan(df)
+    codons = [("".join(c),) for c in ("TTT", "ggg", "AUG", "uag", "TAN", "T T", " TT", "AT", "ACGT", "TGG")]
+    got = [r[0] for r in spark.createDataFrame(codons, "c string").coalesce(1).select(genetics.amino_acid(F.col("c"))).collect()]
+    assert got == ["F", "G", "M", "*", "X", "X", "X", "X", "X", "W"]

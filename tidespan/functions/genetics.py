@@ -10,12 +10,14 @@ from tidespan.operators.intervals import overlap_join, point_join
 #: The bases in table order, and the amino acids of their 64 codons.
 BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+#: The codons in the same order, a blank behind each.
+CODONS = "".join(f"{a}{b}{c} " for a in BASES for b in BASES for c in BASES)
 
 
 def amino_acid(codon: Column) -> Column:
     """One-letter amino acid; * for a stop; X where a base is not one of A, C, G, T (U)."""
-    at = [F.instr(F.lit(BASES), F.substring(F.translate(F.upper(codon), "U", "T"), i, 1)) for i in (1, 2, 3)]
-    return F.when((F.length(codon) == 3) & (at[0] > 0) & (at[1] > 0) & (at[2] > 0), F.substring(F.lit(AMINO_ACIDS), 16 * (at[0] - 1) + 4 * (at[1] - 1) + at[2], F.lit(1))).otherwise(F.lit("X"))
+    at = F.instr(F.lit(CODONS), F.translate(codon, "acgtuU", "ACGTTT"))
+    return F.when((F.length(codon) == 3) & (at % 4 == 1), F.substring(F.lit(AMINO_ACIDS), F.floor(at / 4).cast("int") + 1, F.lit(1))).otherwise(F.lit("X"))
 
 
 def protein(cds: Column) -> Column:

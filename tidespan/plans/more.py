@@ -10,7 +10,7 @@ from tidespan.operators import structural
 from tidespan.plans import carriers as ca
 from tidespan.plans.carriers import CALLS, EXONS, IV
 from tidespan.sources import tables
-from tidespan.session import table
+from tidespan.session import dealt, table
 from tidespan.streaming import coverage
 
 QUERIES: dict = {}
@@ -123,7 +123,7 @@ def x22b(spark, d: str) -> DataFrame:
 )
 def x10(spark, d: str) -> DataFrame:
     dna = F.translate(F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))), "0123456789abcdef", "TCAGTCAGTCAGTCAG")
-    return table(spark, d, "part").select("p_partkey", genetics.protein(dna).alias("protein"))
+    return dealt(table(spark, d, "part").select("p_partkey", dna.alias("cds")), "p_partkey").select("p_partkey", genetics.protein(F.col("cds")).alias("protein"))
 
 
 @query("x05_loci", "select p_partkey, 'chr' || (p_partkey % 22 + 1) as chrom, p_partkey * 1000 - 1 + 1 as s, p_partkey * 1000 + case when p_partkey % 2 = 0 then p_size else 1 end as e from part")
