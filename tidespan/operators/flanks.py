@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidespan.operators.alignment import edit_table, moves, paired
+from tidespan.session import dealt
 
 
 def letters(text: str) -> np.ndarray:
@@ -35,11 +37,13 @@ def aligned(read: str, flank: str, at_end: bool) -> tuple[str, str]:
 
 
 def aligned_flanks(flanks: DataFrame) -> DataFrame:
-    """(id, ref_row, read_row) of flanks (id, read, flank, at_end)."""
+    """(id, ref_row, read_row) of flanks (id, read, flank, at_end). Flanks that are alike are aligned once."""
+    alike = ["flank", "read", "at_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = lru_cache(16)(aligned)
         for b in batches:
-            rows = [aligned(r["read"] or "", r["flank"] or "", bool(r["at_end"])) for r in b.to_pylist()]
+            rows = [once(r["read"] or "", r["flank"] or "", bool(r["at_end"])) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array([r for r, _ in rows], pa.string()), pa.array([r for _, r in rows], pa.string())], names=["id", "ref_row", "read_row"])
 
-    return flanks.select("id", "read", "flank", "at_end").mapInArrow(run, "id long, ref_row string, read_row string")
+    return dealt(flanks.select("id", *alike), *alike).sortWithinPartitions(*alike).mapInArrow(run, "id long, ref_row string, read_row string")
