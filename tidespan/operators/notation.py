@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidespan.session import dealt
+
 #: The grammar: a position may be uncertain (its middle counts), a range may name the centromere, which says nothing.
 POSITION = r"(?:\d+|pter|qter|\((?:\d+|\?)_(?:\d+|\?)\))"
 RANGE = rf"{POSITION}(?:_(?:cen_)?{POSITION})?"
@@ -109,7 +111,7 @@ def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
 def parsed(texts: DataFrame, lengths: dict[str, int]) -> DataFrame:
     """texts (id, text) with pieces and error: null, or unreadable, unknown_chromosome, unknown_position, missing_insertion or overlap. lengths: of the chromosomes of a build."""
     lens = F.create_map(*[F.lit(x) for c, n in lengths.items() for x in (c, int(n))]).cast("map<string,bigint>")
-    x = worked_out(texts.select("id", "text"), _t=normal(F.col("text")))
+    x = worked_out(dealt(texts.select("id", "text"), "id", "text"), _t=normal(F.col("text")))
     # a list's closing bracket is not its last content's
     body = F.when(F.col("_t").rlike(rf"^{REFERENCE}:g\.\["), F.regexp_extract("_t", rf"^{REFERENCE}:g\.\[(.*)\]$", 1)).otherwise(F.regexp_extract("_t", rf"^{REFERENCE}:g\.(.*)$", 1))
     chrom = chromosome_of(F.regexp_extract("_t", rf"^(?:der\(\w+\))?({REFERENCE}):g\.", 1))
