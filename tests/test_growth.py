@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidespan.functions import genetics
-from tidespan.operators import consequence, evidence, flanks, molecules, notation, placement
+from tidespan.operators import consequence, evidence, flanks, molecules, notation, placement, repeats
 from tidespan.plans import annotated, basics, effects, genomics, more, phased, rebuilt, rules, views
 
 SF = "/root/testdata"
@@ -221,10 +221,10 @@ def test_motifs_are_counted_without_rows_of_units(spark):
     df = effects.QUERIES["x24_motifs"](spark, f"{SF}/sf0.001")
     assert "Generate" not in plan(df) and "explode" not in plan(df)
     assert tasks_of(df) >= 4 * spark.sparkContext.defaultParallelism
-    rows = [(1, "CAGCAGCAGCAGCA"), (2, None), (3, "AC"), (4, "NNNNNNNNN"), (5, "ACACACACACGTTGCA"), (None, "AAAAAA"), (7, "ACGTAC"), (7, "TGCATG")]
+    rows = [(1, "CAGCAGCAGCAGCA"), (2, None), (3, "AC"), (4, "NNNNNNNNN"), (5, "ACACACACACGTTGCA"), (None, "AAAAAA"), (7, "ACACAC"), (7, "ACACGT")]
     got = {r[0]: (r[1], round(r[2], 6)) for r in consequence.motifs(spark.createDataFrame(rows, "id int, seq string"), "id").collect()}
     # the share of two texts of one stretch is of both, as in the SQL
-    assert got == {1: ("AGC", 1.0), 5: ("AC", 0.6), None: ("A", 1.0), 7: ("AC", 0.8)}, got
+    assert got == {1: ("AGC", 1.0), 5: ("AC", 0.666667), None: ("A", 1.0), 7: ("AC", 1.6)}, got
 
 
 def test_flanks_that_are_alike_are_aligned_once_and_over_all_cores(spark):
@@ -249,3 +249,28 @@ def test_descriptions_are_read_over_all_cores(spark):
     assert tasks_of(df) >= 4 * spark.sparkContext.defaultParallelism
     got = {r["id"]: (r["error"], r["pieces"] and [(p["s"], p["e"]) for p in r["pieces"]]) for r in df.collect()}
     assert got[3] == (None, [(0, 7), (53, 1000)]) and got[99][1] is None and len(got) == 41
+
+
+def test_reads_of_a_repeat_are_measured_over_all_cores_and_in_portions(spark, monkeypatch):
+    left, right = "ACGTTGCAAGCTTAGCCATGGATCCTAGGCATTCGATCAA", "TTGACCATGCAAGTCCGATTACGGATCTTAGCCTAGGTAC"
+    locus = repeats.Locus(repeats.Anchor(left, 0), repeats.Anchor(right, 0), ("CGG",))
+    texts = [left + "CGG" * n + right[: 40 - 40 * (n % 4 == 0)] for n in range(3, 30)] + ["", "ACGTN", repeats.turned(left + "CGG" * 9 + right)]
+    assert [x for part in repeats.portions(texts, 300) for x in repeats.measured(part, locus)] == repeats.measured(texts, locus)
+    df = repeats.measure_reads(spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "id long, locus string, seq string").coalesce(1), {"x": locus})
+    assert tasks_of(df) >= 4 * spark.sparkContext.defaultParallelism
+    assert [tuple(r[2:]) for r in df.orderBy("id").collect()] == repeats.measured(texts, locus)
+
+
+def test_consensus_of_a_repeat_asks_for_its_reads_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    rows = [("s", i, ["CGG"] * (5 + i % 3), "spanning", "both") for i in range(30)]
+    schema = "sample string, id long, units array<string>, class string, anchored string"
+    reads = spark.createDataFrame(rows, schema).mapInArrow(seen, schema)
+    assert repeats.repeat_consensus(reads, ["sample"]).first()["used"] == 30
+    assert asked.value == 30

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.operators.alignment import edit_table, moves, paired
+from tidespan.session import dealt, store
 
 #: Bases of an anchor, how far from the tract it may begin, share of its bases by which it differs from the repeat, edits let pass; seed and its step; slack around a proposed place; purity of a tract; units of a lower bound and of a read that is all repeat, and its share; window and share of a run.
 ANCHOR, REACH, LEAST_FAR, MOST_EDITS = 40, 150, 0.35, 6
@@ -108,23 +109,40 @@ def locus_of(ref: str, start: int, end: int, pathogenic: list[str], benign: list
     return Locus(left, right, tuple(pathogenic), tuple(benign), tuple(interruptions)) if left and right else None
 
 
-def anchor_places(texts: list[np.ndarray], anchor: str, before: bool) -> list[list[tuple[int, int]]]:
-    """(position, edits) of the anchor in each coded text, from left to right: where it ends (before the tract) or begins. Places nearer than half an anchor to one before are the same."""
+def seed_keys(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For coded texts laid one behind the other, the number of the 10-mer that begins at each base, -1 where it holds an N or leaves its text; and where each text begins."""
+    gap = np.full(SEED, 4, np.uint8)
+    flat = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+    begins = np.cumsum([0, *(len(t) + SEED for t in texts)])
+    n = len(flat) - SEED + 1
+    key, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+    for j in range(SEED):
+        part = flat[j : j + n]
+        key += part.astype(np.int64) << 2 * j
+        bad |= part > 3
+    key[bad] = -1
+    return key, begins
+
+
+def anchor_places(texts: list[np.ndarray], anchor: str, before: bool, keys: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[tuple[int, int]]]:
+    """(position, edits) of the anchor in each coded text, from left to right: where it ends (before the tract) or begins. Places nearer than half an anchor to one before are the same. keys: seed_keys() of the texts, where they are known."""
     a = coded(anchor)
     size = len(a)
     powers = 4 ** np.arange(SEED, dtype=np.int64)
     seeds: dict[int, list[int]] = {}
     for o in range(0, size - SEED + 1, STEP):
         seeds.setdefault(int((a[o : o + SEED] * powers).sum()), []).append(o)
-    known = np.array(sorted(seeds), np.int64)
+    key, begins = keys or seed_keys(texts)
+    known = np.zeros(4**SEED + 1, bool)  # the last one is that of -1
+    known[[k for k in seeds if k < 4**SEED]] = True
+    spots = np.flatnonzero(known[key])
+    own = np.searchsorted(begins, spots, side="right") - 1
+    proposed: dict[int, list[int]] = {}
+    for i, s, k in zip(own.tolist(), (spots - begins[own]).tolist(), key[spots].tolist(), strict=True):
+        proposed.setdefault(i, []).extend(s - o for o in seeds[k])
     places: list[tuple[int, int]] = []
-    for i, t in enumerate(texts):
-        if len(t) < SEED:
-            continue
-        windows = np.lib.stride_tricks.sliding_window_view(t.astype(np.int64), SEED)
-        key = np.where((windows == 4).any(axis=1), -1, windows @ powers)
-        spots = np.flatnonzero(np.isin(key, known))
-        starts = sorted(s - o for s in spots.tolist() for o in seeds[int(key[s])])
+    for i, starts in proposed.items():
+        starts.sort()
         k = 0
         while k < len(starts):
             to = k
@@ -191,7 +209,8 @@ def measured(texts: list[str], locus: Locus) -> list[tuple]:
     """MEASURED of reads: both directions are tried, the read's own first. An anchor found twice, or the right one before the left one, makes it chimeric; both make it spanning, or impure under a purity of 0.8; one gives a lower bound from three units on; none, if nearly all of it is repeat, another. Else it is skipped."""
     both = [[t, turned(t)] for t in texts]
     flat = [coded(t) for pair in both for t in pair]
-    lefts, rights = anchor_places(flat, locus.left.seq, True), anchor_places(flat, locus.right.seq, False)
+    keys = seed_keys(flat)
+    lefts, rights = anchor_places(flat, locus.left.seq, True, keys), anchor_places(flat, locus.right.seq, False, keys)
     size = lambda bases: int(bases / locus.unit + 0.5)
     skipped = ("skipped", 0, "", 0.0, 0, 0, None, False)
 
@@ -224,6 +243,19 @@ def measured(texts: list[str], locus: Locus) -> list[tuple]:
     return [one(k) for k in range(len(texts))]
 
 
+def portions(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in portions of some `most` bases, as a portion's 10-mers are held together."""
+    part, bases = [], 0
+    for t in texts:
+        part.append(t)
+        bases += len(t)
+        if bases >= most:
+            yield part
+            part, bases = [], 0
+    if part:
+        yield part
+
+
 def measure_reads(reads: DataFrame, loci: dict[str, Locus], locus: str = "locus") -> DataFrame:
     """reads (id, locus, seq) with MEASURED of the locus they name; a null sequence counts as empty, reads of other loci are left out. loci is a catalogue: its size is that of the catalogue and not of the reads."""
     kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -235,12 +267,12 @@ def measure_reads(reads: DataFrame, loci: dict[str, Locus], locus: str = "locus"
             names, texts = batch.column("locus").to_pylist(), [t or "" for t in batch.column("seq").to_pylist()]
             for name in dict.fromkeys(names):
                 rows = [i for i, n in enumerate(names) if n == name]
-                found = list(zip(*measured([texts[i] for i in rows], loci[name]), strict=True))
+                found = list(zip(*[x for part in portions([texts[i] for i in rows]) for x in measured(part, loci[name])], strict=True))
                 own = batch.select(["id", "locus"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, (_, k) in zip(found, types, strict=True))], names=["id", "locus", *(n for n, _ in types)])
 
     known = reads.where(F.col(locus).isin(*loci)).select("id", F.col(locus).alias("locus"), "seq")
-    return known.mapInArrow(scan, f"id {id_type}, locus string, {MEASURED}")
+    return dealt(known, "id", "seq").mapInArrow(scan, f"id {id_type}, locus string, {MEASURED}")
 
 
 def aligned_units(centre: list[str], read: list[str], open_end: bool) -> tuple[list, list[list[str]]]:
@@ -302,7 +334,8 @@ CONSENSUS = "used int, listed int, size int, median int, lower_bound boolean, st
 
 def repeat_consensus(reads: DataFrame, keys: list[str], interruptions: list[str] = (), most: int = MOST_READS) -> DataFrame:
     """(keys, CONSENSUS) of reads (keys, id, units, class, anchored): units is the tract in units. Spanning reads make it; where there are none, truncated ones do and it is a lower bound. A key's reads are thinned to `most`, evenly by size (of equals by id), before they meet in one task: ranks come from counts of sizes. Reads without units, and of other classes, are not used."""
-    usable = reads.where(F.col("class").isin("spanning", "truncated") & (F.size("units") > 0)).withColumn("_full", F.col("class") == "spanning")
+    # asked for three times below, and long in the making where reads were measured
+    usable = store(reads.where(F.col("class").isin("spanning", "truncated") & (F.size("units") > 0)).select(*keys, "id", "units", "class", "anchored").withColumn("_full", F.col("class") == "spanning"), "usable-reads")
     full = usable.groupBy(*keys).agg(F.max("_full").alias("_any"), F.count(F.lit(1)).alias("listed"))
     pool = usable.join(full, keys).where("_full = _any")
     by_size = pool.groupBy(*keys, F.size("units").alias("_n")).agg(F.count(F.lit(1)).alias("_c"))
