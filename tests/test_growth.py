@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidespan.functions import genetics
-from tidespan.operators import consequence, evidence, flanks, molecules, notation, placement, repeats
+from tidespan.operators import consequence, evidence, flanks, molecules, notation, placement, repeats, variants
 from tidespan.plans import annotated, basics, effects, genomics, more, phased, rebuilt, rules, views
 
 SF = "/root/testdata"
@@ -274,3 +274,15 @@ def test_consensus_of_a_repeat_asks_for_its_reads_once(spark):
     reads = spark.createDataFrame(rows, schema).mapInArrow(seen, schema)
     assert repeats.repeat_consensus(reads, ["sample"]).first()["used"] == 30
     assert asked.value == 30
+
+
+def test_variants_count_reads_that_are_alike_once(spark):
+    ops = [{"op": o, "n": n} for o, n in (("M", 12), ("D", 2), ("M", 7), ("X", 1), ("M", 4))]
+    schema = "contig string, start int, ops array<struct<op:string,n:int>>, seq string"
+    rows = [("c", 100 + i % 2, ops, "A" * 19 + "CAAAA") for i in range(30)]
+    plain = variants.called_variants(spark.createDataFrame(rows, schema), ["contig"], 0.01)
+    assert "count(1)" in plan(plain).split("Generate")[-1]
+    two = spark.createDataFrame([(*rows[0], 15), (*rows[1], 15)], f"{schema}, lines long")
+    want = sorted(map(tuple, plain.collect()))
+    assert want == sorted(map(tuple, variants.called_variants(two, ["contig"], 0.01, weight="lines").collect()))
+    assert {(r[1], r[2]): r[5:7] for r in want}[112, "del"] == (15, 30)
