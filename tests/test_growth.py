@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidespan.functions import genetics
-from tidespan.operators import consequence, evidence, flanks, molecules, notation, placement, repeats, variants
+from tidespan.operators import consequence, evidence, flanks, molecules, notation, placement, repeats, rescue, variants
 from tidespan.plans import annotated, basics, effects, genomics, more, phased, rebuilt, rules, views
 
 SF = "/root/testdata"
@@ -286,3 +286,21 @@ def test_variants_count_reads_that_are_alike_once(spark):
     want = sorted(map(tuple, plain.collect()))
     assert want == sorted(map(tuple, variants.called_variants(two, ["contig"], 0.01, weight="lines").collect()))
     assert {(r[1], r[2]): r[5:7] for r in want}[112, "del"] == (15, 30)
+
+
+def test_rescued_clips_ask_for_their_ends_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    tiles = spark.createDataFrame([("c", i, "ACGTTGCAAGCTTAGC" * 2) for i in range(20)], "contig string, tile int, seq string")
+    schema = "contig string, id long, pos int, side string, seq string, hard boolean, n int"
+    ref = "ACGTTGCAAGCTTAGC" * 40
+    rows = [("c", i, 100 + i % 3, "right", ref[300 + i % 3 : 320 + i % 3], False, 20) for i in range(30)] + [("c", 99, 100, "right", "A" * 20, False, 20)]
+    ends = spark.createDataFrame(rows, schema).mapInArrow(seen, schema)
+    points = spark.createDataFrame([("c", "split", 100, 300)], "contig string, kind string, s int, e int")
+    assert sorted(r["id"] for r in rescue.rescued(ends, points, tiles, "contig", 32).collect()) == list(range(30))
+    assert asked.value == 31

@@ -7,7 +7,7 @@ given for each position within the tolerance), never as pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.functions.reads import reference_length, reverse_complement
@@ -81,8 +81,8 @@ def rescued(ends: DataFrame, breakpoints: DataFrame, tiles: DataFrame, on: str,
     tips = breakpoints.select(on, "kind", "s", "e", F.explode(off).alias("d")).withColumn("at_start", F.explode(F.array(F.lit(True), F.lit(False))))
     tips = tips.withColumn("pos", F.when(F.col("at_start"), F.col("s")).otherwise(F.col("e")) + F.col("d"))
     near = ends.select(*who).withColumn("_clip", F.xxhash64(*[c for c in who if c != "seq"])).join(tips, [on, "pos"])
-    per_clip = near.groupBy("_clip").agg(F.count(F.lit(1)).alias("_near"))
-    near = near.join(per_clip, "_clip")
+    # three times read below: the ends, which may be long in the making, are asked for once
+    near = store(near.withColumn("_near", F.count(F.lit(1)).over(Window.partitionBy("_clip"))), "near-breakpoints")
     kind, side = F.col("kind"), F.col("side")
     by_side = F.when(kind.isin("deletion", "split"), F.col("at_start") == (side == "right")).when(kind == "duplication", F.col("at_start") != (side == "right")).otherwise(F.lit(True))
     hard = near.where(F.col("hard") & by_side).withColumn("_fits", F.lit(True))
@@ -96,8 +96,7 @@ def rescued(ends: DataFrame, breakpoints: DataFrame, tiles: DataFrame, on: str,
     met = met.where(unlike <= F.floor(F.col("n") / MISMATCH_EVERY))
     keep = [on, "kind", "s", "e", *([sample] if sample else []), "id", "side", "pos", "hard", "n", "_clip"]
     both = hard.select(*keep).unionByName(met.select(*keep))
-    once = both.groupBy("_clip").agg(F.count(F.lit(1)).alias("_hits")).where("_hits = 1")
-    return both.join(once, "_clip", "left_semi").drop("_clip")
+    return both.withColumn("_hits", F.count(F.lit(1)).over(Window.partitionBy("_clip"))).where("_hits = 1").drop("_clip", "_hits")
 
 
 def rescued_counts(found: DataFrame, keys: list[str]) -> DataFrame:
