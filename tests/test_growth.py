@@ -304,3 +304,18 @@ def test_rescued_clips_ask_for_their_ends_once(spark):
     points = spark.createDataFrame([("c", "split", 100, 300)], "contig string, kind string, s int, e int")
     assert sorted(r["id"] for r in rescue.rescued(ends, points, tiles, "contig", 32).collect()) == list(range(30))
     assert asked.value == 31
+
+
+def test_tandem_copies_ask_for_their_groups_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    schema = "contig string, pos int, len int, seq string, reads long"
+    tiles = spark.createDataFrame([("c", i, "ACGTTGCAAGCTTAGC" * 2) for i in range(20)], "contig string, tile int, seq string")
+    groups = spark.createDataFrame([("c", 300, 60, "AC" * 30, 1), ("c", 400, 60, "GT" * 30, 2)], schema).mapInArrow(seen, schema)
+    assert rescue.tandem_copies(groups, tiles, "contig", 32).count() == 2
+    assert asked.value == 2

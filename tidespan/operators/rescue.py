@@ -14,7 +14,7 @@ from tidespan.functions.reads import reference_length, reverse_complement
 from tidespan.operators.intervals import islands
 from tidespan.operators.placement import place_clips
 from tidespan.operators.rearrangement import LEAST_CLIP, LEAST_DELETION, RESCUE_CLIP, SUPPORT
-from tidespan.session import store
+from tidespan.session import dealt, store
 
 #: Bases a clip needs where several breakpoints end, how far from an end it may sit, bases per mismatch let pass.
 CLIP_OF_SEVERAL, TOLERANCE, MISMATCH_EVERY = 12, 2, 20
@@ -192,12 +192,13 @@ def insertion_groups(insertions: DataFrame, on: str) -> DataFrame:
         return pa.table({on: pa.array([t.column(on)[0].as_py()] * len(groups), pa.string()), **made})
 
     rows = islands(insertions.select(on, "pos", "len", "seq", "ord"), [on], "pos", GROUP_APART + 1)
-    return rows.groupBy(on, "_island").applyInArrow(run, f"{on} string, pos int, len int, seq string, reads long")
+    return dealt(rows, on, "_island").groupBy(on, "_island").applyInArrow(run, f"{on} string, pos int, len int, seq string, reads long")
 
 
 def tandem_copies(groups: DataFrame, tiles: DataFrame, on: str, width: int) -> DataFrame:
     """groups (on, pos, len, seq, reads) with s and e of the tandem copy, null where the inserted bases are none: the stretch before the place ends as the insertion does, or the one after it begins as it does, by probes of 24 bases within 60 of where they should lie; the copy's far end must be there too, where the reference reaches it, else the length says where it is."""
-    g = groups.withColumn("_g", F.xxhash64(on, "pos", "len", "seq"))
+    # asked for three times below, and made by a walk over insertions
+    g = store(groups.withColumn("_g", F.xxhash64(on, "pos", "len", "seq")), "insertion-groups")
     head, tail = F.upper(F.substring("seq", 1, PROBE)), F.upper(F.right("seq", F.lit(PROBE)))
     pos, n = F.col("pos").cast("long"), F.col("len").cast("long")
     ask = lambda what, at, probe: F.struct(F.lit(what).alias("what"), at.alias("want"), probe.alias("probe"))
