@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidespan.functions import genetics
-from tidespan.operators import consequence, evidence, flanks, molecules, notation, placement, repeats, rescue, variants
+from tidespan.operators import consequence, derivatives, evidence, flanks, molecules, notation, placement, repeats, rescue, variants
 from tidespan.plans import annotated, basics, effects, genomics, more, phased, rebuilt, rules, views
 
 SF = "/root/testdata"
@@ -319,3 +319,23 @@ def test_tandem_copies_ask_for_their_groups_once(spark):
     groups = spark.createDataFrame([("c", 300, 60, "AC" * 30, 1), ("c", 400, 60, "GT" * 30, 2)], schema).mapInArrow(seen, schema)
     assert rescue.tandem_copies(groups, tiles, "contig", 32).count() == 2
     assert asked.value == 2
+
+
+def test_fates_of_events_alike_and_of_what_no_event_touches_make_no_fragments(spark, tmp_path, monkeypatch):
+    spark.read.parquet(f"{SF}/sf0.001/part.parquet").where("p_partkey < 200").write.parquet(f"{tmp_path}/part.parquet")
+    rows = []
+    monkeypatch.setattr(derivatives, "store", lambda df, name, f=derivatives.store: (rows.append((name, (out := f(df, name)).count())), out)[1])
+
+    def fates(keys):
+        spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
+        rows.clear()
+        got = sorted(tuple(r) for r in rebuilt.QUERIES["h06_transcript_fates"](spark, str(tmp_path)).collect())
+        return got, dict(rows)
+
+    keys = [0, 1, 20, 21, 40, 41]
+    once, held = fates(keys)
+    again, held_again = fates([k + n for n in (0, 3000, 6000) for k in keys])
+    assert held_again == held and 0 < held["fragments"] < len(once) / 4
+    assert len({kind for _, _, kind, *_ in once}) > 3 and len(again) == 3 * len(once)
+    of = lambda n: [(f"{int(e.split('-')[0]) - n}-{e.split('-')[1]}", *r) for e, *r in again if n <= int(e.split("-")[0]) < n + 3000]
+    assert all(sorted(of(n)) == once for n in (0, 3000, 6000))
