@@ -339,3 +339,9 @@ def test_fates_of_events_alike_and_of_what_no_event_touches_make_no_fragments(sp
     assert len({kind for _, _, kind, *_ in once}) > 3 and len(again) == 3 * len(once)
     of = lambda n: [(f"{int(e.split('-')[0]) - n}-{e.split('-')[1]}", *r) for e, *r in again if n <= int(e.split("-")[0]) < n + 3000]
     assert all(sorted(of(n)) == once for n in (0, 3000, 6000))
+
+
+def test_fragments_with_alleles_are_dealt_once(spark):
+    q = rebuilt.QUERIES["e36_tolerant_groups"](spark, f"{SF}/sf0.001")
+    lines = [x.lstrip(" :+-") for x in q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()]
+    assert "l_orderkey" not in plan(q) and sum(x.startswith("Exchange hashpartitioning") for x in lines) == 1

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,27 @@ def test_tolerant_groups(spark, seed, errors, spliced):
     assert {v[0] for v in want.values()} >= {"member", "minor"}
 
 
+@pytest.mark.parametrize("seed,batch,spliced", [(11, 1, True), (12, 7, False), (13, 16, True), (14, 64, False)])
+def test_tolerant_hits_over_batches(monkeypatch, seed, batch, spliced):
+    """A cluster that grows within a batch is met as it is by the patterns behind, and so over batches."""
+    monkeypatch.setattr(tolerant, "BATCH", batch)
+    rng = random.Random(seed)
+    sites = sorted(rng.sample(range(0, 380), 25))
+    rows = random_fragments(rng, 120, sites, 0.1, spliced)
+    pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+    ends = lambda x: [{"s": a, "e": b} for a, b in x]
+    t = pa.table({"id": [r[0] for r in rows], "blocks": pa.array([ends(r[1]) for r in rows], pair), "junctions": pa.array([ends(r[2]) for r in rows], pair), "alleles": pa.array([rng.sample(list(r[3].items()), len(r[3])) for r in rows], pa.map_(pa.int32(), pa.bool_()))})
+    patterns, numbered = tolerant.alike(t)
+    share = {s: [r[3][s] for r in rows if s in r[3]] for s in sites}
+    hits = tolerant.tolerant_hits(patterns, numbered, [s for s, v in share.items() if v and sum(v) / len(v) > 0.9], 3)
+    first = {}
+    for p, h in zip(patterns, hits):
+        if len(h) == 1:
+            first[h[0]] = min(first.get(h[0], p.rows[0]), p.rows[0])
+    got = {i: ("minor" if not h else "member" if len(h) == 1 else "ambiguous", first[h[0]] if len(h) == 1 else None) for p, h in zip(patterns, hits) for i in p.rows}
+    assert got == plain_tolerant(rows, 3)
+
+
 def test_tolerant_groups_of_many_sites(spark):
     """Thousands of sites, two haplotypes: two groups hold nearly all, though no two fragments are equal."""
     rng = random.Random(7)
