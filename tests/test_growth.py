@@ -345,3 +345,12 @@ def test_fragments_with_alleles_are_dealt_once(spark):
     q = rebuilt.QUERIES["e36_tolerant_groups"](spark, f"{SF}/sf0.001")
     lines = [x.lstrip(" :+-") for x in q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()]
     assert "l_orderkey" not in plan(q) and sum(x.startswith("Exchange hashpartitioning") for x in lines) == 1
+
+
+def test_lines_of_fragments_are_joined_once_and_dealt(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(phased, "store", lambda df, name, f=phased.store: (written.update({name: plan(df)}), f(df, name))[1])
+    q = phased.QUERIES["e40_phase_blocks"](spark, f"{SF}/sf0.001")
+    assert "l_orderkey" not in plan(q) and set(written) == {"fragment-alleles", "links"}
+    assert all("RepartitionByExpression [contig" in x for x in written.values()) and "l_orderkey" not in written["links"]
+    assert q.count() == q.select("contig", "site").distinct().count() > 0

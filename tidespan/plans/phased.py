@@ -9,7 +9,7 @@ from tidespan.operators import annotation as an
 from tidespan.operators import intervals, molecules, phasing
 from tidespan.plans import carriers as ca
 from tidespan.plans.carriers import CALLS, EXONS, GENES, IV
-from tidespan.session import table
+from tidespan.session import dealt, store, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,8 +46,10 @@ def e40(spark, d: str) -> DataFrame:
 def e40b(spark, d: str) -> DataFrame:
     # alleles of two drawn haplotypes, so that links agree
     al = ca.intervals(spark, d).select("contig", "name", (F.col("site") % 40).alias("site"), ((F.col("name") % 2 == 0) == (F.col("site") % 40 % 3 == 0)).alias("alt"))
-    fr = phasing.fragment_alleles(al, ["contig"])
-    return phasing.blocks(fr.select("contig", "site").distinct(), phasing.links(fr, ["contig"]), "contig")
+    # both are read several times: written, lines are joined once; dealt, no task of the join also counts and orders what it joins
+    fr = store(phasing.fragment_alleles(dealt(al, "contig", "name"), ["contig"]), "fragment-alleles")
+    link = store(phasing.links(dealt(fr, "contig", "name"), ["contig"]), "links")
+    return phasing.blocks(fr.select("contig", "site").distinct(), link, "contig")
 
 
 @query(
