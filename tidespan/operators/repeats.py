@@ -6,8 +6,8 @@ aligned there with free ends. Alignments of a batch of reads are computed togeth
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,6 @@ ANCHOR, REACH, LEAST_FAR, MOST_EDITS = 40, 150, 0.35, 6
 SEED, STEP, SLACK = 10, 2, 8
 PURITY, LEAST_UNITS, ALL_REPEAT, ALL_SHARE = 0.8, 3, 10, 0.8
 RUN_WINDOW, RUN_SHARE = 10, 0.6
-#: Fixed value: reads of a consensus; more are thinned evenly by size.
-MOST_READS = 300
 
 CODES = np.full(256, 4, np.uint8)
 CODES[list(b"ACGT")] = range(4)
@@ -291,49 +289,50 @@ def aligned_units(centre: list[str], read: list[str], open_end: bool) -> tuple[l
     return columns, inserted
 
 
-def first_top(votes: Counter) -> tuple[str, int]:
-    """The vote with the most voices, of equals the one first met."""
-    return max(votes.items(), key=lambda v: v[1])
-
-
-def units_consensus(reads: list[tuple[list[str], bool, bool]]) -> tuple[list[tuple[str, float]], int]:
-    """(unit, support) of the consensus of reads (units, open, from_right), and the median size: each read is aligned to the one nearest the upper median size; a column counts by the reads that reach it, insertions where more than half carry some, with the length most of them have."""
-    sizes = sorted(len(u) for u, *_ in reads)
-    median = sizes[len(sizes) >> 1]
-    centre = min(reads, key=lambda r: abs(len(r[0]) - median))[0]
-    n = len(centre)
-    columns = [Counter() for _ in range(n)]
-    slots = [Counter() for _ in range(n + 1)]
-    inside: list[list[Counter]] = [[] for _ in range(n + 1)]
-    for units, open_end, from_right in reads:
-        step = -1 if open_end and from_right else 1
-        cols, ins = aligned_units(centre[::step], units[::step], open_end)
-        for c, v in zip(columns, cols[::step], strict=True):
-            if v is not None:
-                c[v] += 1
-        for k, part in enumerate(p[::step] for p in ins[::step]):
-            if part:
-                slots[k][len(part)] += 1
-                inside[k] += [Counter() for _ in range(len(part) - len(inside[k]))]
-                for c, u in zip(inside[k], part, strict=False):
-                    c[u] += 1
+def votes_of(centre: list[str], units: list[str], open_end: bool, from_right: bool) -> list[tuple[str, int, int, str]]:
+    """(what, slot, place, value) of a read's votes: its unit or "-" in a column ("unit"), how many units it inserts before one ("length"), and which ("inserted", by place)."""
+    step = -1 if open_end and from_right else 1
+    cols, ins = aligned_units(centre[::step], units[::step], open_end)
+    out = [("unit", k, 0, v) for k, v in enumerate(cols[::step]) if v is not None]
+    for k, part in enumerate(p[::step] for p in ins[::step]):
+        if part:
+            out += [("length", k, 0, str(len(part))), *(("inserted", k, i, u) for i, u in enumerate(part))]
+    return out
+
+
+def elected(n: int, votes: Iterable[tuple[str, int, int, str, int, int]]) -> list[tuple[str, float]]:
+    """(unit, support) of the consensus over a centre of n units, of votes (what, slot, place, value, reads, the first read's rank): a column counts by the reads that reach it, insertions where more than half carry some, with the length most of them have. Of equal votes the one first met wins."""
+    polls: dict = defaultdict(list)
+    for what, k, place, value, c, first in votes:
+        polls[what, k, place].append((c, -first, value))
+    total = lambda x: sum(c for c, *_ in x)
     out = []
     for k in range(n + 1):
-        reach = max(1, sum(columns[min(k, n - 1)].values()) if n else 0)
-        if sum(slots[k].values()) > reach / 2:
-            out += [(u, c / reach) for u, c in map(first_top, inside[k][: first_top(slots[k])[0]])]
-        if k < n and columns[k]:
-            u, c = first_top(columns[k])
+        reach = max(1, total(polls.get(("unit", min(k, n - 1), 0), ())))
+        lengths = polls.get(("length", k, 0), ())
+        if total(lengths) > reach / 2:
+            tops = [max(polls["inserted", k, i]) for i in range(int(max(lengths)[2]))]
+            out += [(u, c / reach) for c, _, u in tops]
+        if polls.get(("unit", k, 0)):
+            c, _, u = max(polls["unit", k, 0])
             if u != "-":
-                out.append((u, c / sum(columns[k].values())))
-    return out, median
+                out.append((u, c / total(polls["unit", k, 0])))
+    return out
 
 
 CONSENSUS = "used int, listed int, size int, median int, lower_bound boolean, structure string, interruptions string, mean_support double"
 
 
-def repeat_consensus(reads: DataFrame, keys: list[str], interruptions: list[str] = (), most: int = MOST_READS) -> DataFrame:
-    """(keys, CONSENSUS) of reads (keys, id, units, class, anchored): units is the tract in units. Spanning reads make it; where there are none, truncated ones do and it is a lower bound. A key's reads are thinned to `most`, evenly by size (of equals by id), before they meet in one task: ranks come from counts of sizes. Reads without units, and of other classes, are not used."""
+VOTES = "what string, slot int, place int, value string"
+
+
+def repeat_consensus(reads: DataFrame, keys: list[str], interruptions: list[str] = (), most: int | None = None) -> DataFrame:
+    """(keys, CONSENSUS) of reads (keys, id, units, class, anchored): units is the tract in units. Spanning reads make it; where there are none, truncated ones do and it is a lower bound. Reads without units, and of other classes, are not used.
+
+    All of a key's reads vote: each is aligned to the one of the upper median size (the first by id). Reads that are alike are
+    aligned once, over all tasks, and votes are added up by column, so that what meets in one task goes with the length of the
+    tract and not with the reads. most: a key's reads are thinned to so many before, evenly by size (of equals by id).
+    """
     # asked for three times below, and long in the making where reads were measured
     usable = store(reads.where(F.col("class").isin("spanning", "truncated") & (F.size("units") > 0)).select(*keys, "id", "units", "class", "anchored").withColumn("_full", F.col("class") == "spanning"), "usable-reads")
     full = usable.groupBy(*keys).agg(F.max("_full").alias("_any"), F.count(F.lit(1)).alias("listed"))
@@ -342,18 +341,42 @@ def repeat_consensus(reads: DataFrame, keys: list[str], interruptions: list[str]
     w = Window.partitionBy(*keys)
     before = by_size.select(*keys, "_n", (F.sum("_c").over(w.orderBy("_n")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_all"))
     ranked = pool.withColumn("_n", F.size("units")).join(before, [*keys, "_n"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_n").orderBy("id")) - 1)
-    step = (F.col("_all") - 1) / F.lit(float(most - 1))
-    slot = F.round(F.col("_rank") / step)
-    chosen = ranked.where((F.col("_all") <= most) | (F.floor(slot * step + 0.5) == F.col("_rank")))
+    chosen = ranked.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_n").orderBy("id")) - 1)
+    if most is not None:
+        step = (F.col("_all") - 1) / F.lit(float(most - 1))
+        slot = F.round(F.col("_rank") / step)
+        chosen = chosen.where((F.col("_all") <= most) | (F.floor(slot * step + 0.5) == F.col("_rank")))
+    turned_ = ~F.col("_full") & F.coalesce(F.col("anchored") == "right", F.lit(False))
+    alike = store(chosen.groupBy(*keys, "units", "_n", turned_.alias("_right"), "_full", "listed").agg(F.count(F.lit(1)).alias("_c"), F.min("_rank").alias("_first")), "alike-tracts")
+    sizes = alike.groupBy(*keys, "_n").agg(F.sum("_c").alias("_c")).select(*keys, "_n", F.sum("_c").over(w.orderBy("_n")).alias("_to"), F.sum("_c").over(w).alias("used"))
+    median = sizes.where(F.col("_to") > F.floor(F.col("used") / 2)).groupBy(*keys, "used").agg(F.min("_n").alias("_n"))
+    centres = median.join(alike, [*keys, "_n"]).groupBy(*keys, "used", F.col("_n").alias("median"), "_full", "listed").agg(F.min_by("units", "_first").alias("_centre"))
     types = dict(reads.dtypes)
+    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def poll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            rows = zip(ids, *(batch.column(c).to_pylist() for c in ("_centre", "units", "_full", "_right", "_c", "_first")), strict=True)
+            held: dict = {}
+            for key, centre, units, is_full, right, c, first in rows:
+                for vote in votes_of(centre, units, not is_full, right):
+                    n, least = held.get((*key, *vote), (0, first))
+                    held[(*key, *vote)] = (n + c, min(least, first))
+            cols = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [()] * (len(keys) + 6)
+            kinds = [*(batch.schema.field(k).type for k in keys), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*keys, "what", "slot", "place", "value", "_c", "_first"])
+
+    aligned = dealt(alike.join(centres.select(*keys, "_centre"), keys), *keys, "units").mapInArrow(poll, f"{key_ddl}, {VOTES}, _c long, _first long")
+    votes = aligned.groupBy(*keys, "what", "slot", "place", "value").agg(F.sum("_c").alias("_c"), F.min("_first").alias("_first"))
     held = set(interruptions)
     names = [f.split(" ")[0] for f in CONSENSUS.split(", ")]
     kinds = [pa.int32()] * 4 + [pa.bool_(), pa.string(), pa.string(), pa.float64()]
 
     def vote(t: pa.Table) -> pa.Table:
-        rows = sorted(t.select(["_rank", "units", "class", "anchored"]).to_pylist(), key=lambda r: r["_rank"])
-        units, median = units_consensus([(r["units"], r["class"] != "spanning", r["anchored"] == "right") for r in rows])
+        cast = zip(*(t.column(c).to_pylist() for c in ("what", "slot", "place", "value", "_c", "_first")), strict=True)
+        used, listed, median, n, is_full = (t.column(c)[0].as_py() for c in ("used", "listed", "median", "_width", "_full"))
+        units = elected(n, cast)
         runs: list[list] = []
         for u, _ in units:
             if runs and runs[-1][0] == u:
@@ -362,7 +385,8 @@ def repeat_consensus(reads: DataFrame, keys: list[str], interruptions: list[str]
                 runs.append([u, 1])
         shape = " ".join(f"({u}){n}" if n > 1 else u for u, n in runs)
         breaks = ",".join(str(k) for k, (u, _) in enumerate(units, 1) if u in held)
-        values = [len(rows), t.column("listed")[0].as_py(), len(units), median, rows[0]["class"] != "spanning", shape, breaks, sum(s for _, s in units) / len(units) if units else 0.0]
+        values = [used, listed, len(units), median, not is_full, shape, breaks, sum(s for _, s in units) / len(units) if units else 0.0]
         return pa.table({c: t.column(c)[:1] for c in keys} | {c: pa.array([v], k) for c, v, k in zip(names, values, kinds, strict=True)})
 
-    return chosen.groupBy(*keys).applyInArrow(vote, ", ".join([*(f"{k} {types[k]}" for k in keys), CONSENSUS]))
+    meet = votes.join(centres.select(*keys, "used", "listed", "median", "_full", F.size("_centre").alias("_width")), keys)
+    return meet.groupBy(*keys).applyInArrow(vote, f"{key_ddl}, {CONSENSUS}")
