@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidespan.operators.intervals import given_back, overlap_join
+from tidespan.operators.intervals import by_id, given_back, outermost, overlap_join, point_join, ranked
+from tidespan.session import store
 
 LAB_COVER, RECURRENT_SHARE, BIG_KB = 0.8, 0.5, 1000
 
@@ -36,16 +37,24 @@ def passes(kinds: list[str] | None = None, min_size: int = 0, min_probes: int =
     return keep
 
 
-def lab_matches(calls: DataFrame, entries: DataFrame, width: int = 256) -> DataFrame:
+def lab_matches(calls: DataFrame, entries: DataFrame, width: int = 64) -> DataFrame:
     """For each call (call, chrom, kind, s, e) the compatible entry (entry, chrom, ls, le, type) of its chromosome that covers most of it, from 80 % on; ends inclusive, the first entry at ties."""
     alike = ["chrom", "kind", "s", "e"]
-    a = calls.select(*alike).distinct().withColumn("_e", F.col("e") + 1)
-    b = entries.groupBy("chrom", "ls", "le", "type").agg(F.min("entry").alias("entry")).withColumn("_le", F.col("le") + 1)
-    pairs = overlap_join(a, b, ["chrom"], ("s", "_e"), ("ls", "_le"), width).where((F.col("type") == "both") | (F.col("type") == F.col("kind")))
-    pct = (F.least("e", "le") - F.greatest("s", "ls") + 1) / (F.col("e") - F.col("s") + 1)
-    found = pairs.withColumn("pct", pct).where(F.col("pct") >= LAB_COVER).groupBy(*alike).agg(F.max(F.struct("pct", (-F.col("entry")).alias("k"))).alias("_b"))
-    best = given_back(found, calls, alike, "call").groupBy("call").agg(F.max("_b").alias("_b"))
-    return best.select("call", (-F.col("_b.k")).alias("entry"), F.col("_b.pct").alias("pct"))
+    # what covers so much of a call holds its middle
+    a = calls.select(*alike).distinct().where("s <= e").withColumn("_mid", F.floor((F.col("s") + F.col("e")) / 2))
+    # an entry inside an earlier one is never the best
+    like = entries.groupBy("chrom", "ls", "le", "type").agg(F.min("entry").alias("entry")).withColumn("_le", F.col("le") + 1)
+    outer = outermost(like, ["chrom"], "ls", "_le", ["entry"], "type").groupBy("chrom", "ls", "_le", "type").agg(F.min("entry").alias("entry"))
+    # numbered by entry, and written, as the numbers are joined on: the best is the greatest number of shared bases and a place
+    b = store(ranked(outer, ["chrom"], "entry", "ls", "_le", "type").select("chrom", "ls", "_le", "type", "entry", "rank"), "outer-entries")
+    placed = b.groupBy("chrom", "ls", "_le", "type").agg(F.min("rank").alias("rank"))
+    pairs = point_join(a, placed, ["chrom"], "_mid", ("ls", "_le"), width).where((F.col("type") == "both") | (F.col("type") == F.col("kind")))
+    n, low = F.col("e") - F.col("s") + 1, (1 << 32) - 1
+    shared = (F.least(F.col("e") + 1, "_le") - F.greatest("s", "ls")).cast("long")
+    found = pairs.where(shared / n >= LAB_COVER).groupBy(*alike).agg(F.max(F.shiftleft(shared, 32) + (low - F.col("rank"))).alias("_b"))
+    best = found.select(*alike, (F.shiftright("_b", 32) / n).alias("pct"), (low - F.col("_b").bitwiseAND(F.lit(low))).alias("rank")).join(b.select("chrom", "rank", "entry"), ["chrom", "rank"]).select(*alike, "entry", "pct")
+    first = lambda rows: rows.groupBy("call").agg(F.max(F.struct("pct", (-F.col("entry")).alias("k"))).alias("_b")).select("call", (-F.col("_b.k")).alias("entry"), F.col("_b.pct").alias("pct"))
+    return by_id(calls, lambda rows: given_back(best, rows, alike, "call").select("call", "entry", "pct"), first)
 
 
 def reciprocal(a: tuple[str, str], b: tuple[str, str]) -> Column:
