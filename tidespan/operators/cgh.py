@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidespan.operators.intervals import by_id, given_back, outermost, overlap_join, point_join, ranked
+from tidespan.operators.intervals import alike_in_length, by_id, given_back, outermost, overlap_join, point_join, ranked
 from tidespan.session import store
 
 LAB_COVER, RECURRENT_SHARE, BIG_KB = 0.8, 0.5, 1000
+#: Shares by which regions are looked for one after the other, down to the one that counts.
+SHARES = (0.95, 0.85, 0.7, RECURRENT_SHARE)
 
 
 def chromosome(name: Column) -> Column:
@@ -80,17 +82,29 @@ def ordered_matches(matches: DataFrame) -> DataFrame:
     return matches.withColumn("place", F.row_number().over(w))
 
 
-def recurrent(calls: DataFrame, regions: DataFrame, most: int = 4, width: int = 256) -> DataFrame:
-    """The four best regions (region, chrom, rs, re) of a call's chromosome that share at least half of themselves and of the call."""
+def recurrent(calls: DataFrame, regions: DataFrame, most: int = 4) -> DataFrame:
+    """The four best regions (region, chrom, rs, re) of a call's chromosome that share at least half of themselves and of the call.
+
+    Regions that share much of a call are looked for first, and what shares less only for calls that have not met enough by then.
+    """
     # calls that are alike are asked for once; of regions that are alike no more than the first few can be among the best
     alike, like = ["chrom", "s", "e"], ["chrom", "rs", "re"]
-    first = regions.withColumn("_k", F.row_number().over(Window.partitionBy(*like).orderBy("region"))).where(F.col("_k") <= most)
-    pairs = overlap_join(calls.select(*alike).distinct(), first.select(*like, "region"), ["chrom"], ("s", "e"), ("rs", "re"), width)
-    shared = (F.least("e", "re") - F.greatest("s", "rs")).cast("double")
-    pairs = pairs.withColumns({"of_region": shared / (F.col("re") - F.col("rs")), "of_call": shared / (F.col("e") - F.col("s"))})
-    good = pairs.where((F.col("of_region") >= RECURRENT_SHARE) & (F.col("of_call") >= RECURRENT_SHARE))
-    best = lambda rows, keys: rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.least("of_region", "of_call")), "region"))).where(F.col("_k") <= most).drop("_k")
-    return best(given_back(best(good, alike), calls, alike, "call"), ["call"]).select("call", "region", "of_region", "of_call")
+    first = regions.where("rs < re").withColumn("_k", F.row_number().over(Window.partitionBy(*like).orderBy("region"))).where(F.col("_k") <= most).select(*like, "region")
+    asked = calls.where("s < e").select(*alike).distinct()
+    least = F.least("of_region", "of_call")
+    best = lambda rows, keys: rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(least), "region"))).where(F.col("_k") <= most).drop("_k")
+    out = None
+    for k, share in enumerate(SHARES):
+        pairs, at = alike_in_length(asked, first, ["chrom"], ("s", "e"), ("rs", "re"), share)
+        shared = (F.least("e", "re") - F.greatest("s", "rs")).cast("double")
+        pairs = pairs.withColumns({"of_region": shared / (F.col("re") - F.col("rs")), "of_call": shared / (F.col("e") - F.col("s"))})
+        found = best(pairs.where((F.col("of_region") >= share) & (F.col("of_call") >= share)), [*at, "s", "e"]).select(*alike, "region", "of_region", "of_call")
+        if share > SHARES[-1]:
+            # written, as both those that are done and those that go on are taken of it
+            found = store(found.withColumn("_met", F.count(F.lit(1)).over(Window.partitionBy(*alike))).where(F.col("_met") >= most).drop("_met"), f"best-regions-{k}")
+            asked = asked.join(found.select(*alike).distinct(), alike, "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return by_id(calls, lambda rows: given_back(out, rows, alike, "call").select("call", "region", "of_region", "of_call"), lambda rows: best(rows, ["call"]))
 
 
 def topology(calls: DataFrame, arms: DataFrame, terminal: int = 500_000, cover: float = 0.9) -> DataFrame:
